@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import secrets, urls
+from sedimark.llm import secrets, simhash, urls
 from sedimark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(docs, vocabulary("byte_bpe_50k.tiktoken")).drop("text")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -57,7 +61,7 @@ FROM b LEFT JOIN fits ON fits.page_id = b.page_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op4_urls": op4_urls}
+    return {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op4_urls": op4_urls}
 
 
 def oracle_sql() -> dict[str, str]:
