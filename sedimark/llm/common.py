@@ -70,3 +70,8 @@ def with_columns(df: DataFrame, rows: Callable[[list], Iterable[tuple]], schema:
     made = f"_made_{uuid.uuid4().hex[:8]}"
     keep = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
     return df.select(*(F.col(f"`{c}`") for c in keep), struct_column(rows, schema, F.col(f"`{column}`")).alias(made)).select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"{made}.{n}").alias(n) for n in names))
+
+
+def table_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a text column, all rows."""
+    return df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0

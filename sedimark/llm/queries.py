@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedimark.llm import secrets, simhash, urls
-from sedimark.llm.common import table
+from sedimark.llm import bpe, secrets, simhash, tokens, urls
+from sedimark.llm.common import shared_dir, table
 
 
 def vocabulary(name: str) -> str:
@@ -60,8 +61,25 @@ FROM b LEFT JOIN fits ON fits.page_id = b.page_id
 """
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    tokens.write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
+    return tokens.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return ids.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op4_urls": op4_urls}
+    return {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op4_urls": op4_urls, "op5_tokens": op5_tokens, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
