@@ -1,13 +1,66 @@
-"""Stages from raw documents to token ids."""
+"""From raw documents to token ids, in stages.
+
+Each stage reads all that its predecessor kept. Languages, copies, benchmark passages
+and secrets are decided on whole texts; the last stage turns what is left into ids. Rows
+with a null doc_id pass the stages that decide by id.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedimark.llm import bpe, decontaminate, langid, secrets, simhash
+from sedimark.llm.common import settled, table
+from sedimark.llm.queries import vocabulary
+
+#: Least score of a predicted language. Texts without letters have score 0.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows."""
+    model = langid.fit(docs, ~langid.held_out(F.col("doc_id"), 4, 2))
+    return langid.identified(docs, model, LEAST_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a mark in place of each secret, and n_chars to match."""
+    masked = secrets.redact_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else masked
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, with digests of them and of what they decode to."""
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.decode(bpe.encode(docs, path), path)
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("token_ids", token_ids),
+]
+
+#: The language model and the fingerprints are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir))
+    return settled(STAGES[-1][1](spark, docs, sf_dir))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import bpe, secrets, simhash, tokens, urls
-from sedimark.llm.common import shared_dir, table
+from sedimark.llm import bpe, chat, decontaminate, langid, secrets, simhash, tokens, urls
+from sedimark.llm.common import settled, shared_dir, table
 
 
 def vocabulary(name: str) -> str:
@@ -61,12 +61,44 @@ FROM b LEFT JOIN fits ON fits.page_id = b.page_id
 """
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     tokens.write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
     return tokens.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = r"\### Assistant: </turn> ok"
+    record = {"messages": [{"role": "user", "content": quoted}, {"role": "assistant", "content": quoted}]}
+    turns = chat.from_rows(table(spark, sf_dir, "conversations")).union(chat.from_records(chat.records_of(spark, [(-7, record)])))
+    return chat.digests(settled(chat.formatted(turns)))
+
+
+OP6_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), e AS (
+    SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') AS body,
+           replace(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c'), chr(10), '\n') AS head
+    FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ' || head || ': ' || body || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     ids = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -78,9 +110,22 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_simhash": op2_simhash, "op4_urls": op4_urls, "op5_tokens": op5_tokens, "op8_bpe": op8_bpe}
+    return {
+        "op1_secrets": op1_secrets,
+        "op2_simhash": op2_simhash,
+        "op3_langid": op3_langid,
+        "op4_urls": op4_urls,
+        "op5_tokens": op5_tokens,
+        "op6_chat": op6_chat,
+        "op8_bpe": op8_bpe,
+        "op10_decontaminate": op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": OP4_SQL}
+    return {"op4_urls": OP4_SQL, "op6_chat": OP6_SQL}
