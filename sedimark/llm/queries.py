@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import bpe, chat, decontaminate, langid, secrets, simhash, tokens, urls
+from sedimark.llm import bpe, chat, decontaminate, langid, secrets, simhash, tokens, toxicity, urls
 from sedimark.llm.common import settled, shared_dir, table
 
 
@@ -99,6 +99,13 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.held_out(F.col("doc_id"), 5, 0)
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_toxicity(docs.withColumn("held_out", held_out), network).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     ids = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -122,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_urls": op4_urls,
         "op5_tokens": op5_tokens,
         "op6_chat": op6_chat,
+        "op7_toxicity": op7_toxicity,
         "op8_bpe": op8_bpe,
         "op10_decontaminate": op10_decontaminate,
     }
