@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import bpe, chat, decontaminate, langid, secrets, simhash, tokens, toxicity, urls
+from sedimark.llm import bpe, chat, decontaminate, langid, quality, secrets, simhash, tokens, toxicity, urls
 from sedimark.llm.common import settled, shared_dir, table
 
 
@@ -117,6 +117,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -131,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat": op6_chat,
         "op7_toxicity": op7_toxicity,
         "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,
     }
 
