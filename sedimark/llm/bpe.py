@@ -19,8 +19,9 @@ an empty table; only the id and text columns are read, so other columns cannot c
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -68,33 +69,40 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def pack(items: list[bytes]) -> bytes:
-    """A list of byte strings as one: count, lengths, bytes; compressed."""
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in as few bytes as the largest needs."""
+    most = int(values.max(initial=0))
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+
+
+def pack(values: np.ndarray, lengths: list[int]) -> bytes:
+    """Lists of unsigned integers as one: their joined values, and the length of each; compressed."""
     import zstandard
 
-    lengths = np.fromiter(map(len, items), np.uint32, len(items))
-    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items))
+    joined, sizes = _narrow(values), _narrow(np.array(lengths, np.uint32))
+    head = np.array([len(sizes), sizes.itemsize, joined.itemsize], "<u4")
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + sizes.tobytes() + joined.tobytes())
 
 
-def unpack(packed: bytes) -> list[bytes]:
+def unpack(packed: bytes, kind: str) -> list[bytes]:
+    """The lists, each as the bytes of its values in the kind given."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(packed)
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = np.concatenate(([4 + 4 * n], ends[:-1])) if n else ends
-    return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _questions(texts: list[str | None], pattern: str, buckets: int) -> dict[int, list[str]]:
-    """The distinct pre-tokens of a block by bucket, in the order in which they first occur."""
-    distinct: dict[str, None] = {}
-    split = splitter(pattern)
-    for text in texts:
-        distinct.update(dict.fromkeys(split(text or "")))
+    n, size, width = np.frombuffer(data, "<u4", 3).tolist()
+    sizes = np.frombuffer(data, f"<u{size}", n, 12).astype(np.int64)
+    joined = np.frombuffer(data, f"<u{width}", -1, 12 + n * size).astype(kind)
+    raw, ends = joined.tobytes(), np.cumsum(sizes) * joined.itemsize
+    return [raw[a:b] for a, b in zip((ends - sizes * joined.itemsize).tolist(), ends.tolist(), strict=True)]
+
+
+def _questions(distinct: Iterable[str], buckets: int) -> dict[int, list[str]]:
+    """The distinct pre-tokens of a block by bucket, in order: neighbours share their beginnings, which packs well."""
     asked: dict[int, list[str]] = {}
     for word in distinct:
         asked.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+    for words in asked.values():
+        words.sort()
     return asked
 
 
@@ -109,31 +117,41 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     dealt = some.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(parts, "block")
 
     def ask(block: pa.Table) -> pa.Table:
-        asked = _questions(block["text"].to_pylist(), pattern, buckets)
-        packed = [pack([w.encode() for w in words]) for words in asked.values()]
+        distinct: dict[str, None] = {}
+        split = splitter(pattern)
+        for text in block["text"].to_pylist():
+            distinct.update(dict.fromkeys(split(text or "")))
+        asked = _questions(distinct, buckets)
+        packed = []
+        for words in asked.values():
+            encoded = [w.encode() for w in words]
+            packed.append(pack(np.frombuffer(b"".join(encoded), np.uint8), [len(w) for w in encoded]))
         return pa.table({"bucket": pa.array(list(asked), pa.int32()), "block": pa.array([block["block"][0].as_py()] * len(asked), pa.int32()), "words": pa.array(packed, pa.binary())})
 
     def answer(bucket: pa.Table) -> pa.Table:
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, list[int]] = {}
         one, answers = encoder(vocabulary), []
         for words in bucket["words"]:
             ids = []
-            for word in unpack(words.as_py()):
+            for word in unpack(words.as_py(), "u1"):
                 found = known.get(word)
                 if found is None:
-                    found = known[word] = np.array(one(word), "<u4").tobytes()
+                    found = known[word] = one(word)
                 ids.append(found)
-            answers.append(pack(ids))
+            joined = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
+            answers.append(pack(joined, [len(x) for x in ids]))
         return pa.table({"bucket": bucket["bucket"], "block": bucket["block"], "ids": pa.array(answers, pa.binary())})
 
     def assemble(block: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = block["text"].to_pylist()
+        # Each text as its pre-tokens; equal ones are one object, so a place costs a pointer.
+        split, distinct = splitter(pattern), {}
+        placed = [list(map(distinct.setdefault, words := split(t or ""), words)) for t in block["text"].to_pylist()]
+        asked = _questions(distinct, buckets)
         ids: dict[str, bytes] = {}
-        asked = _questions(texts, pattern, buckets)
         for bucket, packed in zip(answers["bucket"].to_pylist(), answers["ids"], strict=True):
-            ids.update(zip(asked[bucket], unpack(packed.as_py()), strict=True))
-        split, of = splitter(pattern), ids.__getitem__
-        return pa.table({"doc_id": block["doc_id"], "ids": pa.array([b"".join(map(of, split(t or ""))) for t in texts], pa.binary())})
+            ids.update(zip(asked[bucket], unpack(packed.as_py(), "<u4"), strict=True))
+        of = ids.__getitem__
+        return pa.table({"doc_id": block["doc_id"], "ids": pa.array([b"".join(map(of, words)) for words in placed], pa.binary())})
 
     kind = some.schema["doc_id"].dataType.simpleString()
     asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, words binary")
