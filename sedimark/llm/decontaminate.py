@@ -60,26 +60,42 @@ STEP = np.uint64(0x100000001B3)
 
 
 class Words:
-    """Hash and kind of each distinct word, with a bound on how many are kept."""
+    """Hash and kind of each distinct word, in arrays that hold LIMIT of them."""
 
-    LIMIT = 500_000
+    LIMIT = 400_000
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
-        self.hash: list[int] = []
-        self.kind: list[int] = []
-        self.ends: list[bool] = []
-
-    def add(self, word: str) -> int:
+        self.hash = np.empty(self.LIMIT, np.uint64)
+        self.kind = np.empty(self.LIMIT, np.int8)
+        self.ends = np.empty(self.LIMIT, bool)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the words are, after adding the new ones; what is kept is dropped when there is no room."""
+        get = self.place.get
+        found = [get(w, -1) for w in words]
+        if -1 in found:
+            new = set(words).difference(self.place)
+            if len(self.place) + len(new) > self.LIMIT:
+                self.place.clear()
+                new = set(words)
+                if len(new) > len(self.hash):
+                    self.hash, self.kind, self.ends = np.empty(len(new), np.uint64), np.empty(len(new), np.int8), np.empty(len(new), bool)
+            for word in new:
+                self.add(word)
+            found = [get(w) for w in words]
+        return np.array(found, np.int64)
+
+    def add(self, word: str) -> None:
         import xxhash
 
         bare = word.strip(EDGES)
         low = bare.lower()
         if not bare:
             kind = NONE
-        elif NUMBER.match(bare):
+        elif not bare.isalpha() and NUMBER.match(bare):
             kind = NUM
-        elif (m := NUMBER_UNIT.match(low)) and m[1] in UNITS:
+        elif not bare.isalpha() and (m := NUMBER_UNIT.match(low)) and m[1] in UNITS:
             kind = NUM
         elif low in UNITS:
             kind = UNIT
@@ -87,11 +103,10 @@ class Words:
             kind = NAME
         else:
             kind = PLAIN
-        self.place[word] = len(self.hash)
-        self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
-        self.kind.append(kind)
-        self.ends.append(word.rstrip("\"'”’)»")[-1:] in ".!?:|" or not bare)
-        return self.place[word]
+        at = self.place[word] = len(self.place)
+        self.hash[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+        self.kind[at] = kind
+        self.ends[at] = word.rstrip("\"'”’)»")[-1:] in ".!?:|" or not bare
 
 
 class Canonical:
@@ -99,21 +114,13 @@ class Canonical:
 
     def __init__(self) -> None:
         self.words = Words()
-        self.hash = self.kind = self.ends = np.empty(0)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        known, split = self.words, text.split()
-        if len(known.place) > Words.LIMIT:
-            known = self.words = Words()
-            self.hash = np.empty(0)
-        get, add = known.place.get, known.add
-        at = np.fromiter([i if (i := get(w)) is not None else add(w) for w in split], np.int64, len(split))
-        if len(self.hash) != len(known.hash):
-            self.hash, self.kind, self.ends = np.array(known.hash, np.uint64), np.array(known.kind, np.int8), np.array(known.ends, bool)
-        h, kind, ends = self.hash[at], self.kind[at], self.ends[at]
+        split = text.split()
+        at = self.words.places(split)
+        h, kind, ends = self.words.hash[at], self.words.kind[at], self.words.ends[at]
         first = np.ones(len(at), bool)
         first[1:] = ends[:-1]
-        # Line ends begin a sentence as well, but the split has lost them: a capital there is a name, in item and document alike.
         kind = np.where((kind == NAME) & first, PLAIN, kind)
         # A unit is one only behind a number.
         behind = np.zeros(len(at), bool)
@@ -122,8 +129,7 @@ class Canonical:
         again = np.zeros(len(at), bool)
         again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
         kept = np.flatnonzero((kind != NONE) & ~again)
-        kind = kind[kept]
-        h = h[kept]
+        kind, h = kind[kept], h[kept]
         for k, value in HASHES.items():
             h[kind == k] = value
         return h, kind, kept, split
@@ -197,13 +203,12 @@ def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bit
 def _filter(items: DataFrame) -> tuple[bytes, list[int]]:
     """The filter over the items' window hashes, and the lengths of their windows (at most WINDOW of them)."""
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
-    spots = items.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("spot"))
-    # One row for each of the filter's 32,768 stretches at most.
-    stretch = spots.groupBy(F.shiftright("spot", 10).alias("stretch")).agg(F.collect_set(F.col("spot").bitwiseAND(F.lit(1023))).alias("bits"))
-    bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in stretch.toLocalIterator():
-        spot = row["stretch"] * 1024 + np.array(row["bits"], np.int64)
-        np.bitwise_or.at(bits, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
+    spot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    # At most FILTER_BITS / 64 rows, some 8 MB.
+    words = items.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, "<i8")
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     return bits.tobytes(), lengths
 
 
