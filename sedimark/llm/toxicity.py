@@ -38,6 +38,8 @@ MAX_ROWS = 2000
 MAX_CHARS = 8_000
 #: Words whose inputs a task keeps; windows scored at a time; words of texts gathered before scoring.
 KEPT, AT_ONCE, GATHERED = 120_000, 1024, 40_000
+#: Windows of a clean text that a round in the first half of training looks at; later rounds look at all.
+CLEAN_WINDOWS = 8
 
 WORDS = re.compile(r"\w+").findall
 Parameters = dict[str, np.ndarray]
@@ -126,7 +128,7 @@ def gradients(p: Parameters, x: np.ndarray, index: np.ndarray, target: np.ndarra
     g["attention"] = np.einsum("tn,tnk->k", by_e, states)
     by_states = weight[:, :, None] * by_pooled + by_e[:, :, None] * p["attention"]
     u, by_h = p["recurrent"], np.zeros((2, len(index), HIDDEN), np.float32)
-    g["recurrent"], by_inputs = np.zeros_like(u), np.zeros_like(inputs)
+    g["recurrent"], by_gates = np.zeros_like(u), np.empty((2, WINDOW, len(index), 3 * HIDDEN), np.float32)
     for t in reversed(range(WINDOW)):
         back = WINDOW - 1 - t
         h, z, reset, own, new, m = steps[t]
@@ -136,16 +138,24 @@ def gradients(p: Parameters, x: np.ndarray, index: np.ndarray, target: np.ndarra
         by_reset = by_new * own * reset * (1 - reset)
         by_r = np.concatenate([by_z, by_reset, by_new * reset], axis=2)
         by_a = np.concatenate([by_z, by_reset, by_new], axis=2)
-        np.add.at(by_inputs[0], index[:, t], by_a[0])
-        np.add.at(by_inputs[1], index[:, back], by_a[1])
+        by_gates[0, t], by_gates[1, back] = by_a
         g["recurrent"] += h.transpose(0, 2, 1) @ by_r
         by_h = by_h * (1 - m * (1 - z)) + by_r @ u.transpose(0, 2, 1)
-    by_inputs = by_inputs[:, 1:]
+    by_inputs = np.stack([summed(index.T.ravel(), by.reshape(-1, 3 * HIDDEN), len(x) + 1) for by in by_gates])[:, 1:]
     g["input"] = np.einsum("vi,dvg->dig", x, by_inputs)
     g["shift"] = by_inputs.sum(axis=1)
     return g, np.einsum("dvg,dig->vi", by_inputs, p["input"]), loss
 
 
+def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values (one row for each of rows) by row, of n rows."""
+    order = np.argsort(rows, kind="stable")
+    some, starts = np.unique(rows[order], return_index=True)
+    found = np.zeros((n, values.shape[1]), np.float32)
+    found[some] = np.add.reduceat(values[order], starts, axis=0)
+    return found
+
+
 def gates(p: Parameters, x: np.ndarray) -> np.ndarray:
     """Inputs for forward() of word vectors."""
     found = np.zeros((2, len(x) + 1, 3 * HIDDEN), np.float32)
@@ -243,7 +253,7 @@ class Scorer:
         return sigmoid(best).tolist()
 
 
-def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 8, seed: int = 7) -> Network:
+def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10, seed: int = 7) -> Network:
     prior = sum(toxic) / len(toxic) if toxic else 0.0
     if not 0 < prior < 1:
         return Network({}, None, prior)
@@ -257,11 +267,11 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 8,
     hashes, starts = grams(names)
     ends = np.append(starts[1:], len(hashes))
     windows = [window_rows(np.fromiter((row[w] for w in words), np.int64, len(words))) for words in split]
-    random, size = np.random.default_rng(seed), WORD + CHAR
+    random, width = np.random.default_rng(seed), WORD + CHAR
     p: Parameters = {
         "words": random.normal(0, 0.1, (VOCABULARY + 1, WORD)).astype(np.float32),
         "grams": random.normal(0, 0.3, (GRAMS, CHAR)).astype(np.float32),
-        "input": random.normal(0, size**-0.5, (2, size, 3 * HIDDEN)).astype(np.float32),
+        "input": random.normal(0, width**-0.5, (2, width, 3 * HIDDEN)).astype(np.float32),
         "shift": np.zeros((2, 3 * HIDDEN), np.float32),
         "recurrent": random.normal(0, HIDDEN**-0.5, (2, HIDDEN, 3 * HIDDEN)).astype(np.float32),
         "attention": random.normal(0, 0.1, 2 * HIDDEN).astype(np.float32),
@@ -282,28 +292,30 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 8,
         known = np.where(random.random(len(used)) < 0.3, 0, places[used - 1])  # unknown now and then, so that characters must do
         x = Inputs.vectors(p, known, some, begin)
         g, by_x, _ = gradients(p, x, index, targets, share / share.sum())
-        g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-        np.add.at(g["words"], known, by_x[:, :WORD])
-        np.add.at(g["grams"], some, np.repeat(by_x[:, WORD:] / lengths[:, None], lengths, axis=0))
+        g["words"] = summed(known, by_x[:, :WORD], VOCABULARY + 1)
+        g["grams"] = summed(some, np.repeat(by_x[:, WORD:] / lengths[:, None], lengths, axis=0), GRAMS)
         adam.step(g)
 
     owner = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
     every = np.concatenate(windows)
     even = half[owner] / np.array([len(w) for w in windows])[owner]
     for _ in range(first):
-        chosen = random.choice(len(every), min(24_000, 4 * len(every)), p=even / even.sum())
+        chosen = random.choice(len(every), min(16_000, 4 * len(every)), p=even / even.sum())
         for part in np.array_split(chosen, max(1, len(chosen) // 256)):
             learn(every[part], target[owner[part]], np.ones(len(part), np.float32))
-    begin = np.cumsum([0, *(len(w) for w in windows[:-1])])
+    size = np.array([len(w) for w in windows])
+    begin = np.cumsum(size) - size
     for turn in range(rounds):
         adam.rate = 5e-3 * (1 - turn / rounds) + 3e-4
         x = gates(p, Inputs.vectors(p, places, hashes, starts))
-        logits = np.concatenate([forward(p, x, every[a : a + AT_ONCE]) for a in range(0, len(every), AT_ONCE)])
-        highest = np.array([a + int(logits[a : a + len(w)].argmax()) for a, w in zip(begin.tolist(), windows, strict=True)])
-        # Windows of clean texts are all clean: a few more of them, at random.
-        clean = np.flatnonzero(target[owner] == 0)
-        more = random.choice(clean, min(len(clean), len(highest)))
-        for part in np.array_split(random.permutation(np.concatenate([highest, more])), max(1, 2 * len(highest) // 128)):
+        # All windows of toxic texts; at first a few of each clean one, at random.
+        tried = [np.arange(a, a + n) if t or 2 * turn >= rounds else a + random.choice(n, min(n, CLEAN_WINDOWS), replace=False) for a, n, t in zip(begin.tolist(), size.tolist(), target, strict=True)]
+        every_tried = np.concatenate(tried)
+        logits = np.concatenate([forward(p, x, every[every_tried[a : a + AT_ONCE]]) for a in range(0, len(every_tried), AT_ONCE)])
+        until = np.cumsum([len(t) for t in tried])
+        highest = np.array([t[int(logits[b - len(t) : b].argmax())] for t, b in zip(tried, until.tolist(), strict=True)])
+        more = random.choice(np.flatnonzero(target[owner] == 0), len(highest) // 2)
+        for part in np.array_split(random.permutation(np.concatenate([highest, more])), max(1, len(highest) // 64)):
             learn(every[part], target[owner[part]], half[owner[part]])
     return Network(vocabulary, p, prior)
 
