@@ -253,6 +253,11 @@ class Scorer:
         return sigmoid(best).tolist()
 
 
+def _steps(n: int, batch: int) -> int:
+    """Steps over n windows by batches; of few windows 24, if that leaves four for each."""
+    return max(1, n // batch, min(n // 4, 24))
+
+
 def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10, seed: int = 7) -> Network:
     prior = sum(toxic) / len(toxic) if toxic else 0.0
     if not 0 < prior < 1:
@@ -301,7 +306,7 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10,
     even = half[owner] / np.array([len(w) for w in windows])[owner]
     for _ in range(first):
         chosen = random.choice(len(every), min(16_000, 4 * len(every)), p=even / even.sum())
-        for part in np.array_split(chosen, max(1, len(chosen) // 256)):
+        for part in np.array_split(chosen, _steps(len(chosen), 256)):
             learn(every[part], target[owner[part]], np.ones(len(part), np.float32))
     size = np.array([len(w) for w in windows])
     begin = np.cumsum(size) - size
@@ -315,7 +320,7 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10,
         until = np.cumsum([len(t) for t in tried])
         highest = np.array([t[int(logits[b - len(t) : b].argmax())] for t, b in zip(tried, until.tolist(), strict=True)])
         more = random.choice(np.flatnonzero(target[owner] == 0), len(highest) // 2)
-        for part in np.array_split(random.permutation(np.concatenate([highest, more])), max(1, len(highest) // 64)):
+        for part in np.array_split(random.permutation(np.concatenate([highest, more])), _steps(len(highest), 64)):
             learn(every[part], target[owner[part]], half[owner[part]])
     return Network(vocabulary, p, prior)
 
