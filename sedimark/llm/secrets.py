@@ -35,6 +35,8 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.IGNORECASE)
 #: Words and numbers between separators; words in camel case.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[/_=+-]+)+\Z")
+#: A label and a number: dates, ISBNs, article and account numbers.
+NUMBERED = re.compile(r"[A-Za-z]*[-_/+=]*[0-9][0-9_/-]*[A-Za-z]?\Z")
 SEGMENTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 SCHEMA = "n_assign:bigint,n_access:bigint,n_hex:bigint,n_ratio:bigint,base_sha256:string,spans:string"
@@ -52,7 +54,7 @@ def encoding(path: str):
 
 def known(run: str) -> bool:
     """Digests, UUIDs, and names made of words: their kind says that they are no secrets."""
-    if DIGEST.match(run) or UUID.match(run):
+    if DIGEST.match(run) or UUID.match(run) or NUMBERED.match(run):
         return True
     parts = SEGMENTS.findall(run)
     # In a name, words are long for the number of places where letters, cases and digits meet.
