@@ -96,6 +96,21 @@ def unpack(packed: bytes, kind: str) -> list[bytes]:
     return [raw[a:b] for a, b in zip((ends - sizes * joined.itemsize).tolist(), ends.tolist(), strict=True)]
 
 
+def _squeezed(texts: pa.Array) -> pa.Array:
+    """Compressed texts, which are what is shuffled."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([squeeze(t or b"") for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _texts(squeezed: pa.ChunkedArray) -> Iterator[str]:
+    import zstandard
+
+    loosen = zstandard.ZstdDecompressor().decompress
+    return (loosen(s.as_py()).decode() for s in squeezed)
+
+
 def _questions(distinct: Iterable[str], buckets: int) -> dict[int, list[str]]:
     """The distinct pre-tokens of a block by bucket, in order: neighbours share their beginnings, which packs well."""
     asked: dict[int, list[str]] = {}
@@ -114,13 +129,14 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     blocks = max(2 * parallel, -(-table_bytes(some, "text") // BLOCK_BYTES))
     buckets = max(parallel, blocks // BLOCKS_A_BUCKET)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
-    dealt = some.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(parts, "block")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    dealt = some.select("doc_id", block.alias("block"), F.arrow_udf(_squeezed, "binary")("text").alias("text")).repartition(parts, "block")
 
     def ask(block: pa.Table) -> pa.Table:
         distinct: dict[str, None] = {}
         split = splitter(pattern)
-        for text in block["text"].to_pylist():
-            distinct.update(dict.fromkeys(split(text or "")))
+        for text in _texts(block["text"]):
+            distinct.update(dict.fromkeys(split(text)))
         asked = _questions(distinct, buckets)
         packed = []
         for words in asked.values():
@@ -145,7 +161,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     def assemble(block: pa.Table, answers: pa.Table) -> pa.Table:
         # Each text as its pre-tokens; equal ones are one object, so a place costs a pointer.
         split, distinct = splitter(pattern), {}
-        placed = [list(map(distinct.setdefault, words := split(t or ""), words)) for t in block["text"].to_pylist()]
+        placed = [list(map(distinct.setdefault, words := split(t), words)) for t in _texts(block["text"])]
         asked = _questions(distinct, buckets)
         ids: dict[str, bytes] = {}
         for bucket, packed in zip(answers["bucket"].to_pylist(), answers["ids"], strict=True):
