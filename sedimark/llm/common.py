@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -19,8 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, which driver and executors share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new folder below the session's checkpoint folder, which driver and executors share.
+
+    Where none is set, a session of one process gets a temporary one.
+    """
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not top and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sedimark-"))
+        top = context.getCheckpointDir()
     if not top:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{top.rstrip('/')}/sedimark-{uuid.uuid4().hex}"
