@@ -1,18 +1,24 @@
 """Quality rules: counts that show junk, and n-gram perplexity within bands of its language.
 
-The model is a modified Kneser-Ney model (Chen and Goodman, 1998) of ORDER symbols for
+Two models judge a text. The first is of word n-grams of the other documents (words.py): it
+grows with the corpus. A text's log-perplexity is rejected above the median of its language by
+more than WORD_HIGH times the spread above it; and as a salad of words if the order of its words
+helps to foresee them less, by more than WORD_LESS times the spread below, than the median (log-
+perplexity by single words, less that by all orders). There is no lower bound, since a copied text is
+foreseen well, and copies are near_duplicates' to judge. Medians and spreads are of all
+texts of a language and a size, by powers of two of words; sizes of fewer than ENOUGH texts are
+judged with their neighbours. Every text that has a word is judged.
+
+The second sees spelling: a modified Kneser-Ney model (Chen and Goodman, 1998) of ORDER symbols for
 each language. Spark counts the n-grams of all documents. A symbol is one of 32: the
 letters a to z, a space between words, digits, stops, other marks, and two classes of
 other letters. So a language has at most 32**4 + 32**3 + 32**2 + 32 = 1,082,400 n-grams,
-whatever the size of the corpus, and a model of at most MODEL_BYTES; the counts that are
-gathered for it follow the corpus. Models are stored as sorted arrays of hashes with
-their values, and sent to the executors in groups of languages within BROADCAST_BYTES:
-more languages take more passes over documents, each reading its languages alone.
-
-A text's log-perplexity is rejected beyond the bands of its language: the median of all
-its texts, less LOW and more HIGH times the spread, the median distance from it, each
-read from a histogram of all texts in bins of BIN. Texts of fewer than LEAST symbols are
-not judged by it.
+whatever the size of the corpus, and a model of at most MODEL_BYTES. Models are stored as sorted
+arrays of hashes with their values, and sent to the executors in groups of languages within
+BROADCAST_BYTES: more languages take more passes over documents, each reading its languages alone.
+Its log-perplexity is rejected beyond the median of all texts of the language, less LOW and more HIGH times the
+spread, the median distance from it, each read from a histogram of all texts in bins of BIN.
+Texts of fewer than LEAST symbols are judged by their words alone.
 
 Defined cases: a null, empty or blank text has no words, so it fails the base rules; texts
 of any length are read whole; documents with a null language are a group of their own;
@@ -23,6 +29,7 @@ named like an output column are replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -32,6 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.llm import words
 from sedimark.llm.common import forget, settled, with_columns
 
 ORDER, BITS = 4, 5
@@ -39,6 +47,7 @@ SYMBOLS = 1 << BITS
 MODEL_BYTES = 12 * sum(SYMBOLS**n for n in range(1, ORDER + 1))
 BROADCAST_BYTES = 8 * MODEL_BYTES
 LOW, HIGH, BIN, LEAST = 12.0, 12.0, 0.005, 200
+WORD_HIGH, WORD_LESS, WORD_BIN, LEAST_SPREAD, ENOUGH = 6.0, 5.0, 0.02, 0.1, 30
 #: Symbols of a text read at a time.
 STRETCH = 1 << 20
 
@@ -274,11 +283,48 @@ def _median(values: np.ndarray, n: np.ndarray) -> float:
     return float(values[order][np.searchsorted(total, total[-1] / 2)])
 
 
+def _histograms(logs: DataFrame, value: str) -> dict[tuple[str | None, int], dict[int, int]]:
+    """Of (lang, size, value): numbers of texts by bins of WORD_BIN."""
+    found: dict[tuple[str | None, int], dict[int, int]] = defaultdict(dict)
+    for row in logs.groupBy("lang", "size", F.floor(F.col(value) / WORD_BIN).alias("bin")).count().collect():
+        found[row["lang"], row["size"]][row["bin"]] = row["count"]
+    return found
+
+
+def _spread(own: dict[int, int], side: int) -> tuple[float, float]:
+    """The median, and the median distance of what is above it (side 1) or below it (side -1)."""
+    at, n = (np.array(x, float) for x in zip(*sorted(own.items()), strict=True))
+    middle = _median(at + 0.5, n)
+    beyond = side * (at + 0.5 - middle) >= 0
+    return middle * WORD_BIN, max(_median(np.abs(at[beyond] + 0.5 - middle), n[beyond]) * WORD_BIN, LEAST_SPREAD)
+
+
+def word_bands(logs: DataFrame, high: float = WORD_HIGH, less: float = WORD_LESS) -> list[tuple[str | None, int, float, float]]:
+    """Of (lang, size, log_perplexity, gain): (lang, size, the most log-perplexity, the least gain) that pass."""
+    known = logs.where("log_perplexity is not null")
+    tables = [(_histograms(known, name), side) for name, side in (("log_perplexity", 1), ("gain", -1))]
+    found = []
+    for name, size in tables[0][0]:
+        edges = []
+        for table, side in tables:
+            sizes = sorted((s for n, s in table if n == name), key=lambda s: abs(s - size))
+            own: dict[int, int] = defaultdict(int)
+            for s in sizes:
+                if s != size and sum(own.values()) >= ENOUGH:
+                    break
+                for at, n in table[name, s].items():
+                    own[at] += n
+            edges.append(_spread(own, side))
+        (middle, above), (helped, below) = edges
+        found.append((name, size, middle + high * above, helped - less * below))
+    return found
+
+
 RULES = "n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint"
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """docs with the counts of base(), base_failed, log_perplexity (null for short texts) and kept."""
+    """docs with the counts of base(), base_failed, log_perplexity by words (null for texts without any) and kept."""
     counts = settled(counted(docs, text, lang))
     built = settled(models(counts), "zstd")
     forget(counts)
@@ -286,17 +332,27 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", low:
     def rows(texts: list[str | None]) -> Iterator[tuple]:
         return map(base, texts)
 
-    ruled = with_columns(docs, rows, RULES, text)
+    ruled = with_columns(docs, rows, RULES, text).drop("log_perplexity", "kept", "base_failed")
     ruled = ruled.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    parts = perplexities(ruled.drop("log_perplexity", "kept"), built, text, lang, "log_perplexity")
+    # Numbered and settled, so that rows keep their numbers; words are read from here twice.
+    row, spelled, tongue = (f"_{name}_{uuid.uuid4().hex[:8]}" for name in ("row", "spelled", "lang"))
+    whole = settled(ruled.withColumn(row, F.monotonically_increasing_id()), "zstd")
+    parts = perplexities(whole, built, text, lang, spelled)
     # The text is dropped before the result is settled and judged; what is kept of a document is its counts.
     slim = [settled(p.drop(text)) if text != lang else settled(p) for p in parts]
     judged = slim[0]
     for part in slim[1:]:
         judged = judged.unionByName(part)
-    passed = bands(judged.select(F.col(f"`{lang}`").cast("string").alias("lang"), "log_perplexity"), low, high)
+    judged = judged.withColumn(tongue, F.col(f"`{lang}`").cast("string"))
+    logs = words.scored(whole.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")))
+    logs = settled(logs.select(F.col("row").alias(row), F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int").alias("size"), "log_perplexity", (F.col("single") - F.col("log_perplexity")).alias("gain")))
+    passed = bands(judged.select(F.col(tongue).alias("lang"), F.col(spelled).alias("log_perplexity")), low, high)
+    own = judged.select(row, F.col(tongue).alias("lang")).join(logs, row)
+    edges = F.broadcast(docs.sparkSession.createDataFrame(word_bands(own), "tongue string, length int, most double, least double"))
+    fits = own.join(edges, F.col("lang").eqNullSafe(F.col("tongue")) & (F.col("size") == F.col("length")), "left")
+    fits = fits.select(row, "log_perplexity", F.coalesce((F.col("log_perplexity") <= F.col("most")) & (F.col("gain") >= F.col("least")), F.lit(True)).alias("kept"))
     inside = F.lit(True)
     for name, (least, most) in passed.items():
-        own = F.col(f"`{lang}`").isNull() if name is None else F.coalesce(F.col(f"`{lang}`").cast("string") == name, F.lit(False))
-        inside = F.when(own, F.coalesce(F.col("log_perplexity").between(least, most), F.lit(True))).otherwise(inside)
-    return judged.withColumn("kept", ~F.col("base_failed") & inside)
+        inside = F.when(F.col(tongue).eqNullSafe(F.lit(name)), F.coalesce(F.col(spelled).between(least, most), F.lit(True))).otherwise(inside)
+    judged = judged.join(fits, row).withColumn("kept", ~F.col("base_failed") & F.col("kept") & inside)
+    return judged.drop(row, spelled, tongue)
