@@ -2,16 +2,17 @@
 
 Words are canonical: lower-cased and stripped of punctuation, with numbers, names and
 units replaced by the placeholders <num>, <name> and <unit>, so that a question asked
-again with other values has the same template. A name is a capitalised word that does
-not begin a sentence; names in a row are one. Templates are cut into windows of WINDOW
+again with other values has the same template. A name is a capitalised word; names in a row are one.
+A capitalised word that begins a sentence may be either, so a text is read both ways, and each
+reading is matched by itself. Templates are cut into windows of WINDOW
 words (an item with fewer words is one window), each with at least LITERAL of its words
 kept as they are, or all of them.
 
 A Bloom filter of fixed size, made from the benchmark's windows, leaves the documents'
 windows that may match; those are joined with the benchmark's by hash. Of the matches of
 a document and an item, COVERED of the item's windows must be in the document, and the
-slots must be consistent: no value of the item may stand for two values in the document,
-nor two for one. The result names how it was caught: ``exact`` if all slots are equal, else
+slots must be consistent: no value of the item may stand for two values in the document (two
+may become one). The result names how it was caught: ``exact`` if all slots are equal, else
 ``reparameterised``.
 
 Window hashes are hash-joined with adaptive skew splitting, so a passage that very many
@@ -54,6 +55,8 @@ NUMBER_UNIT = re.compile(r"[+-]?[0-9][0-9.,]*([a-z]{1,4})\Z")
 EDGES = " \t\"'`()[]{}<>.,;:!?¡¿«»“”‘’*_~|#"
 
 PLAIN, NUM, NAME, UNIT, NONE = range(5)
+#: Readings of a text: capitalised words that begin sentences are plain, or names.
+READINGS = FIRST_PLAIN, FIRST_NAME = 0, 1
 #: Values of the placeholders, far from those of words only by chance.
 HASHES = {NUM: 0x9E3779B97F4A7C15, NAME: 0xC2B2AE3D27D4EB4F, UNIT: 0x165667B19E3779F9}
 STEP = np.uint64(0x100000001B3)
@@ -116,37 +119,39 @@ class Canonical:
         self.words = Words()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        return next(self.readings(text, (FIRST_PLAIN,)))
+
+    def readings(self, text: str, wanted: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
         split = text.split()
         at = self.words.places(split)
-        h, kind, ends = self.words.hash[at], self.words.kind[at], self.words.ends[at]
-        first = np.ones(len(at), bool)
-        first[1:] = ends[:-1]
-        kind = np.where((kind == NAME) & first, PLAIN, kind)
-        # A unit is one only behind a number.
-        behind = np.zeros(len(at), bool)
-        behind[1:] = kind[:-1] == NUM
-        kind = np.where((kind == UNIT) & ~behind, PLAIN, kind)
-        again = np.zeros(len(at), bool)
-        again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
-        kept = np.flatnonzero((kind != NONE) & ~again)
-        kind, h = kind[kept], h[kept]
-        for k, value in HASHES.items():
-            h[kind == k] = value
-        return h, kind, kept, split
-
-
-def windows(h: np.ndarray, kind: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of a length that keep enough words."""
-    n = len(h) - length + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    value = np.full(n, length, np.uint64)
-    for i in range(length):
-        value = (value ^ h[i : i + n]) * STEP
+        hashes, kinds, ends = self.words.hash[at], self.words.kind[at], self.words.ends[at]
+        for reading in wanted:
+            h, kind = hashes, kinds
+            if reading == FIRST_PLAIN:
+                first = np.ones(len(at), bool)
+                first[1:] = ends[:-1]
+                kind = np.where((kind == NAME) & first, PLAIN, kind)
+            # A unit is one only behind a number.
+            behind = np.zeros(len(at), bool)
+            behind[1:] = kind[:-1] == NUM
+            kind = np.where((kind == UNIT) & ~behind, PLAIN, kind)
+            again = np.zeros(len(at), bool)
+            again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
+            kept = np.flatnonzero((kind != NONE) & ~again)
+            kind, h = kind[kept], h[kept]
+            for k, value in HASHES.items():
+                h[kind == k] = value
+            yield h, kind, kept, split
+
+
+def windows(h: np.ndarray, lengths: list[int], reading: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length with the hashes of its windows, by where they start; one pass makes those of all lengths."""
+    value = np.zeros(len(h), np.uint64)
+    for i in range(min(max(lengths), len(h))):
+        value = (value[: len(h) - i] ^ h[i:]) * STEP
         value ^= value >> np.uint64(29)
-    plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
-    starts = np.flatnonzero(plain[length:] - plain[:-length] >= min(LITERAL, length))
-    return starts, value[starts]
+        if i + 1 in lengths:
+            yield i + 1, value ^ np.uint64((i + 1 + WINDOW * reading) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
 def slots(start: int, length: int, kind: np.ndarray, kept: np.ndarray, split: list[str]) -> list[str]:
@@ -165,28 +170,26 @@ def slots(start: int, length: int, kind: np.ndarray, kept: np.ndarray, split: li
 
 
 def _rows(ids: list, texts: list, lengths: list[int] | None, bits: np.ndarray | None, canonical: Canonical) -> Iterator[tuple]:
-    """(id, length, window hash, place, windows of the text, slots) of each window; with bits, only of those in the filter."""
+    """(id, reading, length, window hash, place, windows of the text, slots) of each window; with bits, only of those in the filter."""
     for name, text in zip(ids, texts, strict=True):
-        h, kind, kept, split = canonical(text or "")
-        own = lengths if lengths is not None else [min(WINDOW, len(h))]
-        for length in own:
-            if not length:
+        for reading, (h, kind, kept, split) in zip(READINGS, canonical.readings(text or "", READINGS), strict=True):
+            own = lengths if lengths is not None else [min(WINDOW, len(h))]
+            if not len(h) or not own:
                 continue
-            starts, values = windows(h, kind, length)
-            if bits is not None and len(values):
-                spot = values & np.uint64(FILTER_BITS - 1)
-                passed = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 != 0
-                starts, total = starts[passed], len(starts)
-                values = values[passed]
-            else:
-                total = len(starts)
-            for start, value in zip(starts.tolist(), values.view(np.int64).tolist(), strict=True):
-                yield name, length, value, start, total, slots(start, length, kind, kept, split)
+            plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
+            for length, values in windows(h, own, reading):
+                starts = np.arange(len(values))
+                if bits is not None:
+                    spot = values & np.uint64(FILTER_BITS - 1)
+                    starts = np.flatnonzero((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                starts = starts[plain[starts + length] - plain[starts] >= min(LITERAL, length)]
+                for start, value in zip(starts.tolist(), values[starts].view(np.int64).tolist(), strict=True):
+                    yield name, reading, length, value, start, len(starts), slots(start, length, kind, kept, split)
 
 
 def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bits) -> DataFrame:
     kind = df.schema[name].dataType.simpleString()
-    arrow = pa.schema([("id", pa.string() if kind == "string" else pa.int64()), ("length", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("slots", pa.list_(pa.string()))])
+    arrow = pa.schema([("id", pa.string() if kind == "string" else pa.int64()), ("reading", pa.int32()), ("length", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("slots", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical, filtered = Canonical(), None if bits is None else np.frombuffer(bits.value, np.uint8)
@@ -197,7 +200,7 @@ def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bit
 
     id_kind = "string" if kind == "string" else "bigint"
     some = df.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").cast(id_kind).alias("id"), F.col(f"`{text}`").alias("text"))
-    return some.mapInArrow(run, f"id {id_kind}, length int, h bigint, at int, windows int, slots array<string>")
+    return some.mapInArrow(run, f"id {id_kind}, reading int, length int, h bigint, at int, windows int, slots array<string>")
 
 
 def _filter(items: DataFrame) -> tuple[bytes, list[int]]:
@@ -218,22 +221,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     data, lengths = _filter(items)
     bits = docs.sparkSession.sparkContext.broadcast(data)
     found = _windows(docs, doc_id, text, lengths, bits)
-    known = items.select(F.col("id").alias("item_id"), "length", "h", F.col("at").alias("item_at"), F.col("windows").alias("n"), F.col("slots").alias("item_slots"))
-    met = found.select(F.col("id").alias("doc_id"), "length", "h", "at", "slots").join(known, ["length", "h"])
+    known = items.select(F.col("id").alias("item_id"), "reading", "length", "h", F.col("at").alias("item_at"), F.col("windows").alias("n"), F.col("slots").alias("item_slots"))
+    met = found.select(F.col("id").alias("doc_id"), "reading", "length", "h", "at", "slots").join(known, ["reading", "length", "h"])
     zipped = F.transform(F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"].alias("a"), s["slots"].alias("b")))
-    pairs = met.select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", zipped.alias("slots"))
+    pairs = met.select("doc_id", "item_id", "reading", "n", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", zipped.alias("slots"))
     # Matches at one offset are one copy of the item; its slots must agree among themselves.
-    copies = pairs.groupBy("doc_id", "item_id", "n", "offset").agg(
+    copies = pairs.groupBy("doc_id", "item_id", "reading", "n", "offset").agg(
         F.collect_set(F.struct("item_at", F.forall("slots", lambda s: s["a"] == s["b"]).alias("same"))).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    one_to_one = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
-    one_to_one &= F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
-    places = copies.select("doc_id", "item_id", "n", one_to_one.alias("fits"), F.explode("windows").alias("w"))
-    each = places.groupBy("doc_id", "item_id", "n", "w.item_at").agg(F.max("w.same").alias("same"), F.max(F.col("w.same") | F.col("fits")).alias("fits"))
-    counted = each.groupBy("doc_id", "item_id", F.col("n").cast("bigint").alias("windows")).agg(F.count_if("same").alias("same"), F.count_if("fits").alias("matched"))
-    caught = F.when(F.col("same") >= F.col("windows") * covered, "exact").otherwise("reparameterised")
-    return counted.where(F.col("matched") >= F.col("windows") * covered).select("doc_id", "item_id", "windows", "matched", caught.alias("caught"))
+    one_value = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
+    places = copies.select("doc_id", "item_id", "reading", "n", one_value.alias("fits"), F.explode("windows").alias("w"))
+    each = places.groupBy("doc_id", "item_id", "reading", "n", "w.item_at").agg(F.max("w.same").alias("same"), F.max(F.col("w.same") | F.col("fits")).alias("fits"))
+    counted = each.groupBy("doc_id", "item_id", "reading", F.col("n").cast("bigint").alias("windows")).agg(F.count_if("same").alias("same"), F.count_if("fits").alias("matched"))
+    counted = counted.where(F.col("matched") >= F.col("windows") * covered)
+    # Of the readings that find a pair, the first is reported.
+    first = counted.groupBy("doc_id", "item_id").agg(
+        F.min_by(F.struct("windows", "matched"), "reading").alias("first"),
+        F.max(F.col("same") >= F.col("windows") * covered).alias("exact"),
+    )
+    return first.select("doc_id", "item_id", "first.windows", "first.matched", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("caught"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -66,3 +66,13 @@ def test_filter_passes_every_window(spark):
         spot = row.h & (D.FILTER_BITS - 1)
         assert bits[spot >> 3] >> (spot & 7) & 1
     assert lengths == [8]
+
+
+def test_names_that_begin_sentences_and_values_that_become_one(spark):
+    asked = "Mary has 12 apples. Tom gives her 7 more apples. How many apples does Mary have?"
+    pens = "on the table in the hall lie 3 pens and 5 books that somebody has left there last night"
+    docs = [
+        (1, asked.replace("Mary", "Anna").replace("Tom", "Ben").replace("12", "15").replace("7", "9")),
+        (2, pens.replace("3", "4").replace("5", "4")),
+    ]
+    assert found(spark, docs, [(1, asked), (2, pens)]) == {(1, 1): "reparameterised", (2, 2): "reparameterised"}
