@@ -4,7 +4,7 @@ Words are canonical: lower-cased and stripped of punctuation, with numbers, name
 units replaced by the placeholders <num>, <name> and <unit>, so that a question asked
 again with other values has the same template. A name is a capitalised word; names in a row are one.
 A capitalised word that begins a sentence may be either, so a text is read both ways, and each
-reading is matched by itself. Templates are cut into windows of WINDOW
+reading is matched by itself. A third reading has no placeholders: it finds exact copies of whatever words. Templates are cut into windows of WINDOW
 words (an item with fewer words is one window), each with at least LITERAL of its words
 kept as they are, or all of them.
 
@@ -55,8 +55,8 @@ NUMBER_UNIT = re.compile(r"[+-]?[0-9][0-9.,]*([a-z]{1,4})\Z")
 EDGES = " \t\"'`()[]{}<>.,;:!?¡¿«»“”‘’*_~|#"
 
 PLAIN, NUM, NAME, UNIT, NONE = range(5)
-#: Readings of a text: capitalised words that begin sentences are plain, or names.
-READINGS = FIRST_PLAIN, FIRST_NAME = 0, 1
+#: Readings of a text: capitalised words that begin sentences are plain, or names; or all words as they are.
+READINGS = FIRST_PLAIN, FIRST_NAME, VERBATIM = 0, 1, 2
 #: Values of the placeholders, far from those of words only by chance.
 HASHES = {NUM: 0x9E3779B97F4A7C15, NAME: 0xC2B2AE3D27D4EB4F, UNIT: 0x165667B19E3779F9}
 STEP = np.uint64(0x100000001B3)
@@ -126,7 +126,7 @@ class Canonical:
         at = self.words.places(split)
         hashes, kinds, ends = self.words.hash[at], self.words.kind[at], self.words.ends[at]
         for reading in wanted:
-            h, kind = hashes, kinds
+            h, kind = hashes, kinds if reading != VERBATIM else np.where(kinds == NONE, NONE, PLAIN)
             if reading == FIRST_PLAIN:
                 first = np.ones(len(at), bool)
                 first[1:] = ends[:-1]

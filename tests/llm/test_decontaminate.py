@@ -76,3 +76,9 @@ def test_names_that_begin_sentences_and_values_that_become_one(spark):
         (2, pens.replace("3", "4").replace("5", "4")),
     ]
     assert found(spark, docs, [(1, asked), (2, pens)]) == {(1, 1): "reparameterised", (2, 2): "reparameterised"}
+
+
+def test_items_of_few_plain_words_are_found(spark):
+    items = [(1, "What is 17 * 23 + 4 ?"), (2, "Who won in 1998, 2002, 2006, 2010 and 2014?"), (3, "What is the capital city of Peru?")]
+    docs = [(i, f"it was asked before {text} and answered") for i, text in items] + [(4, "What is 18 * 23 + 4 ?")]
+    assert found(spark, docs, items) == {(i, i): "exact" for i in (1, 2, 3)}
