@@ -10,7 +10,7 @@ kept as they are, or all of them.
 
 A Bloom filter of fixed size, made from the benchmark's windows, leaves the documents'
 windows that may match; those are joined with the benchmark's by hash. Of the matches of
-a document and an item, COVERED of the item's windows must be in the document, and the
+a document and an item, COVERED of the item's windows must be in the document, or RUN of its words in a row, and the
 slots must be consistent: no value of the item may stand for two values in the document (two
 may become one). The result names how it was caught: ``exact`` if all slots are equal, else
 ``reparameterised``.
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 WINDOW = 8
 LITERAL = 5
 COVERED = 0.5
+#: Words in a row that show an excerpt of an item of any length.
+RUN = 13
 #: Bits of the filter: 4 MB whatever the benchmark's size. Beyond some million windows it passes more, which the join removes.
 FILTER_BITS = 1 << 25
 
@@ -231,14 +233,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     one_value = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
-    places = copies.select("doc_id", "item_id", "reading", "n", one_value.alias("fits"), F.explode("windows").alias("w"))
-    each = places.groupBy("doc_id", "item_id", "reading", "n", "w.item_at").agg(F.max("w.same").alias("same"), F.max(F.col("w.same") | F.col("fits")).alias("fits"))
-    counted = each.groupBy("doc_id", "item_id", "reading", F.col("n").cast("bigint").alias("windows")).agg(F.count_if("same").alias("same"), F.count_if("fits").alias("matched"))
-    counted = counted.where(F.col("matched") >= F.col("windows") * covered)
+    ats = lambda w: F.array_sort(F.transform(w, lambda x: x["item_at"]))
+    alike = F.filter("windows", lambda w: w["same"])
+    # RUN words in a row are RUN - WINDOW + 1 windows in a row, each at its own place.
+    row = lambda a: F.exists(F.transform(a, lambda x, i: F.coalesce(F.get(a, i + (RUN - WINDOW)) - x == RUN - WINDOW, F.lit(False))), lambda x: x)
+    copies = copies.withColumns({"fits": one_value, "same_run": row(ats(alike)), "run": row(F.array_distinct(ats(F.col("windows"))))})
+    places = copies.select("doc_id", "item_id", "reading", "n", "fits", "same_run", (F.col("same_run") | (F.col("fits") & F.col("run"))).alias("run"), F.explode("windows").alias("w"))
+    each = places.groupBy("doc_id", "item_id", "reading", "n", "w.item_at").agg(F.max("w.same").alias("same"), F.max(F.col("w.same") | F.col("fits")).alias("fits"), F.max("same_run").alias("same_run"), F.max("run").alias("run"))
+    counted = each.groupBy("doc_id", "item_id", "reading", F.col("n").cast("bigint").alias("windows")).agg(F.count_if("same").alias("same"), F.count_if("fits").alias("matched"), F.max("same_run").alias("same_run"), F.max("run").alias("run"))
+    counted = counted.where((F.col("matched") >= F.col("windows") * covered) | F.col("run"))
     # Of the readings that find a pair, the first is reported.
     first = counted.groupBy("doc_id", "item_id").agg(
         F.min_by(F.struct("windows", "matched"), "reading").alias("first"),
-        F.max(F.col("same") >= F.col("windows") * covered).alias("exact"),
+        F.max((F.col("same") >= F.col("windows") * covered) | F.col("same_run")).alias("exact"),
     )
     return first.select("doc_id", "item_id", "first.windows", "first.matched", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("caught"))
 

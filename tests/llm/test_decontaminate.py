@@ -82,3 +82,9 @@ def test_items_of_few_plain_words_are_found(spark):
     items = [(1, "What is 17 * 23 + 4 ?"), (2, "Who won in 1998, 2002, 2006, 2010 and 2014?"), (3, "What is the capital city of Peru?")]
     docs = [(i, f"it was asked before {text} and answered") for i, text in items] + [(4, "What is 18 * 23 + 4 ?")]
     assert found(spark, docs, items) == {(i, i): "exact" for i in (1, 2, 3)}
+
+
+def test_excerpts_of_long_items(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    docs = [(1, "so " + " ".join(words[100:113]) + " it went"), (2, "so " + " ".join(words[100:112]) + " it went")]
+    assert found(spark, docs, [(1, " ".join(words))]) == {(1, 1): "exact"}
