@@ -2,7 +2,7 @@
 
 A vocabulary holds the pieces that are frequent in text and code, so ordinary
 strings need few tokens and random ones many: a candidate run whose characters per
-token fall below a threshold is reported, unless it is a known kind of digest or
+token fall below a threshold is reported, or the stretches of it that do, unless it is a known kind of digest or
 identifier. Spans are in code points, end exclusive.
 
 Defined cases: a null text is an empty one; a text of any length is scanned whole;
@@ -37,6 +37,9 @@ UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[/_=+-]+)+\Z")
 #: A label and a number: dates, ISBNs, article and account numbers.
 NUMBERED = re.compile(r"[A-Za-z]*[-_/+=]*[0-9][0-9_/-]*[A-Za-z]?\Z")
+#: What separators leave of a run; characters of the least stretch, and tokens of a window within a piece.
+PIECE = re.compile(r"[A-Za-z0-9]+")
+LEAST, TOKENS = 16, 10
 SEGMENTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 SCHEMA = "n_assign:bigint,n_access:bigint,n_hex:bigint,n_ratio:bigint,base_sha256:string,spans:string"
@@ -58,7 +61,7 @@ def known(run: str) -> bool:
         return True
     parts = SEGMENTS.findall(run)
     # In a name, words are long for the number of places where letters, cases and digits meet.
-    return bool(IDENTIFIER.match(run)) and len(run) >= 4 * len(parts)
+    return len(parts) > 1 and bool(IDENTIFIER.match(run)) and len(run) >= 4 * len(parts)
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -70,14 +73,50 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+def low(run: str, chars_per_token: float, vocabulary: str) -> bool:
+    return len(run) < chars_per_token * len(encoding(vocabulary).encode_ordinary(run))
+
+
+def stretches(run: str, chars_per_token: float, vocabulary: str) -> Iterator[tuple[int, int]]:
+    """Parts of a run that are below the ratio: pieces between separators, in a row, or within a piece windows of tokens."""
+    pieces = [m.span() for m in PIECE.finditer(run)]
+    below = [not run[a:b].isdigit() and low(run[a:b], chars_per_token, vocabulary) for a, b in pieces]
+    at = 0
+    while at < len(pieces):
+        start, end = pieces[at]
+        if below[at]:
+            while at + 1 < len(pieces) and below[at + 1]:
+                at += 1
+            end = pieces[at][1]
+            yield start, end
+        elif end - start > LEAST:
+            tokens = encoding(vocabulary).encode_ordinary(run[start:end])
+            ends = [0]
+            for token in tokens:
+                ends.append(ends[-1] + len(encoding(vocabulary).decode_single_token_bytes(token)))
+            first = last = None
+            for i in range(len(tokens) - TOKENS + 1):
+                if ends[i + TOKENS] - ends[i] < chars_per_token * TOKENS:
+                    if last is not None and i > last:
+                        yield start + ends[first], start + ends[last]
+                        first = None
+                    first, last = i if first is None else first, i + TOKENS
+            if last is not None:
+                yield start + ends[first], start + ends[last]
+        at += 1
+
+
 def random_spans(text: str, taken: list[tuple[int, int]], chars_per_token: float, vocabulary: str) -> Iterator[tuple[int, int]]:
-    """Runs below the ratio that meet no span already taken."""
+    """Runs below the ratio, or else their parts that are, that meet no span already taken."""
     for m in RUN.finditer(text):
-        run, (start, end) = m[0], m.span()
-        if sum((any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run))) < 2 or known(run):
+        run, offset = m[0], m.start()
+        if DIGEST.match(run) or UUID.match(run) or NUMBERED.match(run):
             continue
-        if len(run) < chars_per_token * len(encoding(vocabulary).encode_ordinary(run)) and all(end <= a or b <= start for a, b in taken):
-            yield start, end
+        whole = not known(run) and low(run, chars_per_token, vocabulary)
+        for a, b in [(0, len(run))] if whole else stretches(run, chars_per_token, vocabulary):
+            start, end = offset + a, offset + b
+            if b - a >= LEAST and not known(run[a:b]) and all(end <= c or d <= start for c, d in taken):
+                yield start, end
 
 
 def listed(spans: dict[str, list[tuple[int, int]]]) -> str:

@@ -49,3 +49,15 @@ def test_redaction_keeps_columns_and_clean_texts(spark):
     assert sorted((r.doc_id, r.text or "", r.spans) for r in out.collect()) == [(1, "a <SECRET> b", "x"), (2, "", "y"), (3, "clean", "z"), (3, "clean", "z")]
     assert secrets.find_secrets(docs.limit(0), VOCABULARY).count() == 0
     assert secrets.find_secrets(docs, VOCABULARY).columns.count("spans") == 1
+
+
+def test_random_strings_behind_plain_text_are_found():
+    import random
+    import string
+
+    r = random.Random(4)
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_lowercase):
+        keys = ["".join(r.choices(alphabet, k=32)) for _ in range(100)]
+        for front in ("", "/en/articles/how-to-reset-your-account-password/", "/download/files/attachment/"):
+            assert sum(bool(secrets.scan(f"see {front}{k} now", 2.0, VOCABULARY)["ratio"]) for k in keys) >= 90
+    assert not secrets.scan("/en/articles/2024/05/17/how-to-reset-your-account-password/", 2.0, VOCABULARY)["ratio"]
