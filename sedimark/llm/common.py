@@ -11,13 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of 100,000 characters a batch is about 50 MB.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches that long texts do not swell; queries and stages call it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,35 +48,61 @@ def settled(df: DataFrame, codec: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unlink(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a frame made by settled()."""
-    context = df.sparkSession.sparkContext
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        unlink(df.sparkSession, name)
+
+
+def _uri(folder: str) -> str:
+    """file:/x and /x as file:///x, which Arrow's file systems read."""
+    return re.sub(r"^(?:file:)?/(?!/)", "file:///", folder)
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write a file of a shared folder aside and rename it, so that a repeated task leaves the same file."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(_uri(folder))
+    system.create_dir(path, recursive=True)
+    own = f"{path}/_writing-{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
+        out.write(data)
+    system.move(own, f"{path}/{name}")
+
+
+def get_file(folder: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(_uri(folder))
+    with system.open_input_stream(f"{path}/{name}") as found:
+        return found.read()
 
 
 def struct_column(rows: Callable[[list], Iterable[tuple]], schema: str, column: Column) -> Column:
     """A struct column from a function of a list of values (texts, None for null), by Arrow batches."""
     def run(values: pa.Array) -> pa.Array:
-        return _structs(list(rows(values.to_pylist())), kind)
+        return structs(list(rows(values.to_pylist())), schema)
 
-    kind = _arrow_struct(schema)
     return F.arrow_udf(run, f"struct<{schema}>")(column)
 
 
-def _arrow_struct(schema: str) -> pa.StructType:
+def structs(rows: list[tuple], schema: str) -> pa.StructArray:
+    """Rows as structs of a schema like ``a:bigint,b:array<string>``."""
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
     def kind(name: str) -> pa.DataType:
         return pa.list_(kind(name[6:-1])) if name.startswith("array<") else kinds[name]
 
-    return pa.struct([pa.field(n, kind(t)) for n, t in (f.split(":") for f in schema.split(","))])
-
-
-def _structs(rows: list[tuple], kind: pa.StructType) -> pa.Array:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in kind]
-    return pa.StructArray.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+    fields = [pa.field(n, kind(t)) for n, t in (f.split(":") for f in schema.split(","))]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.StructArray.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
 
 
 def with_columns(df: DataFrame, rows: Callable[[list], Iterable[tuple]], schema: str, column: str) -> DataFrame:

@@ -1,72 +1,45 @@
 """Quality rules: counts that show junk, and n-gram perplexity within bands of its language.
 
-Two models judge a text. The first is of word n-grams of the other documents (words.py): it
-grows with the corpus. A text's log-perplexity is rejected above the median of its language by
-more than WORD_HIGH times the spread above it; and as a salad of words if the order of its words
-helps to foresee them less, by more than WORD_LESS times the spread below, than the median (log-
-perplexity by single words, less that by all orders). There is no lower bound, since a copied text is
-foreseen well, and copies are near_duplicates' to judge. Medians and spreads are of all
-texts of a language and a size, by powers of two of words; sizes of fewer than ENOUGH texts are
-judged with their neighbours. Every text that has a word is judged.
+The model is one of word n-grams of all other documents (words.py), modified Kneser-Ney; it grows with the
+corpus. Of each text it gives the log-perplexity by all orders and by single words. A text is
+rejected if
 
-The second sees spelling: a modified Kneser-Ney model (Chen and Goodman, 1998) of ORDER symbols for
-each language. Spark counts the n-grams of all documents. A symbol is one of 32: the
-letters a to z, a space between words, digits, stops, other marks, and two classes of
-other letters. So a language has at most 32**4 + 32**3 + 32**2 + 32 = 1,082,400 n-grams,
-whatever the size of the corpus, and a model of at most MODEL_BYTES. Models are stored as sorted
-arrays of hashes with their values, and sent to the executors in groups of languages within
-BROADCAST_BYTES: more languages take more passes over documents, each reading its languages alone.
-Its log-perplexity is rejected beyond the median of all texts of the language, less LOW and more HIGH times the
-spread, the median distance from it, each read from a histogram of all texts in bins of BIN.
-Texts of fewer than LEAST symbols are judged by their words alone.
+- its log-perplexity is more than HIGH spreads above the median: words or characters that its language does not know;
+- by single words it is more than LOW spreads below the median: a few common words again and again;
+- the order of its words helps to foresee them less than the median by more than LESS spreads: a salad of words.
 
-Defined cases: a null, empty or blank text has no words, so it fails the base rules; texts
+The lower band is one of single words since a copied text is foreseen well, and copies are near_duplicates' to judge.
+Medians, and spreads (the median distance of what lies on that side of the median), are of all texts of a
+language and a size, by powers of two of words, in bins of BIN; where there are fewer than ENOUGH such texts, of all texts
+of the language, or else of all texts. Every text with a word is judged, whatever its length.
+
+Defined cases: a null, empty or blank text has no words, so it fails the base rules; a text whose
+words have no letter, digit or mark (controls alone) is rejected; texts
 of any length are read whole; documents with a null language are a group of their own;
 repeated rows each get their result; an empty table gives an empty table; input columns
-named like an output column are replaced.
+named like an output column are replaced; ties (equal perplexities) are judged alike. The text column is not returned.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm import words
-from sedimark.llm.common import forget, settled, with_columns
+from sedimark.llm.common import settled
 
-ORDER, BITS = 4, 5
-SYMBOLS = 1 << BITS
-MODEL_BYTES = 12 * sum(SYMBOLS**n for n in range(1, ORDER + 1))
-BROADCAST_BYTES = 8 * MODEL_BYTES
-LOW, HIGH, BIN, LEAST = 12.0, 12.0, 0.005, 200
-WORD_HIGH, WORD_LESS, WORD_BIN, LEAST_SPREAD, ENOUGH = 6.0, 5.0, 0.02, 0.1, 30
-#: Symbols of a text read at a time.
-STRETCH = 1 << 20
+HIGH, LOW, LESS = 6.0, 8.0, 5.0
+BIN, LEAST_SPREAD, ENOUGH = 0.02, 0.1, 30
 
-SPACE = b" \t\n\v\f\r"
 LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MARKS = "#*$%&|<>"
 
-# Symbols by byte of UTF-8: continuation bytes are dropped, so a character is one symbol.
-SPACES, DIGIT, STOP, MARK, LATIN, OTHER, DROPPED = 26, 27, 28, 29, 30, 31, 255
-CLASSES = np.full(256, MARK, np.uint8)
-CLASSES[[*range(97, 123)]] = CLASSES[[*range(65, 91)]] = np.arange(26)
-CLASSES[[*SPACE]] = SPACES
-CLASSES[48:58] = DIGIT
-CLASSES[[*b".,;:!?'\"-()"]] = STOP
-CLASSES[0x80:0xC0] = DROPPED
-CLASSES[0xC0:0xC8] = LATIN
-CLASSES[0xC8:] = OTHER
-
 
 def repeated_words(words: list[str], size: int = 8) -> int:
     """Words in windows of ``size`` words that occur twice or more."""
@@ -97,262 +70,49 @@ def base(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, MARKS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def symbols(text: str | None) -> np.ndarray:
-    """Symbols of a text between two spaces, with runs of spaces as one."""
-    found = CLASSES[np.frombuffer(f" {text or ''} ".encode(), np.uint8)]
-    found = found[found != DROPPED]
-    spaces = found == SPACES
-    spaces[1:] &= spaces[:-1]
-    spaces[0] = False
-    return found[~spaces]
-
-
-def codes(found: np.ndarray) -> Iterator[np.ndarray]:
-    """Codes of the n-grams of ORDER symbols, a stretch at a time; the first are led in by spaces."""
-    found = np.concatenate((np.full(ORDER - 1, SPACES, np.uint8), found))
-    for at in range(0, len(found) - ORDER + 1, STRETCH):
-        part = found[at : at + STRETCH + ORDER - 1].astype(np.int64)
-        code = part[: len(part) - ORDER + 1].copy()
-        for i in range(1, ORDER):
-            code = (code << BITS) | part[i : i + len(code)]
-        yield code
+RULES = "n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint"
+#: Measures of a text, and the side of the median on which they are bounded.
+MEASURES = {"log_perplexity": 1, "single": -1, "gain": -1}
 
 
-def counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, code, n) of all n-grams of ORDER symbols."""
+def _rules(texts: list[str | None]) -> Iterator[tuple]:
+    return map(base, texts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str | None, np.ndarray] = {}
 
-        def rows(name: str | None) -> pa.RecordBatch:
-            total = totals.pop(name)
-            code = np.flatnonzero(total)
-            return pa.record_batch({"lang": pa.array([name] * len(code), pa.string()), "code": code, "n": total[code]})
+def _edges(measured: DataFrame, *keys: str) -> DataFrame:
+    """By group: its number of texts n, and of each measure the bound beyond which a text is rejected (in bins)."""
+    bounds = {"log_perplexity": HIGH, "single": LOW, "gain": LESS}
+    middle = measured.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.median(m).alias(f"middle_{m}") for m in MEASURES))
+    apart = measured.join(middle, list(keys)) if keys else measured.select(*(F.col(c) for c in measured.columns), *(F.lit(v).alias(c) for c, v in middle.first().asDict().items()))
 
-        for batch in batches:
-            gathered: dict[str | None, list[np.ndarray]] = defaultdict(list)
-            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for code in codes(symbols(value)):
-                    gathered[name].append(code)
-            for name, found in gathered.items():
-                if name not in totals and len(totals) >= 8:
-                    yield rows(next(iter(totals)))  # the next of this language add to a new total
-                count = np.bincount(np.concatenate(found), minlength=SYMBOLS**ORDER)
-                totals[name] = totals[name] + count if name in totals else count
-        for name in list(totals):
-            yield rows(name)
+    def spread(m: str) -> Column:
+        distance = MEASURES[m] * (F.col(m) - F.col(f"middle_{m}"))
+        return F.greatest(F.median(F.when(distance >= 0, distance)), F.lit(LEAST_SPREAD / BIN))
 
-    some = docs.select(F.col(f"`{text}`"), F.col(f"`{lang}`").cast("string"))
-    return some.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return apart.groupBy(*keys).agg(F.first("n").alias("n"), *((F.first(f"middle_{m}") + MEASURES[m] * bounds[m] * spread(m)).alias(m) for m in MEASURES))
 
 
-def model(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams of each order with their interpolated log-probabilities: hashes and values.
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", stable: bool = False) -> DataFrame:
+    """docs without texts, with the counts of base(), base_failed, log_perplexity by words (null for texts without any) and kept.
 
-    An n-gram of k symbols has the hash ``code | 1 << BITS * k``, so orders do not meet.
-    Under the hash of a context, with bit 40 set, is the log of the share that it leaves
-    to shorter contexts.
+    stable says that docs come from files, so that they are read alike each time; others are written first.
     """
-    keys, values = [], []
-    code, n = code[order := np.argsort(code)], n[order].astype(np.float64)
-    # Counts by order: the longest as they are, shorter ones by the number of symbols seen before them.
-    tables = [(code, n)]
-    for k in range(ORDER - 1, 0, -1):
-        longer, _ = tables[0]
-        tables.insert(0, np.unique(longer & ((1 << BITS * k) - 1), return_counts=True))
-    lower = np.full(1, 1.0 / SYMBOLS)  # probability of a symbol, by order below
-    lower_codes = np.zeros(1, np.int64)
-    for k, (grams, count) in enumerate(tables, 1):
-        count = count.astype(np.float64)
-        ones = [float((count == i).sum()) for i in (1, 2, 3, 4)]
-        y = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] and ones[1] else 0.5
-        discount = [min(float(i), max(0.05, i - (i + 1) * y * ones[i] / ones[i - 1])) if ones[i - 1] else 0.5 * i for i in (1, 2, 3)]
-        off = np.select([count == 1, count == 2], discount[:2], discount[2])
-        context, place = np.unique(grams >> BITS, return_inverse=True)
-        total = np.bincount(place, count)
-        left = np.bincount(place, off) / total
-        suffix = grams & ((1 << BITS * (k - 1)) - 1)
-        below = lower[np.searchsorted(lower_codes, suffix)] if k > 1 else lower[0]
-        p = (count - off) / total[place] + left[place] * below
-        keys.append(np.concatenate((grams | 1 << BITS * k, context | 1 << BITS * (k - 1) | 1 << 40)))
-        values.append(np.concatenate((np.log(p), np.log(np.maximum(left, 1e-12)))))
-        lower, lower_codes = p, grams
-    key, value = np.concatenate(keys), np.concatenate(values).astype(np.float32)
-    order = np.argsort(key)
-    return key[order], value[order]
-
-
-class Scorer:
-    """Log-perplexity by a model's sorted arrays."""
-
-    def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.key, self.value = key, value
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
-        return self.key[at] == wanted, self.value[at]
-
-    def logs(self, code: np.ndarray) -> np.ndarray:
-        """Log-probability of the last symbol of each n-gram of ORDER, backing off to shorter contexts."""
-        found, back = np.zeros(len(code)), np.zeros(len(code))
-        open_ = np.arange(len(code))
-        for k in range(ORDER, 0, -1):
-            gram = code[open_] & ((1 << BITS * k) - 1)
-            seen, value = self.find(gram | 1 << BITS * k)
-            found[open_[seen]] = value[seen] + back[open_[seen]]
-            open_ = open_[~seen]
-            if not len(open_):
-                return found
-            known, less = self.find((gram[~seen] >> BITS) | 1 << BITS * (k - 1) | 1 << 40)
-            back[open_] += np.where(known, less, 0)
-        found[open_] = back[open_] - np.log(SYMBOLS)
-        return found
-
-    def log_perplexity(self, text: str | None) -> float | None:
-        total, n = 0.0, 0
-        for code in codes(symbols(text)):
-            unique, times = np.unique(code, return_counts=True)
-            total, n = total + float(self.logs(unique) @ times), n + len(code)
-        return -total / n if n >= LEAST else None
-
-
-def models(counts: DataFrame) -> DataFrame:
-    """(lang, bytes, key, value): one row for each language."""
-
-    def build(group: pa.Table) -> pa.Table:
-        key, value = model(group["code"].to_numpy(), group["n"].to_numpy())
-        return pa.table({"lang": pa.array([group["lang"][0].as_py()], pa.string()), "bytes": [key.nbytes + value.nbytes], "key": [key.tobytes()], "value": [value.tobytes()]})
-
-    return counts.groupBy("lang").applyInArrow(build, "lang string, bytes bigint, key binary, value binary")
-
-
-def _logs(sent: Broadcast) -> Callable[[pa.Array, pa.Array], pa.Array]:
-    """A function of texts and their languages that reads the models sent."""
-
-    def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        scorers: dict[str | None, Scorer] = {}
-        logs = []
-        for value, name in zip(texts.to_pylist(), langs.to_pylist(), strict=True):
-            if name not in scorers:
-                key, values = sent.value[name]
-                scorers[name] = Scorer(np.frombuffer(key, np.int64), np.frombuffer(values, np.float32))
-            logs.append(scorers[name].log_perplexity(value))
-        return pa.array(logs, pa.float64())
-
-    return run
-
-
-def perplexities(docs: DataFrame, built: DataFrame, text: str, lang: str, into: str) -> list[DataFrame]:
-    """docs with the log-perplexity of each text, a frame for each group of languages whose models are sent together."""
-    spark, groups, size = docs.sparkSession, [[]], 0
-    for row in built.select("lang", "bytes").orderBy("lang").collect():
-        if size + row["bytes"] > BROADCAST_BYTES and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append(row["lang"])
-        size += row["bytes"]
-    found = []
-    for names in groups:
-        chosen = [n for n in names if n is not None]
-        within = F.coalesce(F.col("lang").isin(chosen), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in names))
-        rows = built.where(within).collect() if names else []
-        sent = spark.sparkContext.broadcast({r["lang"]: (bytes(r["key"]), bytes(r["value"])) for r in rows})
-
-        there = F.coalesce(F.col(f"`{lang}`").isin(chosen), F.lit(False)) | (F.col(f"`{lang}`").isNull() & F.lit(None in names))
-        found.append(docs.where(there).withColumn(into, F.arrow_udf(_logs(sent), "double")(F.col(f"`{text}`"), F.col(f"`{lang}`").cast("string"))))
-    return found
-
-
-def bands(logs: DataFrame, low: float = LOW, high: float = HIGH) -> dict[str | None, tuple[float, float]]:
-    """Of (lang, log_perplexity): the least and most that pass, by language. Its histograms have a few thousand bins each."""
-    bins: dict[str | None, list[tuple[int, int]]] = defaultdict(list)
-    for row in logs.where("log_perplexity is not null").groupBy("lang", F.floor(F.col("log_perplexity") / BIN).alias("bin")).count().collect():
-        bins[row["lang"]].append((row["bin"], row["count"]))
-    found = {}
-    for name, own in bins.items():
-        at, n = (np.array(x, float) for x in zip(*sorted(own), strict=True))
-        middle = _median(at + 0.5, n)
-        spread = max(_median(np.abs(at + 0.5 - middle), n), 1.0)
-        found[name] = ((middle - low * spread) * BIN, (middle + high * spread) * BIN)
-    return found
-
-
-def _median(values: np.ndarray, n: np.ndarray) -> float:
-    order = np.argsort(values, kind="stable")
-    total = np.cumsum(n[order])
-    return float(values[order][np.searchsorted(total, total[-1] / 2)])
-
-
-def _histograms(logs: DataFrame, value: str) -> dict[tuple[str | None, int], dict[int, int]]:
-    """Of (lang, size, value): numbers of texts by bins of WORD_BIN."""
-    found: dict[tuple[str | None, int], dict[int, int]] = defaultdict(dict)
-    for row in logs.groupBy("lang", "size", F.floor(F.col(value) / WORD_BIN).alias("bin")).count().collect():
-        found[row["lang"], row["size"]][row["bin"]] = row["count"]
-    return found
-
-
-def _spread(own: dict[int, int], side: int) -> tuple[float, float]:
-    """The median, and the median distance of what is above it (side 1) or below it (side -1)."""
-    at, n = (np.array(x, float) for x in zip(*sorted(own.items()), strict=True))
-    middle = _median(at + 0.5, n)
-    beyond = side * (at + 0.5 - middle) >= 0
-    return middle * WORD_BIN, max(_median(np.abs(at[beyond] + 0.5 - middle), n[beyond]) * WORD_BIN, LEAST_SPREAD)
-
-
-def word_bands(logs: DataFrame, high: float = WORD_HIGH, less: float = WORD_LESS) -> list[tuple[str | None, int, float, float]]:
-    """Of (lang, size, log_perplexity, gain): (lang, size, the most log-perplexity, the least gain) that pass."""
-    known = logs.where("log_perplexity is not null")
-    tables = [(_histograms(known, name), side) for name, side in (("log_perplexity", 1), ("gain", -1))]
-    found = []
-    for name, size in tables[0][0]:
-        edges = []
-        for table, side in tables:
-            sizes = sorted((s for n, s in table if n == name), key=lambda s: abs(s - size))
-            own: dict[int, int] = defaultdict(int)
-            for s in sizes:
-                if s != size and sum(own.values()) >= ENOUGH:
-                    break
-                for at, n in table[name, s].items():
-                    own[at] += n
-            edges.append(_spread(own, side))
-        (middle, above), (helped, below) = edges
-        found.append((name, size, middle + high * above, helped - less * below))
-    return found
-
-
-RULES = "n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint"
-
-
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """docs with the counts of base(), base_failed, log_perplexity by words (null for texts without any) and kept."""
-    counts = settled(counted(docs, text, lang))
-    built = settled(models(counts), "zstd")
-    forget(counts)
-
-    def rows(texts: list[str | None]) -> Iterator[tuple]:
-        return map(base, texts)
-
-    ruled = with_columns(docs, rows, RULES, text).drop("log_perplexity", "kept", "base_failed")
-    ruled = ruled.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    # Numbered and settled, so that rows keep their numbers; words are read from here twice.
-    row, spelled, tongue = (f"_{name}_{uuid.uuid4().hex[:8]}" for name in ("row", "spelled", "lang"))
-    whole = settled(ruled.withColumn(row, F.monotonically_increasing_id()), "zstd")
-    parts = perplexities(whole, built, text, lang, spelled)
-    # The text is dropped before the result is settled and judged; what is kept of a document is its counts.
-    slim = [settled(p.drop(text)) if text != lang else settled(p) for p in parts]
-    judged = slim[0]
-    for part in slim[1:]:
-        judged = judged.unionByName(part)
-    judged = judged.withColumn(tongue, F.col(f"`{lang}`").cast("string"))
-    logs = words.scored(whole.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")))
-    logs = settled(logs.select(F.col("row").alias(row), F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int").alias("size"), "log_perplexity", (F.col("single") - F.col("log_perplexity")).alias("gain")))
-    passed = bands(judged.select(F.col(tongue).alias("lang"), F.col(spelled).alias("log_perplexity")), low, high)
-    own = judged.select(row, F.col(tongue).alias("lang")).join(logs, row)
-    edges = F.broadcast(docs.sparkSession.createDataFrame(word_bands(own), "tongue string, length int, most double, least double"))
-    fits = own.join(edges, F.col("lang").eqNullSafe(F.col("tongue")) & (F.col("size") == F.col("length")), "left")
-    fits = fits.select(row, "log_perplexity", F.coalesce((F.col("log_perplexity") <= F.col("most")) & (F.col("gain") >= F.col("least")), F.lit(True)).alias("kept"))
+    docs = docs if stable else settled(docs, "zstd")
+    judged = words.scored(docs.drop("kept", "base_failed"), text, lang, _rules, RULES)
+    row, tongue = (f"_{name}_{uuid.uuid4().hex[:8]}" for name in ("row", "lang"))
+    group = F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`").cast("string")), F.lit(""))
+    judged = judged.withColumn("gain", F.col("single") - F.col("log_perplexity")).withColumn(tongue, group)
+    binned = {m: F.floor(F.col(m) / BIN) + 0.5 for m in MEASURES}
+    measured = judged.where("log_perplexity is not null").select(F.col(tongue).alias("tongue"), F.floor(F.log2("n_tokens")).cast("int").alias("size"), *(c.alias(m) for m, c in binned.items()))
+    every = _edges(measured).first().asDict() if measured.limit(1).count() else {m: 0.0 for m in MEASURES}
+    by_size, by_lang = _edges(measured, "tongue", "size"), _edges(measured, "tongue")
+    renamed = lambda df, end: df.select(F.col("tongue").alias(f"{tongue}{end}"), *([F.col("size").alias("_size")] if end == "_s" else []), *(F.col(c).alias(f"{c}{end}") for c in ("n", *MEASURES)))
+    sized = judged.withColumn(row, F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    joined = sized.join(renamed(by_size, "_s"), (F.col(tongue) == F.col(f"{tongue}_s")) & (F.col(row) == F.col("_size")), "left").join(renamed(by_lang, "_l"), F.col(tongue) == F.col(f"{tongue}_l"), "left")
     inside = F.lit(True)
-    for name, (least, most) in passed.items():
-        inside = F.when(F.col(tongue).eqNullSafe(F.lit(name)), F.coalesce(F.col(spelled).between(least, most), F.lit(True))).otherwise(inside)
-    judged = judged.join(fits, row).withColumn("kept", ~F.col("base_failed") & F.col("kept") & inside)
-    return judged.drop(row, spelled, tongue)
+    for m, side in MEASURES.items():
+        edge = F.when(F.col("n_s") >= ENOUGH, F.col(f"{m}_s")).when(F.col("n_l") >= ENOUGH, F.col(f"{m}_l")).otherwise(F.lit(every[m]))
+        inside = inside & (side * binned[m] <= side * edge)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    names = [c for c in judged.columns if c not in ("n_tokens", "single", "gain", tongue)]
+    return joined.withColumns({"base_failed": failed}).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).select(*(F.col(f"`{c}`") for c in names), "base_failed", "kept")

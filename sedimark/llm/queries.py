@@ -118,7 +118,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), stable=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 

@@ -27,7 +27,6 @@ columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import table_bytes
+from sedimark.llm.common import put_file, table_bytes
 
 MAGIC = b"SEDIDS01"
 BLOCK = 1024
@@ -205,22 +204,6 @@ def tokenizer(path: str) -> Tokenizer:
     return _tokenizers[path]
 
 
-def _uri(folder: str) -> str:
-    """file:/x and /x as file:///x, which Arrow's file systems read."""
-    return re.sub(r"^(?:file:)?/(?!/)", "file:///", folder)
-
-
-def _put(folder: str, name: str, data: bytes) -> None:
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(_uri(folder))
-    system.create_dir(path, recursive=True)
-    own = f"{path}/_writing-{name}-{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as out:
-        out.write(data)
-    system.move(own, f"{path}/{name}")
-
-
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Shards and manifest of docs in a new folder that driver and executors share."""
     some = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -238,7 +221,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, doc
         def closed() -> pa.RecordBatch:
             nonlocal names, found, held, seq
             name = f"shard-{part:07d}-{seq:05d}.ids"
-            _put(folder, name, encode_shard(names, [len(x) // 4 for x in found], np.frombuffer(b"".join(found), "<u4")))
+            put_file(folder, name, encode_shard(names, [len(x) // 4 for x in found], np.frombuffer(b"".join(found), "<u4")))
             row = pa.record_batch({"shard": [name], "docs": [len(names)], "ids": [held // 4]})
             names, found, held, seq = [], [], 0, seq + 1
             return row

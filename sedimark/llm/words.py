@@ -1,193 +1,416 @@
-"""Perplexity of texts under word n-grams that the other documents hold.
+"""Perplexity of texts under a modified Kneser-Ney model of the words of all other documents.
 
-The model is the hierarchical Dirichlet model (MacKay and Peto, 1995) of ORDER words for each
-language: each order's counts, smoothed by the next lower order, down to words of which there
-are 1 / RARE. Words are lower-cased; marks are words, as is each character of scripts that
-do not space words. Before a text is scored, its own n-grams are taken from the counts, so that a
-text does not vouch for itself.
+The model (Chen and Goodman, 1998) has n-grams of ORDER words for each language. Its highest order
+counts n-grams, each lower one the kinds of words that stand before them; three discounts an
+order come from the numbers of n-grams seen once to four times, in all languages together. Words are
+lower-cased; marks are words, as is each character of scripts that do not space words. Before a text
+is scored, all that it alone brought is taken out again: its counts, the n-grams that no other
+text has, and their places in the lower orders. So a text does not vouch for itself.
 
 What is gathered grows with the documents, and no model is sent to the executors. Documents are taken
-in blocks of some BLOCK_BYTES; a block's distinct n-grams are hashes, sorted, cut into buckets by
-range, and packed as differences with their counts. A bucket adds up the counts of all blocks and
-answers each in the order of its question; the answers meet the block's texts again, which are
-shuffled compressed. Numbers of blocks and buckets follow the bytes of text.
+in blocks of some BLOCK_BYTES. A block's distinct n-grams are hashes, sorted, cut into buckets by
+range, and packed as differences with what the block has counted. A bucket adds up a range of the model, a
+sorted array of hashes with their numbers, and answers each block in the order of its question. The
+first block that asks for an n-gram owns it, and counts it once for the order below. Answers
+are saved, a file for each block and order, in the shared folder; texts are never shuffled but read
+again, once for each order. Numbers of blocks and buckets follow the bytes of text, and so do the
+bits of a hash: the chance that an n-gram meets another's hash stays under one in a thousand.
+
+Blocks are known by the task and place in which they are read, so the documents must be read alike
+each time, as files are; a block that is read otherwise is an error, not a wrong score.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sedimark.llm.common import table_bytes
+from sedimark.llm.common import forget, get_file, put_file, settled, shared_dir, structs, table_bytes, unlink
 
 ORDER = 3
-#: Weight of the next lower order, by order.
-WEIGHTS = (50.0, 10.0, 5.0)
+#: Probability of a word that nothing is known of.
 RARE = 2.0**-20
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
-HASH_BITS = 48
-#: Characters of Thai, Lao, Myanmar, Khmer, Japanese and Chinese; words; marks.
-TOKEN = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]|\\w+?(?=[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff])|\\w+|[^\\w\\s]")
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+#: Characters whose words are found at a time; a word without any space in so many characters is cut.
+STRETCH = 1 << 20
 #: Hashes of what stands before and behind a text.
 BEFORE, BEHIND = 1, 2
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-
-class Grams:
-    """N-grams of texts; hashes of words are kept while there is room."""
-
-    LIMIT = 400_000
-
-    def __init__(self) -> None:
-        self.hash: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        import xxhash
-
-        if len(self.hash) >= self.LIMIT:
-            self.hash.clear()
-        found = self.hash[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-    def __call__(self, text: str | None, lang: str | None) -> list[np.ndarray]:
-        """Hashes of the n-grams that end at each place of (before, before, *words, behind), by order from 0; none for a text without words."""
-        import xxhash
-
-        get, add = self.hash.get, self._word
-        words = [get(w) or add(w) for w in TOKEN.findall((text or "").lower())]
-        if not words:
-            return []
-        h = np.array([BEFORE] * (ORDER - 1) + words + [BEHIND], np.uint64)
-        seed = xxhash.xxh64_intdigest("" if lang is None else f"={lang}")
-        grams = [np.full(len(h) + 1, seed, np.uint64)]
-        for k in range(ORDER):
-            mixed = ((grams[-1][:-1] + np.uint64(k)) ^ h[k:]) * SPREAD
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= SPREAD
-            grams.append(mixed ^ (mixed >> np.uint64(32)))
-        return [g >> np.uint64(64 - HASH_BITS) for g in grams]
-
-
-class Text:
-    """The distinct n-grams of a text, how often it holds them, and the place of each."""
-
-    def __init__(self, grams: list[np.ndarray]):
-        # An order's places begin one before the first word, so that as many are counted of a context as follow it.
-        n = len(grams[ORDER])
-        used = [grams[0][:n], *(g[-n - 1 :] for g in grams[1:ORDER]), grams[ORDER]]
-        self.sizes = [len(u) for u in used]
-        self.keys, places, self.own = np.unique(np.concatenate(used), return_inverse=True, return_counts=True)
-        self.places = np.split(places, np.cumsum(self.sizes)[:-1])
-
-    def logs(self, totals: np.ndarray) -> tuple[int, float, float]:
-        """Words and the end; log-perplexity by all orders and by single words, given how often all documents hold the distinct n-grams."""
-        n = self.sizes[ORDER]
-        others = (totals - self.own).astype(np.float64)
-        p, single = RARE, None
+SPACE, WORD, SINGLE = range(3)
+#: Thai and Lao, Myanmar, Khmer, Japanese, Chinese.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x10FFFF))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * SPREAD
+    x ^= x >> np.uint64(29)
+    x *= SPREAD
+    return x ^ (x >> np.uint64(32))
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """By code point: between words, in a word, or a word of its own."""
+
+    def kind(c: int) -> int:
+        name = unicodedata.category(chr(c))
+        return SPACE if name[0] in "ZC" or chr(c).isspace() else WORD if name[0] in "LNM" or c == ord("_") else SINGLE
+
+    found = np.full(0x110000, SINGLE, np.uint8)
+    found[:0x20000] = np.fromiter(map(kind, range(0x20000)), np.uint8, 0x20000)
+    for a, b in UNSPACED:
+        found[a : b + 1] = np.where(found[a : b + 1] == WORD, SINGLE, found[a : b + 1])
+    return found
+
+
+@lru_cache(maxsize=1)
+def weights() -> np.ndarray:
+    """Odd numbers by place in a word."""
+    return mixed(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
+
+
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-case texts, and the text of each."""
+    points = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = classes()[points]
+    begins = kind == SINGLE
+    begins[1:] |= (kind[1:] == WORD) & (kind[:-1] != WORD)
+    begins[:1] |= kind[:1] == WORD
+    starts, kept = np.flatnonzero(begins), np.flatnonzero(kind)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    first = np.flatnonzero(begins[kept])
+    place = kept - np.repeat(starts, np.diff(first, append=len(kept)))
+    value = (points[kept].astype(np.uint64) + np.uint64(1)) * weights()[place & 1023]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return mixed(np.add.reduceat(value, first)), np.searchsorted(ends, starts, "right")
+
+
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """_hashed() of texts as they are, a stretch at a time."""
+    found, held, owners, chars = [], [], [], 0
+
+    def close() -> None:
+        nonlocal held, owners, chars
+        if held:
+            h, at = _hashed(held)
+            found.append((h, np.array(owners, np.int64)[at]))
+        held, owners, chars = [], [], 0
+
+    for i, text in enumerate(texts):
+        low, at = (text or "").lower(), 0
+        while at < len(low):
+            end = len(low) if len(low) - at <= STRETCH else max(low.rfind(" ", at + 1, at + STRETCH), low.rfind("\n", at + 1, at + STRETCH))
+            end = at + STRETCH if end < 0 else end
+            held.append(low[at:end])
+            owners.append(i)
+            chars += end - at
+            at = end
+            if chars >= STRETCH:
+                close()
+    close()
+    return tuple(np.concatenate([np.empty(0, t), *(f[i] for f in found)]) for i, t in ((0, np.uint64), (1, np.int64)))
+
+
+def seed(lang: str | None) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest("" if lang is None else f"={lang}")
+
+
+class Block:
+    """N-grams of the texts of a block, at each place of (before, before, *words, behind) from the last ``before`` on.
+
+    doc has the text of each place, scored whether it is a word or the end.
+    """
+
+    def __init__(self, texts: list[str | None], langs: list[str | None], bits: int):
+        found, owner = words(texts)
+        n = np.bincount(owner, minlength=len(texts))
+        size = np.where(n > 0, n + ORDER, 0)
+        end = np.cumsum(size)
+        path = np.full(int(size.sum()), BEFORE, np.uint64)
+        path[(end - size)[owner] + ORDER - 1 + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]] = found
+        path[end[n > 0] - 1] = BEHIND
+        doc = np.repeat(np.arange(len(texts)), size)
+        place = np.arange(len(path)) - (end - size)[doc]
+        used = place >= ORDER - 2
+        known = {lang: seed(lang) for lang in set(langs)}
+        gram = np.array([known[lang] for lang in langs], np.uint64)[doc]
+        self.texts, self.doc, self.scored = len(texts), doc[used], place[used] >= ORDER - 1
+        self.grams = [gram[used] >> np.uint64(64 - bits)]
         for k in range(1, ORDER + 1):
-            seen, context = others[self.places[k][-n:]], others[self.places[k - 1][-n:] if k == 1 else self.places[k - 1][-n - 1 : -1]]
-            p = (seen + WEIGHTS[k - 1] * p) / (context + WEIGHTS[k - 1])
-            single = p if single is None else single
-        return n, float(-np.log(p).mean()), float(-np.log(single).mean())
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers by planes of their bytes, compressed."""
+            longer = np.zeros(len(path), np.uint64)
+            longer[1:] = gram[:-1]
+            longer[:1] = gram[:1]
+            if k == 1:
+                longer = gram
+            gram = mixed((longer + np.uint64(k)) ^ path)
+            self.grams.append(gram[used] >> np.uint64(64 - bits))
+
+    def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams of k words, a place of each, and the number of each place's (-1 where an n-gram of ORDER does not end)."""
+        at = np.flatnonzero(self.scored) if k == ORDER else np.arange(len(self.doc))
+        keys, first, of = np.unique(self.grams[k][at], return_index=True, return_inverse=True)
+        ids = np.full(len(self.doc), -1)
+        ids[at] = of
+        return keys, at[first], ids
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Unsigned integers of equal length, by planes of their bytes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    planes, widths = [], []
+    for c in columns:
+        widths.append((int(c.max(initial=0)).bit_length() + 7) // 8)
+        raw = np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)
+        planes += [np.ascontiguousarray(raw[:, i]).tobytes() for i in range(widths[-1])]
+    head = np.array([len(columns), len(columns[0]), *widths], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *planes]))
 
 
-def unpack(packed: bytes) -> np.ndarray:
+def unpack(packed: bytes) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    m, n = map(int, np.frombuffer(data, "<u8", 2))
+    found, at = [], 16 + 8 * m
+    for width in np.frombuffer(data, "<u8", m, 16).tolist():
+        raw = np.zeros((n, 8), np.uint8)
+        for i in range(width):
+            raw[:, i] = np.frombuffer(data, np.uint8, n, at)
+            at += n
+        found.append(raw.view("<u8").ravel())
+    return found
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows (row, text, lang) in blocks of some BLOCK_BYTES."""
-    held, size = [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table]]:
+    """Rows in blocks that end where their texts reach BLOCK_BYTES, with their numbers."""
+    from pyspark import TaskContext
+
+    number, held, size = TaskContext.get().partitionId() << 24, [], 0
     for batch in batches:
-        for at in range(batch.num_rows):
-            own = batch.slice(at, 1)
-            held.append(own)
-            size += len(own.column(1)[0].as_buffer()) if own.column(1)[0].is_valid else 0
+        at = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), 1):
+            size += n
             if size >= BLOCK_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                yield number, pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                number, held, size, at = number + 1, [], 0, i
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield number, pa.Table.from_batches(held)
+
+
+def _read(block: pa.Table, text: str, lang: str, bits: int) -> Block:
+    return Block(block[text].to_pylist(), block[lang].to_pylist(), bits)
+
+
+def _kind(values: np.ndarray) -> np.ndarray:
+    """0 to 3: which discount a count has."""
+    return np.minimum(values, 3)
+
+
+def counted(block: Block, k: int, folder: str, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct n-grams of k words, and by n-gram what the block counts.
 
+    Of the highest order that is how often it occurs. Of a lower order: how many of the owned n-grams of k + 1
+    words end in it, and of those that begin with it the total and how many of them count once, twice, and more.
+    """
+    keys, _, ids = block.level(k)
+    if k == ORDER:
+        return keys, [np.bincount(ids[ids >= 0], minlength=len(keys))]
+    above, first, _ = block.level(k + 1)
+    found = answers(folder, k + 1, number, above)
+    owned = (found[-1] > 0) & (found[0] > 0)  # what stands before texts is no n-gram, only begins some
+    at, value = first[owned], found[0][owned].astype(np.int64)
+    begins, kind = ids[at - 1], _kind(value)
+    return keys, [np.bincount(ids[at], minlength=len(keys)), np.bincount(begins, value, len(keys)).astype(np.int64), *(np.bincount(begins[kind == j], minlength=len(keys)) for j in (1, 2, 3))]
 
-def _read(block: pa.Table, grams: Grams) -> list[Text | None]:
-    found = (grams(text, lang) for text, lang in zip(block["text"].to_pylist(), block["lang"].to_pylist(), strict=True))
-    return [Text(g) if g else None for g in found]
+
+def answers(folder: str, k: int, number: int, keys: np.ndarray) -> list[np.ndarray]:
+    check, *columns = unpack(get_file(folder, f"{k}-{number}"))
+    if len(check) != len(keys) or (len(keys) and check[0] != keys.sum(dtype=np.uint64)):
+        raise ValueError("a block of texts was not read again in the same way")
+    return columns
 
 
-def _questions(buckets: int):
-    edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << HASH_BITS) // buckets)
+def _questions(k: int, buckets: int, bits: int, text: str, lang: str, folder: str):
+    edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << bits) // buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        for block in _blocks(batches):
-            texts = [t for t in _read(block, grams) if t]
-            if not texts:
+        for number, block in _blocks(batches, text):
+            own = _read(block, text, lang, bits)
+            if not len(own.doc):
+                continue
+            keys, values = counted(own, k, folder, number)
+            if k == 0:
+                yield pa.record_batch([pa.array([number] * len(keys), pa.int64()), pa.array(keys.astype(np.int64)), *(pa.array(v.astype(np.int64)) for v in values[1:])], names=["block", "key", "total", "n1", "n2", "n3"])
                 continue
-            keys, places = np.unique(np.concatenate([t.keys for t in texts]), return_inverse=True)
-            n = np.bincount(places, np.concatenate([t.own for t in texts])).astype(np.uint64)
-            cuts = np.searchsorted(keys, edges)
-            parts = list(zip(np.split(keys, cuts), np.split(n, cuts), strict=True))
-            rows = [(b, pack(np.diff(k, prepend=np.uint64(0))), pack(c)) for b, (k, c) in enumerate(parts) if len(k)]
-            yield pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block["row"][0].as_py()] * len(rows), pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.binary())})
+            ends = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            rows = [(b, pack([np.diff(keys[i:j], prepend=np.uint64(0)), *(v[i:j] for v in values)])) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+            yield pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
 def _answers(group: pa.Table) -> pa.Table:
-    asked = [np.cumsum(unpack(k), dtype=np.uint64) for k in group["keys"].to_pylist()]
-    _, places = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.bincount(places, np.concatenate([unpack(n) for n in group["n"].to_pylist()])).astype(np.uint64)
-    parts = np.split(places, np.cumsum([len(a) for a in asked])[:-1])
-    return pa.table({"block": group["block"].cast(pa.int64()), "bucket": group["bucket"].cast(pa.int32()), "data": pa.array([pack(totals[p]) for p in parts], pa.binary())})
+    """A range of the model: the sums of what all blocks have counted, in the order of each question, and whether the block owns the n-gram."""
+    blocks, data = group["block"].to_pylist(), group["data"].to_pylist()
+    order = np.argsort(blocks).tolist()  # the same owners whenever a task is repeated
+    asked = [unpack(data[i]) for i in order]
+    for one in asked:
+        one[0] = np.cumsum(one[0], dtype=np.uint64)
+    keys, first, places = np.unique(np.concatenate([one[0] for one in asked]), return_index=True, return_inverse=True)
+    sums = [np.bincount(places, np.concatenate([one[c] for one in asked]), len(keys)).astype(np.uint64) for c in range(1, len(asked[0]))]
+    owned = np.zeros(len(places), np.uint64)
+    owned[first] = 1
+    ends = np.cumsum([0, *(len(one[0]) for one in asked)]).tolist()
+    rows = []
+    for i, one, a, b in zip(order, asked, ends, ends[1:], strict=False):
+        check = np.array([one[0].sum(dtype=np.uint64)], np.uint64)
+        rows.append((blocks[i], check[0], pack([*(s[places[a:b]] for s in sums), owned[a:b]])))
+    ones = [[int((sums[0] == i).sum()) for i in (1, 2, 3, 4)]] + [[0] * 4] * (len(rows) - 1)
+    return pa.table({
+        "block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * len(rows), pa.int32()), "sum": pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)),
+        "data": pa.array([r[2] for r in rows], pa.binary()), **{f"n{i}": pa.array([o[i - 1] for o in ones], pa.int64()) for i in (1, 2, 3, 4)},
+    })
+
+
+def _save(k: int, folder: str):
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["bucket"].to_numpy()).tolist()
+        parts = [unpack(group["data"][i].as_py()) for i in order]
+        columns = [np.concatenate([p[c] for p in parts]) for c in range(len(parts[0]))]
+        check = np.zeros(len(columns[0]), np.uint64)
+        check[:1] = group["sum"].to_numpy().view(np.uint64).sum(dtype=np.uint64)
+        put_file(folder, f"{k}-{group['block'][0].as_py()}", pack([check, *columns]))
+        return pa.table({f"n{i}": pa.array([pc.sum(group[f"n{i}"]).as_py()], pa.int64()) for i in (1, 2, 3, 4)})
 
+    return run
 
-def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
 
-    for block in _blocks(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, block.schema) as out:
-            out.write_table(block)
-        data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-        yield pa.record_batch({"block": pa.array([block["row"][0].as_py()], pa.int64()), "bucket": pa.array([-1], pa.int32()), "data": pa.array([data], pa.binary())})
+def _save_roots(folder: str):
+    """The counts of single words in all, by language: few rows a block."""
 
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key")
+        keys = group["key"].to_numpy().view(np.uint64)
+        check = np.zeros(len(keys), np.uint64)
+        check[0] = keys.sum(dtype=np.uint64)
+        columns = [group[c].to_numpy().astype(np.uint64) for c in ("total", "n1", "n2", "n3")]
+        put_file(folder, f"0-{group['block'][0].as_py()}", pack([check, np.zeros(len(keys), np.uint64), *columns, np.zeros(len(keys), np.uint64)]))
+        return pa.table({"n1": pa.array([0], pa.int64())})
 
-def _scores(group: pa.Table) -> pa.Table:
-    import zstandard
+    return run
 
-    parts = sorted(zip(group["bucket"].to_pylist(), group["data"].to_pylist(), strict=True))
-    if parts[0][0] != -1:
-        raise ValueError("a block of texts was not read again in the same way")
-    block = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(parts[0][1])).read_all()
-    texts = _read(block, Grams())
-    keys = np.unique(np.concatenate([t.keys for t in texts if t] or [np.empty(0, np.uint64)]))
-    totals = np.concatenate([unpack(data) for _, data in parts[1:]] or [np.empty(0, np.uint64)]).astype(np.int64)
-    if len(keys) != len(totals):
-        raise ValueError("a block of texts was not read again in the same way")
-    found = [t.logs(totals[np.searchsorted(keys, t.keys)]) if t else (0, None, None) for t in texts]
-    return pa.table({"row": block["row"].cast(pa.int64()), "n_tokens": pa.array([f[0] for f in found], pa.int64()), "log_perplexity": pa.array([f[1] for f in found], pa.float64()), "single": pa.array([f[2] for f in found], pa.float64())})
 
+def discounts(n: list[int]) -> list[float]:
+    """Of counts of none, one, two and more, from the numbers of n-grams seen once to four times."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    return [0.0, *(min(i - 0.05, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3))]
+
+
+def logs(block: Block, found: list[list[np.ndarray]], cuts: list[list[float]], levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text: words and the end; the sums of the logs of their probabilities by all orders and by single words.
+
+    found has the answers of each order, levels its n-grams; cuts has the discounts by order.
+    """
+    # By order, the distinct (text, n-gram): a place of each, and the number of each place's.
+    places, numbers, n_gram = [], [], []
+    for k, (keys, _, ids) in enumerate(levels):
+        at = np.flatnonzero(ids >= 0)
+        _, first, of, n = np.unique(block.doc[at] * len(keys) + ids[at], return_index=True, return_inverse=True, return_counts=True)
+        number = np.full(len(ids), -1)
+        number[at] = of
+        places.append(at[first])
+        numbers.append(number)
+        n_gram.append(ids[at[first]])
+        own = n
+    steps: list[tuple] = [()] * (ORDER + 1)
+    for k in range(ORDER, 0, -1):
+        # own: what the text alone has brought to each of its n-grams.
+        live = np.flatnonzero(block.scored[places[k]])
+        at = places[k][live]
+        value = found[k][0][n_gram[k][live]].astype(np.int64)
+        own = own[live]
+        rest = value - own
+        begins, ends, m = numbers[k - 1][at - 1], numbers[k - 1][at], len(places[k - 1])
+        if k == 1:
+            begins = ends
+        _, total, *kinds, _ = (c[n_gram[k - 1]].astype(np.int64) for c in found[k - 1])
+        total = total - np.bincount(begins, own, m)
+        before, after = _kind(value), _kind(rest)
+        kinds = [n - np.bincount(begins[before == j], minlength=m) + np.bincount(begins[after == j], minlength=m) for j, n in enumerate(kinds, 1)]
+        steps[k] = live, begins, ends, rest, after, total, kinds
+        own = np.bincount(ends[(rest == 0) & (value > 0)], minlength=m)
+    p = np.full(len(places[0]), RARE)
+    single = p
+    for k in range(1, ORDER + 1):
+        live, begins, ends, rest, kind, total, kinds = steps[k]
+        cut = np.array(cuts[k])
+        left = np.divide(sum(c * n for c, n in zip(cut[1:], kinds, strict=True)), total, out=np.ones(len(total)), where=total > 0)
+        share = np.divide(rest - cut[kind], total[begins], out=np.zeros(len(rest)), where=total[begins] > 0)
+        longer = np.full(len(places[k]), RARE)
+        longer[live] = share + left[begins] * p[ends]
+        p = longer
+        single = p if k == 1 else single
+    doc = block.doc[block.scored]
+    sums = [np.bincount(doc, np.log(q)[numbers[k][block.scored]], block.texts) for k, q in ((ORDER, p), (1, single))]
+    return np.bincount(doc, minlength=block.texts), *sums
+
+
+def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
+    """docs without its texts, with the columns that rows makes of them, n_tokens, log_perplexity and single (by single words).
+
+    docs are read alike each time. Columns of docs with the same names are replaced.
+    """
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    size = table_bytes(docs, text)
+    buckets = 1 << (max(1, size // BUCKET_BYTES) - 1).bit_length()
+    bits = min(60, max(40, size.bit_length() + 10))
+    some = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    cuts: list[list[float]] = []
+    for k in range(ORDER, 0, -1):
+        asked = some.mapInArrow(_questions(k, buckets, bits, "text", "lang", folder), "bucket int, block bigint, data binary")
+        answered = asked.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, sum bigint, data binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint")
+        saved = answered.groupBy("block").applyInArrow(_save(k, folder), "n1 bigint, n2 bigint, n3 bigint, n4 bigint")
+        cuts.insert(0, discounts([n or 0 for n in saved.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4))).first()]))
+    cuts.insert(0, [])
+    asked = settled(some.mapInArrow(_questions(0, 1, bits, "text", "lang", folder), "block bigint, key bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"))
+    # A language has a row for each block: summed in the JVM before and after the shuffle, and joined, with adaptive splits.
+    roots = asked.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3")))
+    asked.select("block", "key").join(roots, "key").groupBy("block").applyInArrow(_save_roots(folder), "n1 bigint").agg(F.sum("n1")).first()
+    forget(asked)
+
+    made = [f.split(":")[0] for f in schema.split(",")]
+    replaced = {c.lower() for c in (*made, "n_tokens", "log_perplexity", "single", "_text", "_lang")} | ({text.lower()} if text != lang else set())
+    keep = [c for c in docs.columns if c.lower() not in replaced]
+    of = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(schema.replace(":", " ")).fields + T._parse_datatype_string("n_tokens bigint, log_perplexity double, single double").fields)
 
-def scored(texts: DataFrame) -> DataFrame:
-    """(row, n_tokens, log_perplexity, single) of (row bigint, text, lang), which must be settled: it is read twice alike."""
-    buckets = 1 << (max(1, table_bytes(texts, "text") // BUCKET_BYTES) - 1).bit_length()
-    questions = texts.mapInArrow(_questions(buckets), "bucket int, block bigint, keys binary, n binary")
-    answers = questions.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, data binary")
-    payload = texts.mapInArrow(_payload, "block bigint, bucket int, data binary")
-    return payload.union(answers).groupBy("block").applyInArrow(_scores, "row bigint, n_tokens bigint, log_perplexity double, single double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in _blocks(batches, "_text"):
+            own = _read(part, "_text", "_lang", bits)
+            n, whole, single = np.zeros(own.texts, np.int64), np.zeros(own.texts), np.zeros(own.texts)
+            if len(own.doc):
+                levels = [own.level(k) for k in range(ORDER + 1)]
+                n, whole, single = logs(own, [answers(folder, k, number, levels[k][0]) for k in range(ORDER + 1)], cuts, levels)
+            own_columns = structs(list(rows(part["_text"].to_pylist())), schema)
+            means = [pa.array(-x / np.maximum(n, 1), pa.float64(), mask=n == 0) for x in (whole, single)]
+            columns = [*(part[c] for c in keep), *own_columns.flatten(), pa.array(n), *means]
+            yield from pa.table(columns, names=[f.name for f in of]).combine_chunks().to_batches()
+
+    texts = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang"))
+    result = settled(texts.mapInArrow(run, of))
+    unlink(spark, folder)
+    return result

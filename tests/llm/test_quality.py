@@ -33,26 +33,6 @@ def test_counts_equal_brute_force():
     assert Q.base(None) == (0, 0, 0, 0, 0)
 
 
-def test_probabilities_of_each_context_sum_to_one():
-    r = np.random.default_rng(0)
-    text = r.choice(32, 5000, p=np.arange(1, 33) / 528).astype(np.uint8)
-    code, n = np.unique(np.concatenate(list(Q.codes(text))), return_counts=True)
-    scorer = Q.Scorer(*Q.model(code, n))
-    for context in (0, int(code[5] >> 5), int(code[500] >> 5), 12_345):
-        assert abs(np.exp(scorer.logs((np.int64(context) << 5) | np.arange(32))).sum() - 1) < 1e-5
-
-
-def test_counted_ngrams_equal_brute_force(spark):
-    rows = [(1, "ab ab", "x"), (2, "ab!", "x"), (3, "É1", None), (4, None, "x")]
-    counts = Q.counted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "text", "lang")
-    found = {(r.lang, r.code): r.n for r in counts.collect()}
-    wanted = collections.Counter()
-    for _, text, lang in rows:
-        for code in np.concatenate(list(Q.codes(Q.symbols(text)))).tolist():
-            wanted[lang, code] += 1
-    assert found == dict(wanted)
-
-
 def test_strange_texts_are_rejected_and_others_kept(spark):
     r = np.random.default_rng(3)
     syllables = ["ba", "de", "li", "mo", "nu", "sa", "te"]

@@ -1,39 +1,96 @@
 import collections
+import math
+import unicodedata
 
 import numpy as np
+import pytest
 
 from sedimark.llm import quality as Q
 from sedimark.llm import words as W
 
+ROWS = [
+    (0, "a b c", "x"), (1, "A b d!", "x"), (2, "a b c d e f", None), (3, None, "x"), (4, " ", "x"), (5, "a b c", "x"), (6, "b b b b a b", "x"), (7, "中文字 a b_1 नमस्ते", "x"),
+    (8, "a b d e f a b c", None), (9, "zz", "y"), (10, "\x00\x01", "x"), (11, "d! a b d! e a b", "x"),
+]
+
+
+def tokens(text):
+    """The words of a text, one character after the other."""
+    found, inside = [], False
+    for c in (text or "").lower():
+        word = (unicodedata.category(c)[0] in "LNM" or c == "_") and not any(a <= ord(c) <= b for a, b in W.UNSPACED)
+        if word and inside:
+            found[-1] += c
+        elif word or not (unicodedata.category(c)[0] in "ZC" or c.isspace()):
+            found.append(c)
+        inside = word
+    return found
+
+
+def model(paths):
+    """Values of n-grams by order: counts, and below them the kinds of words before."""
+    values = {W.ORDER: collections.Counter()}
+    for lang, path in paths:
+        for at in range(W.ORDER - 1, len(path)):
+            values[W.ORDER][lang, tuple(path[at - W.ORDER + 1 : at + 1])] += 1
+    for k in range(W.ORDER - 1, 0, -1):
+        values[k] = collections.Counter((lang, gram[1:]) for lang, gram in values[k + 1])
+    return values
+
+
+def probability(values, cuts, lang, gram):
+    if not gram:
+        return W.RARE
+    k = len(gram)
+    after = {g: n for (tongue, g), n in values[k].items() if tongue == lang and g[:-1] == gram[:-1]}
+    total, below = sum(after.values()), probability(values, cuts, lang, gram[1:])
+    if not total:
+        return below
+    cut = lambda n: cuts[k][min(n, 3)]
+    n = after.get(gram, 0)
+    return (n - cut(n)) / total + sum(cut(x) for x in after.values()) / total * below
+
 
 def test_scores_equal_brute_force(spark):
-    rows = [(0, "a b c", "x"), (1, "A b d!", "x"), (2, "a b c d e f", None), (3, None, "x"), (4, " ", "x"), (5, "a b c", "x")]
-    counts = collections.Counter()
-    own = {}
-    for i, text, lang in rows:
-        tokens = W.TOKEN.findall((text or "").lower())
-        path = ["^", "^", *tokens, "$"]
-        seen = own[i] = collections.Counter()
-        if tokens:
-            for at in range(2, len(path)):
-                for k in range(3):
-                    seen[lang, "seen", tuple(path[at - k : at + 1])] += 1
-                    seen[lang, "context", tuple(path[at - k : at])] += 1
-            counts += seen
-    docs = spark.createDataFrame(rows, "row bigint, text string, lang string")
-    for r in W.scored(docs).collect():
-        tokens = W.TOKEN.findall((rows[r.row][1] or "").lower())
-        assert (r.log_perplexity is None) == (not tokens)
-        if not tokens:
-            continue
-        lang, path, total = rows[r.row][2], ["^", "^", *tokens, "$"], 0.0
-        n = lambda kind, gram: counts[lang, kind, gram] - own[r.row][lang, kind, gram]  # noqa: E731, B023
-        for at in range(2, len(path)):
-            p = W.RARE
-            for k in range(3):
-                p = (n("seen", tuple(path[at - k : at + 1])) + W.WEIGHTS[k] * p) / (n("context", tuple(path[at - k : at])) + W.WEIGHTS[k])
-            total -= np.log(p)
-        assert r.n_tokens == len(tokens) + 1 and abs(r.log_perplexity - total / (len(tokens) + 1)) < 1e-9
+    paths = {i: (lang, ["^"] * (W.ORDER - 1) + tokens(t) + ["$"]) for i, t, lang in ROWS if tokens(t)}
+    ones = {k: collections.Counter(v.values()) for k, v in model(paths.values()).items()}
+    cuts = {k: W.discounts([c[i] for i in (1, 2, 3, 4)]) for k, c in ones.items()}
+    docs = spark.createDataFrame(ROWS, "row bigint, text string, lang string").repartition(3, "row").sortWithinPartitions("row")
+    found = W.scored(Q.settled(docs), "text", "lang", Q._rules, Q.RULES).collect()
+    assert len(found) == len(ROWS) and {r.row for r in found} == set(range(len(ROWS)))
+    for r in found:
+        assert (r.log_perplexity is None) == (r.row not in paths)
+        if r.row in paths:
+            lang, path = paths[r.row]
+            others = model([p for i, p in paths.items() if i != r.row])
+            places = range(W.ORDER - 1, len(path))
+            whole, single = ([math.log(probability(others, cuts, lang, tuple(path[at - k + 1 : at + 1]))) for at in places] for k in (W.ORDER, 1))
+            assert r.n_tokens == len(places)
+            assert r.log_perplexity == pytest.approx(-sum(whole) / len(whole), abs=1e-9) and r.single == pytest.approx(-sum(single) / len(single), abs=1e-9)
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    paths = [(lang, ["^"] * (W.ORDER - 1) + tokens(t) + ["$"]) for _, t, lang in ROWS if tokens(t)]
+    values = model(paths)
+    cuts = {k: W.discounts([sum(n == i for n in v.values()) for i in (1, 2, 3, 4)]) for k, v in values.items()}
+    known = {g[-1] for (lang, g) in values[1] if lang == "x"}
+    rest = (sum(cuts[1][min(n, 3)] for (lang, _), n in values[1].items() if lang == "x") / sum(n for (lang, _), n in values[1].items() if lang == "x")) * (1 - W.RARE * len(known))
+    assert sum(probability(values, cuts, "x", (w,)) for w in known) + rest == pytest.approx(1)
+
+
+def test_words_of_long_texts_are_those_of_their_stretches(monkeypatch):
+    text = "Ab cd, éf 中文 " * 40
+    whole = W.words([text, None, text])
+    monkeypatch.setattr(W, "STRETCH", 64)
+    parts = W.words([text, None, text])
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True)) and set(whole[1].tolist()) == {0, 2}
+
+
+def test_packed_columns_come_back():
+    r = np.random.default_rng(1)
+    columns = [r.integers(0, top, 1000, dtype=np.uint64) for top in (1, 2, 300, 2**40, 2**64 - 1)]
+    assert all(np.array_equal(a, b) for a, b in zip(columns, W.unpack(W.pack(columns)), strict=True))
+    assert [len(c) for c in W.unpack(W.pack([np.empty(0, np.uint64)]))] == [0]
 
 
 def cyrillic(r, n):
