@@ -6,7 +6,8 @@ again with other values has the same template. A name is a capitalised word; nam
 A capitalised word that begins a sentence may be either, so a text is read both ways, and each
 reading is matched by itself. A third reading has no placeholders: it finds exact copies of whatever words. Templates are cut into windows of WINDOW
 words (an item with fewer words is one window), each with at least LITERAL of its words
-kept as they are, or all of them.
+kept as they are, or all of them. Windows of fewer literals, WEAK at least, count where the whole template of
+an item of SHORTEST words or more is met in one piece: sums asked with other numbers, and sentences full of names and dates.
 
 A Bloom filter of fixed size, made from the benchmark's windows, leaves the documents'
 windows that may match; those are joined with the benchmark's by hash. Of the matches of
@@ -17,30 +18,39 @@ may become one). The result names how it was caught: ``exact`` if all slots are
 
 Window hashes are hash-joined with adaptive skew splitting, so a passage that very many
 documents share is dealt over tasks. Only documents' windows that pass the filter are
-shuffled; texts are not.
+shuffled; texts are not. A window that more than COMMON items hold does not bring up all of them: items are
+brought up by their rarer windows, and what is brought up is then joined with its common ones. Items that could be
+found by common windows alone (half of their windows, a run, or a weak template) are brought up by these too, so none is lost.
 
 Defined cases: a null or empty text matches nothing, nor does an item without words of
 its own; repeated documents each count, with one row for each doc_id; repeated items each
-get their rows; empty tables give an empty result; only ids and texts are read, so other
-columns cannot clash; rows with a null id on either side are left out, as nothing names
-them.
+get their rows; empty tables give an empty result; texts of any length are read whole; only ids and texts are read, so other
+columns cannot clash; contaminated() leaves out rows with a null id on either side, as nothing names
+them, clean() judges each row by itself.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.llm.common import settled
+
 WINDOW = 8
 LITERAL = 5
 COVERED = 0.5
 #: Words in a row that show an excerpt of an item of any length.
 RUN = 13
+#: Literals of a window that counts as a part of a whole template, and the least words of such a template.
+WEAK, SHORTEST = 2, 5
+#: Items that hold a window before it is common.
+COMMON = 16
 #: Bits of the filter: 4 MB whatever the benchmark's size. Beyond some million windows it passes more, which the join removes.
 FILTER_BITS = 1 << 25
 
@@ -172,7 +182,7 @@ def slots(start: int, length: int, kind: np.ndarray, kept: np.ndarray, split: li
 
 
 def _rows(ids: list, texts: list, lengths: list[int] | None, bits: np.ndarray | None, canonical: Canonical) -> Iterator[tuple]:
-    """(id, reading, length, window hash, place, windows of the text, slots) of each window; with bits, only of those in the filter."""
+    """(id, reading, length, window hash, place, strong windows of the text, all of its windows, strong, slots) of each window; with bits, only of those in the filter."""
     for name, text in zip(ids, texts, strict=True):
         for reading, (h, kind, kept, split) in zip(READINGS, canonical.readings(text or "", READINGS), strict=True):
             own = lengths if lengths is not None else [min(WINDOW, len(h))]
@@ -184,14 +194,18 @@ def _rows(ids: list, texts: list, lengths: list[int] | None, bits: np.ndarray |
                 if bits is not None:
                     spot = values & np.uint64(FILTER_BITS - 1)
                     starts = np.flatnonzero((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
-                starts = starts[plain[starts + length] - plain[starts] >= min(LITERAL, length)]
-                for start, value in zip(starts.tolist(), values[starts].view(np.int64).tolist(), strict=True):
-                    yield name, reading, length, value, start, len(starts), slots(start, length, kind, kept, split)
+                literals = plain[starts + length] - plain[starts]
+                strong = literals >= min(LITERAL, length)
+                used = strong | ((literals >= WEAK) & (bits is not None or len(h) >= SHORTEST))
+                every, n = len(values), int(strong.sum())
+                starts, strong = starts[used], strong[used]
+                for start, value, sound in zip(starts.tolist(), values[starts].view(np.int64).tolist(), strong.tolist(), strict=True):
+                    yield name, reading, length, value, start, n, every, sound, slots(start, length, kind, kept, split)
 
 
 def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bits) -> DataFrame:
     kind = df.schema[name].dataType.simpleString()
-    arrow = pa.schema([("id", pa.string() if kind == "string" else pa.int64()), ("reading", pa.int32()), ("length", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("slots", pa.list_(pa.string()))])
+    arrow = pa.schema([("id", pa.string() if kind == "string" else pa.int64()), ("reading", pa.int32()), ("length", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("windows", pa.int32()), ("every", pa.int32()), ("strong", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical, filtered = Canonical(), None if bits is None else np.frombuffer(bits.value, np.uint8)
@@ -202,7 +216,7 @@ def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bit
 
     id_kind = "string" if kind == "string" else "bigint"
     some = df.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").cast(id_kind).alias("id"), F.col(f"`{text}`").alias("text"))
-    return some.mapInArrow(run, f"id {id_kind}, reading int, length int, h bigint, at int, windows int, slots array<string>")
+    return some.mapInArrow(run, f"id {id_kind}, reading int, length int, h bigint, at int, windows int, every int, strong boolean, slots array<string>")
 
 
 def _filter(items: DataFrame) -> tuple[bytes, list[int]]:
@@ -217,40 +231,72 @@ def _filter(items: DataFrame) -> tuple[bytes, list[int]]:
     return bits.tobytes(), lengths
 
 
+def _longest(places: Column) -> Column:
+    """Of distinct places: the most that follow each other."""
+    order = F.array_sort(places)
+    step = lambda a, x: F.struct(x.alias("at"), F.when(x - a["at"] == 1, a["row"] + 1).otherwise(1).alias("row"), F.greatest(a["most"], F.when(x - a["at"] == 1, a["row"] + 1).otherwise(1)).alias("most"))
+    return F.aggregate(order, F.struct(F.lit(-2).alias("at"), F.lit(0).alias("row"), F.lit(0).alias("most")), step)["most"]
+
+
+def _met(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Windows of documents with the equal ones of items, without bringing up all items of a common window."""
+    key = ["reading", "length", "h"]
+    often = known.groupBy(*key).agg(F.count_distinct("item_id").alias("items")).where(F.col("items") > COMMON).select(*key, F.lit(True).alias("common"))
+    rated = settled(known.join(often, key, "left").withColumn("common", F.coalesce("common", F.lit(False))))
+    if not rated.where("common").limit(1).count():
+        return found.join(known, key)
+    in_common = F.filter(F.collect_set(F.when(F.col("common"), F.col("item_at"))), lambda x: x.isNotNull())
+    whole = (F.max("every") == F.size(F.collect_set("item_at"))) & (F.max("every") > F.max("n"))
+    alone = (2 * F.size(in_common) >= F.max("n")) | (_longest(in_common) > RUN - WINDOW) | whole
+    kinds = rated.groupBy("item_id", "reading").agg(alone.alias("alone"), F.max("common").alias("some"))
+    marked = settled(rated.join(kinds, ["item_id", "reading"]))
+    first = settled(found.join(marked.where("alone or not common").drop("alone", "common"), key))
+    brought = first.where("some").select("id", "item_id", "reading").distinct()
+    rest = brought.join(marked.where("common and not alone").drop("alone", "common", "some"), ["item_id", "reading"])
+    second = found.join(rest, ["id", *key])
+    names = [c for c in first.columns if c != "some"]
+    return first.select(*names).unionByName(second.select(*names))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, windows, matched, caught) for each document that holds an item."""
-    items = _windows(benchmark, item_id, item_text, None, None)
+    items = settled(_windows(benchmark, item_id, item_text, None, None))
     data, lengths = _filter(items)
     bits = docs.sparkSession.sparkContext.broadcast(data)
-    found = _windows(docs, doc_id, text, lengths, bits)
-    known = items.select(F.col("id").alias("item_id"), "reading", "length", "h", F.col("at").alias("item_at"), F.col("windows").alias("n"), F.col("slots").alias("item_slots"))
-    met = found.select(F.col("id").alias("doc_id"), "reading", "length", "h", "at", "slots").join(known, ["reading", "length", "h"])
+    found = settled(_windows(docs, doc_id, text, lengths, bits).select("id", "reading", "length", "h", "at", "slots"))
+    known = items.select(F.col("id").alias("item_id"), "reading", "length", "h", F.col("at").alias("item_at"), F.col("windows").alias("n"), "every", "strong", F.col("slots").alias("item_slots"))
     zipped = F.transform(F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"].alias("a"), s["slots"].alias("b")))
-    pairs = met.select("doc_id", "item_id", "reading", "n", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", zipped.alias("slots"))
+    pairs = _met(found, known).select(F.col("id").alias("doc_id"), "item_id", "reading", "n", "every", "strong", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", zipped.alias("slots"))
     # Matches at one offset are one copy of the item; its slots must agree among themselves.
-    copies = pairs.groupBy("doc_id", "item_id", "reading", "n", "offset").agg(
-        F.collect_set(F.struct("item_at", F.forall("slots", lambda s: s["a"] == s["b"]).alias("same"))).alias("windows"),
+    copies = pairs.groupBy("doc_id", "item_id", "reading", "n", "every", "offset").agg(
+        F.collect_set(F.struct("item_at", F.forall("slots", lambda s: s["a"] == s["b"]).alias("same"), "strong")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     one_value = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
-    ats = lambda w: F.array_sort(F.transform(w, lambda x: x["item_at"]))
-    alike = F.filter("windows", lambda w: w["same"])
-    # RUN words in a row are RUN - WINDOW + 1 windows in a row, each at its own place.
-    row = lambda a: F.exists(F.transform(a, lambda x, i: F.coalesce(F.get(a, i + (RUN - WINDOW)) - x == RUN - WINDOW, F.lit(False))), lambda x: x)
-    copies = copies.withColumns({"fits": one_value, "same_run": row(ats(alike)), "run": row(F.array_distinct(ats(F.col("windows"))))})
-    places = copies.select("doc_id", "item_id", "reading", "n", "fits", "same_run", (F.col("same_run") | (F.col("fits") & F.col("run"))).alias("run"), F.explode("windows").alias("w"))
+    ats = lambda w: F.array_distinct(F.transform(w, lambda x: x["item_at"]))
+    strong, alike = F.filter("windows", lambda w: w["strong"]), lambda w: F.filter(w, lambda x: x["same"])
+    # RUN words in a row are RUN - WINDOW + 1 windows in a row; a whole template is all windows, the weak ones too.
+    row = lambda w: _longest(ats(w)) > RUN - WINDOW
+    all_of = lambda w: (F.size(ats(w)) == F.col("every")) & (F.col("every") > F.col("n"))
+    copies = copies.withColumns({"strong": strong, "fits": one_value})
+    copies = copies.withColumns({"same_run": row(alike(F.col("strong"))) | all_of(alike(F.col("windows"))), "run": F.col("fits") & (row(F.col("strong")) | all_of(F.col("windows")))})
+    places = copies.select("doc_id", "item_id", "reading", "n", "fits", "same_run", (F.col("same_run") | F.col("run")).alias("run"), F.explode_outer("strong").alias("w"))
     each = places.groupBy("doc_id", "item_id", "reading", "n", "w.item_at").agg(F.max("w.same").alias("same"), F.max(F.col("w.same") | F.col("fits")).alias("fits"), F.max("same_run").alias("same_run"), F.max("run").alias("run"))
-    counted = each.groupBy("doc_id", "item_id", "reading", F.col("n").cast("bigint").alias("windows")).agg(F.count_if("same").alias("same"), F.count_if("fits").alias("matched"), F.max("same_run").alias("same_run"), F.max("run").alias("run"))
-    counted = counted.where((F.col("matched") >= F.col("windows") * covered) | F.col("run"))
+    there = F.col("item_at").isNotNull()
+    counted = each.groupBy("doc_id", "item_id", "reading", F.col("n").cast("bigint").alias("windows")).agg(F.count_if(there & F.col("same")).alias("same"), F.count_if(there & F.col("fits")).alias("matched"), F.max("same_run").alias("same_run"), F.max("run").alias("run"))
+    enough = lambda c: (F.col(c) >= F.col("windows") * covered) & (F.col("windows") > 0)
+    counted = counted.where(enough("matched") | F.col("run"))
     # Of the readings that find a pair, the first is reported.
     first = counted.groupBy("doc_id", "item_id").agg(
         F.min_by(F.struct("windows", "matched"), "reading").alias("first"),
-        F.max((F.col("same") >= F.col("windows") * covered) | F.col("same_run")).alias("exact"),
+        F.max(enough("same") | F.col("same_run")).alias("exact"),
     )
     return first.select("doc_id", "item_id", "first.windows", "first.matched", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("caught"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without those that hold an item. Rows with a null id stay: nothing names them."""
-    found = contaminated(docs, benchmark, doc_id, text, item_id, item_text).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", stable: bool = False) -> DataFrame:
+    """docs without the rows that hold an item, whatever their ids. stable says that docs come from files, so that they are read alike twice; others are written first."""
+    row = f"_row_{uuid.uuid4().hex[:8]}"
+    numbered = (docs if stable else settled(docs, "zstd")).withColumn(row, F.monotonically_increasing_id())
+    found = contaminated(numbered, benchmark, row, text, item_id, item_text).select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(found, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -43,7 +43,7 @@ def test_clean_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, OTHER, "a"), (2, "fine text", "b"), (None, OTHER, "c")], "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([(1, OTHER)], "item_id bigint, text string")
     out = D.clean(docs, items)
-    assert out.columns == docs.columns and sorted(r.item_id for r in out.collect()) == ["b", "c"]
+    assert out.columns == docs.columns and sorted(r.item_id for r in out.collect()) == ["b"]
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
 
 
@@ -81,7 +81,36 @@ def test_names_that_begin_sentences_and_values_that_become_one(spark):
 def test_items_of_few_plain_words_are_found(spark):
     items = [(1, "What is 17 * 23 + 4 ?"), (2, "Who won in 1998, 2002, 2006, 2010 and 2014?"), (3, "What is the capital city of Peru?")]
     docs = [(i, f"it was asked before {text} and answered") for i, text in items] + [(4, "What is 18 * 23 + 4 ?")]
-    assert found(spark, docs, items) == {(i, i): "exact" for i in (1, 2, 3)}
+    assert found(spark, docs, items) == {(i, i): "exact" for i in (1, 2, 3)} | {(4, 1): "reparameterised"}
+
+
+def test_sums_and_sentences_of_values_asked_with_others(spark):
+    items = [(1, "What is 3 + 5 * 7 ?"), (2, "Compute 12 * 7 + 9 ."), (3, "Tom paid 12 dollars and Ann paid 15 dollars on 3 May 2020 in Rome"), (4, "What is 7 ?")]
+    docs = [
+        (1, "First. What is 8 + 2 * 9 ? It is hard."), (2, "Compute 1 * 4 + 30 . Then rest."), (3, "So Bob paid 40 dollars and Eve paid 2 dollars on 9 June 1999 in Oslo as they say."),
+        (4, "What is 3 + 5 * 7 ?"), (5, "Tom paid 12 dollars and Ann left"), (6, "What is 9 ? What is 3 + 4 now ?"), (7, "Bob paid 12 dollars and Eve paid 12 dollars on 3 May 2020 in Rome"),
+    ]
+    result = found(spark, docs, items)
+    assert result == {(1, 1): "reparameterised", (2, 2): "reparameterised", (3, 3): "reparameterised", (4, 1): "exact", (7, 3): "reparameterised"}
+
+
+def test_common_windows_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "COMMON", 2)
+    r = np.random.default_rng(4)
+    shared = " ".join(f"w{chr(97 + i)}" for i in range(12))
+    said = lambda n: " ".join("".join(map(chr, r.integers(97, 123, 5))) for _ in range(n))
+    items = [(i, f"{shared} {said(20)}") for i in range(6)] + [(10 + i, f"{shared} {said(2)}") for i in range(4)] + [(20, shared), (21, shared), (22, shared)]
+    texts = dict(items)
+    docs = [(i, f"so {said(5)} {t} {said(5)}") for i, t in items] + [(100, f"{said(9)} {shared} {said(9)}"), (101, " ".join(texts[0].split()[6:])), (102, said(40)), (103, " ".join(texts[10].split()[:13]))]
+    few = found(spark, docs, items)
+    monkeypatch.setattr(D, "COMMON", 10**6)
+    assert few == found(spark, docs, items)
+    assert all((i, i) in few for i in texts) and (101, 0) in few and (100, 20) in few and not any(d == 102 for d, _ in few)
+
+
+def test_repeated_items_and_equal_rows(spark):
+    docs = [(1, OTHER), (1, OTHER), (2, OTHER)]
+    assert found(spark, docs, [(1, OTHER), (1, OTHER), (2, OTHER)]) == {(d, i): "exact" for d in (1, 2) for i in (1, 2)}
 
 
 def test_excerpts_of_long_items(spark):
