@@ -131,29 +131,39 @@ class Canonical:
         self.words = Words()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        return next(self.readings(text, (FIRST_PLAIN,)))
-
-    def readings(self, text: str, wanted: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-        split = text.split()
+        _, h, kind, kept, _, split, _ = next(self.readings([text], (FIRST_PLAIN,)))
+        return h, kind, kept, split
+
+    def readings(self, texts: list[str], wanted: tuple[int, ...] = READINGS) -> Iterator[tuple]:
+        """For each reading: hashes, kinds and places of the words kept and the text of each; all words, and where each text's end."""
+        parts = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        split = [w for part in parts for w in part]
+        owner, stops = np.repeat(np.arange(len(parts)), sizes), np.cumsum(sizes)
         at = self.words.places(split)
         hashes, kinds, ends = self.words.hash[at], self.words.kind[at], self.words.ends[at]
+        within = np.zeros(len(at), bool)
+        within[1:] = owner[1:] == owner[:-1]
         for reading in wanted:
-            h, kind = hashes, kinds if reading != VERBATIM else np.where(kinds == NONE, NONE, PLAIN)
+            kind = kinds if reading != VERBATIM else np.where(kinds == NONE, NONE, PLAIN)
             if reading == FIRST_PLAIN:
-                first = np.ones(len(at), bool)
-                first[1:] = ends[:-1]
+                first = ~within
+                first[1:] |= ends[:-1]
                 kind = np.where((kind == NAME) & first, PLAIN, kind)
-            # A unit is one only behind a number.
-            behind = np.zeros(len(at), bool)
-            behind[1:] = kind[:-1] == NUM
-            kind = np.where((kind == UNIT) & ~behind, PLAIN, kind)
-            again = np.zeros(len(at), bool)
-            again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
-            kept = np.flatnonzero((kind != NONE) & ~again)
-            kind, h = kind[kept], h[kept]
-            for k, value in HASHES.items():
-                h[kind == k] = value
-            yield h, kind, kept, split
+            if reading != VERBATIM:
+                # A unit is one only behind a number; names in a row are one.
+                behind, again = np.zeros(len(at), bool), np.zeros(len(at), bool)
+                behind[1:] = kind[:-1] == NUM
+                kind = np.where((kind == UNIT) & ~(behind & within), PLAIN, kind)
+                again[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
+                kept = np.flatnonzero((kind != NONE) & ~(again & within))
+            else:
+                kept = np.flatnonzero(kind != NONE)
+            kind, h = kind[kept], hashes[kept]
+            if reading != VERBATIM:
+                for k, value in HASHES.items():
+                    h[kind == k] = value
+            yield reading, h, kind, kept, owner[kept], split, stops
 
 
 def windows(h: np.ndarray, lengths: list[int], reading: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -166,14 +176,14 @@ def windows(h: np.ndarray, lengths: list[int], reading: int) -> Iterator[tuple[i
             yield i + 1, value ^ np.uint64((i + 1 + WINDOW * reading) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-def slots(start: int, length: int, kind: np.ndarray, kept: np.ndarray, split: list[str]) -> list[str]:
-    """Values in the placeholders of a window, with their kinds."""
+def slots(start: int, length: int, kind: np.ndarray, kept: np.ndarray, split: list[str], stop: int) -> list[str]:
+    """Values in the placeholders of a window, with their kinds; stop is where the text's words end."""
     found = []
     for i in range(start, start + length):
         if kind[i] != PLAIN:
             end = kept[i] + 1
             if kind[i] == NAME:
-                end = kept[i + 1] if i + 1 < len(kept) else len(split)
+                end = min(kept[i + 1], stop) if i + 1 < len(kept) else stop
                 names = [w.strip(EDGES) for w in split[kept[i] : end]]
                 found.append("n:" + " ".join(w for w in names if w[:1].isupper()))
             else:
@@ -183,24 +193,27 @@ def slots(start: int, length: int, kind: np.ndarray, kept: np.ndarray, split: li
 
 def _rows(ids: list, texts: list, lengths: list[int] | None, bits: np.ndarray | None, canonical: Canonical) -> Iterator[tuple]:
     """(id, reading, length, window hash, place, strong windows of the text, all of its windows, strong, slots) of each window; with bits, only of those in the filter."""
-    for name, text in zip(ids, texts, strict=True):
-        for reading, (h, kind, kept, split) in zip(READINGS, canonical.readings(text or "", READINGS), strict=True):
-            own = lengths if lengths is not None else [min(WINDOW, len(h))]
-            if not len(h) or not own:
-                continue
-            plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
-            for length, values in windows(h, own, reading):
+    for reading, h, kind, kept, owner, split, stops in canonical.readings([t or "" for t in texts]):
+        own = lengths if lengths is not None else [min(WINDOW, len(h))]
+        if not len(h) or not own:
+            continue
+        plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
+        begin = np.searchsorted(owner, np.arange(len(texts)))
+        for length, values in windows(h, own, reading):
+            if bits is None:
                 starts = np.arange(len(values))
-                if bits is not None:
-                    spot = values & np.uint64(FILTER_BITS - 1)
-                    starts = np.flatnonzero((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
-                literals = plain[starts + length] - plain[starts]
-                strong = literals >= min(LITERAL, length)
-                used = strong | ((literals >= WEAK) & (bits is not None or len(h) >= SHORTEST))
-                every, n = len(values), int(strong.sum())
-                starts, strong = starts[used], strong[used]
-                for start, value, sound in zip(starts.tolist(), values[starts].view(np.int64).tolist(), strong.tolist(), strict=True):
-                    yield name, reading, length, value, start, n, every, sound, slots(start, length, kind, kept, split)
+            else:
+                spot = values & np.uint64(FILTER_BITS - 1)
+                starts = np.flatnonzero((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                starts = starts[owner[starts] == owner[starts + (length - 1)]]
+            literals = plain[starts + length] - plain[starts]
+            strong = literals >= min(LITERAL, length)
+            used = strong | ((literals >= WEAK) & (bits is not None or len(h) >= SHORTEST))
+            every, n = len(values), int(strong.sum())
+            starts, strong = starts[used], strong[used]
+            for start, value, sound in zip(starts.tolist(), values[starts].view(np.int64).tolist(), strong.tolist(), strict=True):
+                of = int(owner[start])
+                yield ids[of], reading, length, value, start - int(begin[of]), n, every, sound, slots(start, length, kind, kept, split, int(stops[of]))
 
 
 def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bits) -> DataFrame:
@@ -210,7 +223,10 @@ def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical, filtered = Canonical(), None if bits is None else np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            rows = list(_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lengths, filtered, canonical))
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            # An item's windows follow its own length, so items are read one by one; documents together.
+            parts = [(ids, texts)] if bits is not None else [([i], [t]) for i, t in zip(ids, texts, strict=True)]
+            rows = [row for part in parts for row in _rows(*part, lengths, filtered, canonical)]
             if rows:
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
