@@ -14,7 +14,7 @@ sorted array of hashes with their numbers, and answers each block in the order o
 first block that asks for an n-gram owns it, and counts it once for the order below. Answers
 are saved, a file for each block and order, in the shared folder; texts are never shuffled but read
 again, once for each order. Numbers of blocks and buckets follow the bytes of text, and so do the
-bits of a hash: the chance that an n-gram meets another's hash stays under one in a thousand.
+bits of a hash: the chance that an n-gram meets another's hash stays under one in three hundred.
 
 Blocks are known by the task and place in which they are read, so the documents must be read alike
 each time, as files are; a block that is read otherwise is an error, not a wrong score.
@@ -35,10 +35,11 @@ from pyspark.sql import types as T
 
 from sedimark.llm.common import forget, get_file, put_file, settled, shared_dir, structs, table_bytes, unlink
 
-ORDER = 3
+#: Words of the longest n-grams. With 3 the sorted arrays and answers take 2.4 times the documents' Parquet files on disk, with 2 some 0.9 times.
+ORDER = 2
 #: Probability of a word that nothing is known of.
 RARE = 2.0**-20
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: Characters whose words are found at a time; a word without any space in so many characters is cut.
 STRETCH = 1 << 20
 #: Hashes of what stands before and behind a text.
@@ -133,22 +134,23 @@ class Block:
     doc has the text of each place, scored whether it is a word or the end.
     """
 
-    def __init__(self, texts: list[str | None], langs: list[str | None], bits: int):
+    def __init__(self, texts: list[str | None], langs: list[str | None], bits: int, order: int = ORDER):
+        self.order = order
         found, owner = words(texts)
         n = np.bincount(owner, minlength=len(texts))
-        size = np.where(n > 0, n + ORDER, 0)
+        size = np.where(n > 0, n + order, 0)
         end = np.cumsum(size)
         path = np.full(int(size.sum()), BEFORE, np.uint64)
-        path[(end - size)[owner] + ORDER - 1 + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]] = found
+        path[(end - size)[owner] + order - 1 + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]] = found
         path[end[n > 0] - 1] = BEHIND
         doc = np.repeat(np.arange(len(texts)), size)
         place = np.arange(len(path)) - (end - size)[doc]
-        used = place >= ORDER - 2
+        used = place >= order - 2
         known = {lang: seed(lang) for lang in set(langs)}
         gram = np.array([known[lang] for lang in langs], np.uint64)[doc]
-        self.texts, self.doc, self.scored = len(texts), doc[used], place[used] >= ORDER - 1
+        self.texts, self.doc, self.scored = len(texts), doc[used], place[used] >= order - 1
         self.grams = [gram[used] >> np.uint64(64 - bits)]
-        for k in range(1, ORDER + 1):
+        for k in range(1, order + 1):
             longer = np.zeros(len(path), np.uint64)
             longer[1:] = gram[:-1]
             longer[:1] = gram[:1]
@@ -158,8 +160,8 @@ class Block:
             self.grams.append(gram[used] >> np.uint64(64 - bits))
 
     def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct n-grams of k words, a place of each, and the number of each place's (-1 where an n-gram of ORDER does not end)."""
-        at = np.flatnonzero(self.scored) if k == ORDER else np.arange(len(self.doc))
+        """The distinct n-grams of k words, a place of each, and the number of each place's (-1 where an n-gram of the highest order does not end)."""
+        at = np.flatnonzero(self.scored) if k == self.order else np.arange(len(self.doc))
         keys, first, of = np.unique(self.grams[k][at], return_index=True, return_inverse=True)
         ids = np.full(len(self.doc), -1)
         ids[at] = of
@@ -212,8 +214,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int,
         yield number, pa.Table.from_batches(held)
 
 
-def _read(block: pa.Table, text: str, lang: str, bits: int) -> Block:
-    return Block(block[text].to_pylist(), block[lang].to_pylist(), bits)
+def _read(block: pa.Table, text: str, lang: str, bits: int, order: int) -> Block:
+    return Block(block[text].to_pylist(), block[lang].to_pylist(), bits, order)
 
 
 def _kind(values: np.ndarray) -> np.ndarray:
@@ -228,7 +230,7 @@ def counted(block: Block, k: int, folder: str, number: int) -> tuple[np.ndarray,
     words end in it, and of those that begin with it the total and how many of them count once, twice, and more.
     """
     keys, _, ids = block.level(k)
-    if k == ORDER:
+    if k == block.order:
         return keys, [np.bincount(ids[ids >= 0], minlength=len(keys))]
     above, first, _ = block.level(k + 1)
     found = answers(folder, k + 1, number, above)
@@ -245,12 +247,12 @@ def answers(folder: str, k: int, number: int, keys: np.ndarray) -> list[np.ndarr
     return columns
 
 
-def _questions(k: int, buckets: int, bits: int, text: str, lang: str, folder: str):
+def _questions(k: int, buckets: int, bits: int, order: int, folder: str):
     edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << bits) // buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, text):
-            own = _read(block, text, lang, bits)
+        for number, block in _blocks(batches, "text"):
+            own = _read(block, "text", "lang", bits, order)
             if not len(own.doc):
                 continue
             keys, values = counted(own, k, folder, number)
@@ -337,8 +339,9 @@ def logs(block: Block, found: list[list[np.ndarray]], cuts: list[list[float]], l
         numbers.append(number)
         n_gram.append(ids[at[first]])
         own = n
-    steps: list[tuple] = [()] * (ORDER + 1)
-    for k in range(ORDER, 0, -1):
+    order = block.order
+    steps: list[tuple] = [()] * (order + 1)
+    for k in range(order, 0, -1):
         # own: what the text alone has brought to each of its n-grams.
         live = np.flatnonzero(block.scored[places[k]])
         at = places[k][live]
@@ -356,7 +359,7 @@ def logs(block: Block, found: list[list[np.ndarray]], cuts: list[list[float]], l
         own = np.bincount(ends[(rest == 0) & (value > 0)], minlength=m)
     p = np.full(len(places[0]), RARE)
     single = p
-    for k in range(1, ORDER + 1):
+    for k in range(1, order + 1):
         live, begins, ends, rest, kind, total, kinds = steps[k]
         cut = np.array(cuts[k])
         left = np.divide(sum(c * n for c, n in zip(cut[1:], kinds, strict=True)), total, out=np.ones(len(total)), where=total > 0)
@@ -366,11 +369,11 @@ def logs(block: Block, found: list[list[np.ndarray]], cuts: list[list[float]], l
         p = longer
         single = p if k == 1 else single
     doc = block.doc[block.scored]
-    sums = [np.bincount(doc, np.log(q)[numbers[k][block.scored]], block.texts) for k, q in ((ORDER, p), (1, single))]
+    sums = [np.bincount(doc, np.log(q)[numbers[k][block.scored]], block.texts) for k, q in ((order, p), (1, single))]
     return np.bincount(doc, minlength=block.texts), *sums
 
 
-def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
+def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterable[tuple]], schema: str, order: int = ORDER) -> DataFrame:
     """docs without its texts, with the columns that rows makes of them, n_tokens, log_perplexity and single (by single words).
 
     docs are read alike each time. Columns of docs with the same names are replaced.
@@ -378,16 +381,16 @@ def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterabl
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     size = table_bytes(docs, text)
     buckets = 1 << (max(1, size // BUCKET_BYTES) - 1).bit_length()
-    bits = min(60, max(40, size.bit_length() + 10))
+    bits = min(60, max(32, size.bit_length() + 6))
     some = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     cuts: list[list[float]] = []
-    for k in range(ORDER, 0, -1):
-        asked = some.mapInArrow(_questions(k, buckets, bits, "text", "lang", folder), "bucket int, block bigint, data binary")
+    for k in range(order, 0, -1):
+        asked = some.mapInArrow(_questions(k, buckets, bits, order, folder), "bucket int, block bigint, data binary")
         answered = asked.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, sum bigint, data binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint")
         saved = answered.groupBy("block").applyInArrow(_save(k, folder), "n1 bigint, n2 bigint, n3 bigint, n4 bigint")
         cuts.insert(0, discounts([n or 0 for n in saved.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4))).first()]))
     cuts.insert(0, [])
-    asked = settled(some.mapInArrow(_questions(0, 1, bits, "text", "lang", folder), "block bigint, key bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"))
+    asked = settled(some.mapInArrow(_questions(0, 1, bits, order, folder), "block bigint, key bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"))
     # A language has a row for each block: summed in the JVM before and after the shuffle, and joined, with adaptive splits.
     roots = asked.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3")))
     asked.select("block", "key").join(roots, "key").groupBy("block").applyInArrow(_save_roots(folder), "n1 bigint").agg(F.sum("n1")).first()
@@ -400,11 +403,11 @@ def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in _blocks(batches, "_text"):
-            own = _read(part, "_text", "_lang", bits)
+            own = _read(part, "_text", "_lang", bits, order)
             n, whole, single = np.zeros(own.texts, np.int64), np.zeros(own.texts), np.zeros(own.texts)
             if len(own.doc):
-                levels = [own.level(k) for k in range(ORDER + 1)]
-                n, whole, single = logs(own, [answers(folder, k, number, levels[k][0]) for k in range(ORDER + 1)], cuts, levels)
+                levels = [own.level(k) for k in range(order + 1)]
+                n, whole, single = logs(own, [answers(folder, k, number, levels[k][0]) for k in range(order + 1)], cuts, levels)
             own_columns = structs(list(rows(part["_text"].to_pylist())), schema)
             means = [pa.array(-x / np.maximum(n, 1), pa.float64(), mask=n == 0) for x in (whole, single)]
             columns = [*(part[c] for c in keep), *own_columns.flatten(), pa.array(n), *means]

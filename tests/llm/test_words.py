@@ -27,13 +27,13 @@ def tokens(text):
     return found
 
 
-def model(paths):
+def model(paths, order):
     """Values of n-grams by order: counts, and below them the kinds of words before."""
-    values = {W.ORDER: collections.Counter()}
+    values = {order: collections.Counter()}
     for lang, path in paths:
-        for at in range(W.ORDER - 1, len(path)):
-            values[W.ORDER][lang, tuple(path[at - W.ORDER + 1 : at + 1])] += 1
-    for k in range(W.ORDER - 1, 0, -1):
+        for at in range(order - 1, len(path)):
+            values[order][lang, tuple(path[at - order + 1 : at + 1])] += 1
+    for k in range(order - 1, 0, -1):
         values[k] = collections.Counter((lang, gram[1:]) for lang, gram in values[k + 1])
     return values
 
@@ -51,27 +51,28 @@ def probability(values, cuts, lang, gram):
     return (n - cut(n)) / total + sum(cut(x) for x in after.values()) / total * below
 
 
-def test_scores_equal_brute_force(spark):
-    paths = {i: (lang, ["^"] * (W.ORDER - 1) + tokens(t) + ["$"]) for i, t, lang in ROWS if tokens(t)}
-    ones = {k: collections.Counter(v.values()) for k, v in model(paths.values()).items()}
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_equal_brute_force(spark, order):
+    paths = {i: (lang, ["^"] * (order - 1) + tokens(t) + ["$"]) for i, t, lang in ROWS if tokens(t)}
+    ones = {k: collections.Counter(v.values()) for k, v in model(paths.values(), order).items()}
     cuts = {k: W.discounts([c[i] for i in (1, 2, 3, 4)]) for k, c in ones.items()}
     docs = spark.createDataFrame(ROWS, "row bigint, text string, lang string").repartition(3, "row").sortWithinPartitions("row")
-    found = W.scored(Q.settled(docs), "text", "lang", Q._rules, Q.RULES).collect()
+    found = W.scored(Q.settled(docs), "text", "lang", Q._rules, Q.RULES, order).collect()
     assert len(found) == len(ROWS) and {r.row for r in found} == set(range(len(ROWS)))
     for r in found:
         assert (r.log_perplexity is None) == (r.row not in paths)
         if r.row in paths:
             lang, path = paths[r.row]
-            others = model([p for i, p in paths.items() if i != r.row])
-            places = range(W.ORDER - 1, len(path))
-            whole, single = ([math.log(probability(others, cuts, lang, tuple(path[at - k + 1 : at + 1]))) for at in places] for k in (W.ORDER, 1))
+            others = model([p for i, p in paths.items() if i != r.row], order)
+            places = range(order - 1, len(path))
+            whole, single = ([math.log(probability(others, cuts, lang, tuple(path[at - k + 1 : at + 1]))) for at in places] for k in (order, 1))
             assert r.n_tokens == len(places)
             assert r.log_perplexity == pytest.approx(-sum(whole) / len(whole), abs=1e-9) and r.single == pytest.approx(-sum(single) / len(single), abs=1e-9)
 
 
 def test_probabilities_of_a_context_sum_to_one():
     paths = [(lang, ["^"] * (W.ORDER - 1) + tokens(t) + ["$"]) for _, t, lang in ROWS if tokens(t)]
-    values = model(paths)
+    values = model(paths, W.ORDER)
     cuts = {k: W.discounts([sum(n == i for n in v.values()) for i in (1, 2, 3, 4)]) for k, v in values.items()}
     known = {g[-1] for (lang, g) in values[1] if lang == "x"}
     rest = (sum(cuts[1][min(n, 3)] for (lang, _), n in values[1].items() if lang == "x") / sum(n for (lang, _), n in values[1].items() if lang == "x")) * (1 - W.RARE * len(known))
