@@ -3,7 +3,8 @@
 A vocabulary holds the pieces that are frequent in text and code, so ordinary
 strings need few tokens and random ones many: a candidate run whose characters per
 token fall below a threshold is reported, or the stretches of it that do, unless it is a known kind of digest or
-identifier. Spans are in code points, end exclusive.
+identifier: a name is one of words that the vocabulary knows. Runs of LEAST characters are candidates, and those
+of LEAST_MIXED that have small and capital letters and digits. Spans are in code points, end exclusive.
 
 Defined cases: a null text is an empty one; a text of any length is scanned whole;
 repeated rows each get their own result; an empty table gives an empty table; input
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,16 +32,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")
 
 #: Runs that may be random strings, and what is left out of them.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{10,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z|(?:sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*)\Z", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.IGNORECASE)
 #: Words and numbers between separators; words in camel case.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[/_=+-]+)+\Z")
 #: A label and a number: dates, ISBNs, article and account numbers.
-NUMBERED = re.compile(r"[A-Za-z]*[-_/+=]*[0-9][0-9_/-]*[A-Za-z]?\Z")
-#: What separators leave of a run; characters of the least stretch, and tokens of a window within a piece.
+NUMBERED = re.compile(r"([A-Za-z]*)[-_/+=]*[0-9][0-9_/-]*[A-Za-z]?\Z")
+#: What separators leave of a run; characters of the least candidate, of the least one of three kinds of characters, and of the
+#: least word that the vocabulary must know; tokens of a window within a piece.
 PIECE = re.compile(r"[A-Za-z0-9]+")
-LEAST, TOKENS = 16, 10
+LEAST, LEAST_MIXED, LEAST_WORD, TOKENS = 16, 10, 4, 10
 SEGMENTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 SCHEMA = "n_assign:bigint,n_access:bigint,n_hex:bigint,n_ratio:bigint,base_sha256:string,spans:string"
@@ -55,13 +58,30 @@ def encoding(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(run: str) -> bool:
-    """Digests, UUIDs, and names made of words: their kind says that they are no secrets."""
-    if DIGEST.match(run) or UUID.match(run) or NUMBERED.match(run):
+def low(run: str, chars_per_token: float, vocabulary: str) -> bool:
+    return len(run) < chars_per_token * len(encoding(vocabulary).encode_ordinary(run))
+
+
+def mixed(run: str) -> bool:
+    return any(map(str.islower, run)) and any(map(str.isupper, run)) and any(map(str.isdigit, run))
+
+
+def _form(run: str, chars_per_token: float, vocabulary: str) -> bool:
+    """Digests, UUIDs, and numbers with or without a label."""
+    if DIGEST.match(run) or UUID.match(run):
+        return True
+    numbered = NUMBERED.match(run)
+    return bool(numbered) and (len(numbered[1]) < LEAST_WORD or not low(numbered[1], chars_per_token, vocabulary))
+
+
+def known(run: str, chars_per_token: float, vocabulary: str) -> bool:
+    """Digests, UUIDs, labelled numbers, and names made of words: their kind says that they are no secrets."""
+    if _form(run, chars_per_token, vocabulary):
         return True
     parts = SEGMENTS.findall(run)
-    # In a name, words are long for the number of places where letters, cases and digits meet.
-    return len(parts) > 1 and bool(IDENTIFIER.match(run)) and len(run) >= 4 * len(parts)
+    # In a name, words are long for the number of places where letters, cases and digits meet, and the vocabulary knows them.
+    name = len(parts) > 1 and bool(IDENTIFIER.match(run)) and len(run) >= 4 * len(parts)
+    return name and not any(len(p) >= LEAST_WORD and not p.isdigit() and low(p, chars_per_token, vocabulary) for p in parts)
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -73,10 +93,6 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-def low(run: str, chars_per_token: float, vocabulary: str) -> bool:
-    return len(run) < chars_per_token * len(encoding(vocabulary).encode_ordinary(run))
-
-
 def stretches(run: str, chars_per_token: float, vocabulary: str) -> Iterator[tuple[int, int]]:
     """Parts of a run that are below the ratio: pieces between separators, in a row, or within a piece windows of tokens."""
     pieces = [m.span() for m in PIECE.finditer(run)]
@@ -106,16 +122,30 @@ def stretches(run: str, chars_per_token: float, vocabulary: str) -> Iterator[tup
         at += 1
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def random_spans(text: str, taken: list[tuple[int, int]], chars_per_token: float, vocabulary: str) -> Iterator[tuple[int, int]]:
     """Runs below the ratio, or else their parts that are, that meet no span already taken."""
+    starts, ends = merged(taken)
     for m in RUN.finditer(text):
         run, offset = m[0], m.start()
-        if DIGEST.match(run) or UUID.match(run) or NUMBERED.match(run):
+        if len(run) < LEAST and not mixed(run) or _form(run, chars_per_token, vocabulary):
             continue
-        whole = not known(run) and low(run, chars_per_token, vocabulary)
+        whole = not known(run, chars_per_token, vocabulary) and low(run, chars_per_token, vocabulary)
         for a, b in [(0, len(run))] if whole else stretches(run, chars_per_token, vocabulary):
             start, end = offset + a, offset + b
-            if b - a >= LEAST and not known(run[a:b]) and all(end <= c or d <= start for c, d in taken):
+            at = bisect_left(starts, end)
+            if (b - a >= LEAST or whole) and (whole or not known(run[a:b], chars_per_token, vocabulary)) and (at == 0 or ends[at - 1] <= start):
                 yield start, end
 
 

@@ -61,3 +61,46 @@ def test_random_strings_behind_plain_text_are_found():
         for front in ("", "/en/articles/how-to-reset-your-account-password/", "/download/files/attachment/"):
             assert sum(bool(secrets.scan(f"see {front}{k} now", 2.0, VOCABULARY)["ratio"]) for k in keys) >= 90
     assert not secrets.scan("/en/articles/2024/05/17/how-to-reset-your-account-password/", 2.0, VOCABULARY)["ratio"]
+
+
+def test_short_mixed_runs_and_letters_of_one_case():
+    spans = lambda text: secrets.scan(text, 2.0, VOCABULARY)["ratio"]
+    assert spans("key k9Fz3Qw8Lp1XvT7 here") == [(4, 19)]
+    assert spans("key qzxvkjwqpfhgzbnmtyw here") == [(4, 23)]
+    assert spans("qzxvkjw-bnmtywq-xkcdvz") == [(0, 22)]
+    for clean in ("McDonald2023 iPhone15Pro", "order-2024011588310042", "ISBN978-3-16-148410-0", "internationalization", "user_name_field_count_2024"):
+        assert not spans(clean), clean
+
+
+def test_many_spans_are_swept_in_time():
+    import random
+    import string
+    import time
+
+    r = random.Random(1)
+    made = lambda: "".join(r.choices(string.ascii_letters + string.digits, k=24))
+    text = " ".join(f"token={made()} {made()}" for _ in range(20_000))
+    began = time.perf_counter()
+    found = secrets.scan(text, 2.0, VOCABULARY)
+    assert len(found["assign"]) == 20_000 and len(found["ratio"]) > 19_000 and time.perf_counter() - began < 20
+    assert secrets.merged([(5, 7), (0, 3), (2, 4), (7, 9)]) == ([0, 5], [4, 9])
+
+
+def test_query_equals_brute_force(spark, sf):
+    from sedimark.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op1_secrets(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        spans = sorted((int(s.split(":")[1]), s) for s in r.spans.split(",") if s)
+        assert [s for _, s in spans if not s.startswith("ratio")] == [s for s in listed.split(",") if s]
+        # A span of the method is a run or a part of one, below the ratio, that meets no other.
+        for _, s in spans:
+            kind, a, b = s.split(":")
+            if kind == "ratio":
+                part = texts[r.doc_id][int(a) : int(b)]
+                assert re.fullmatch(r"[A-Za-z0-9+/_=-]{10,}", part) and all(int(b) <= c or d <= int(a) for c, _, d in base)
