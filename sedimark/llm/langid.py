@@ -6,14 +6,16 @@ votes. Languages come from the labels; FAMILIES only groups those it knows, and
 other language is a family of its own.
 
 The machines are fitted on the driver on a bounded sample: at most ``max_rows`` labelled
-rows, shared equally by the languages and chosen by a hash of doc_id, so every size of
-table is sampled alike. Each language's share is thinned before it is collected.
+rows, one for each id, shared equally by the languages and chosen by a hash of doc_id, so every size of
+table is sampled alike. Each language's share is thinned, and its texts become vectors, before it is collected; so what reaches
+the driver is bounded in bytes too. Of more than ``max_langs`` labels the most frequent are learned.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; texts of any
 length are read whole, a stretch at a time; repeated rows each get their result; without
 labels every text is ``und``, with one language every text with letters is that one,
 with score 1; an empty table gives an empty table; input columns named like an output
-column are replaced; a null doc_id is not held out and not learned from.
+column are replaced; a null doc_id is not held out and not learned from; equal margins or votes go to the
+first family or language in the alphabet.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 DIMENSIONS = 1 << 13
 ORDERS = (2, 3, 4)
-MAX_ROWS = 2000
+MAX_ROWS, MAX_LANGS = 2000, 200
 UNKNOWN = "und"
 #: Bytes of a text whose n-grams are counted at a time.
 STRETCH = 1 << 20
@@ -131,7 +134,11 @@ class Model:
 
 
 def fit_rows(texts: list[str], langs: list[str]) -> Model:
-    rows = [(v, lang) for t, lang in zip(texts, langs, strict=True) if (v := vector(t)) is not None]
+    return fit_vectors([vector(t) for t in texts], langs)
+
+
+def fit_vectors(vectors: list[np.ndarray | None], langs: list[str]) -> Model:
+    rows = [(v, lang) for v, lang in zip(vectors, langs, strict=True) if v is not None]
     x = np.array([v for v, _ in rows], np.float32).reshape(len(rows), DIMENSIONS)
     labels = np.array([lang for _, lang in rows], object)
     languages: dict[str, list[str]] = defaultdict(list)
@@ -155,10 +162,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    """A model of the labelled rows where learn holds, from at most max_rows of them."""
+def _vectors(texts: pa.Array) -> pa.Array:
+    found = (vector(t) for t in texts.to_pylist())
+    return pa.array([None if v is None else v.astype("<f4").tobytes() for v in found], pa.binary())
+
+
+def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> Model:
+    """A model of the labelled rows where learn holds, from at most max_rows of them in at most max_langs languages."""
     labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    counted = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(doc_id, 0.02).alias("ids"))
+    counts = {r[0]: max(1, r["ids"]) for r in counted.orderBy(F.desc("rows"), lang).limit(max_langs).collect()}
     if not counts:
         return fit_rows([], [])
     share = max(2, max_rows // len(counts))
@@ -167,12 +180,15 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     limit = F.lit(0)
     for code, n in sorted(counts.items()):
         limit = F.when(F.col(lang) == code, int(places * min(1.0, 1.2 * share / n))).otherwise(limit)
-    rows = labelled.where(place < limit).select(place.alias("place"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    thinned = labelled.where(place < limit).select(place.alias("place"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # One row for each id, however often it is repeated: the least text.
+    single = thinned.groupBy("place", "lang").agg(F.min("text").alias("text"))
+    rows = single.select("place", "lang", F.arrow_udf(_vectors, "binary")("text").alias("v")).where("v is not null")
     best: dict[str, list] = defaultdict(list)
-    for row in sorted(rows.collect(), key=lambda r: (r["place"], r["text"])):
+    for row in sorted(rows.collect(), key=lambda r: (r["lang"], r["place"])):
         if len(best[row["lang"]]) < share:
-            best[row["lang"]].append(row["text"])
-    return fit_rows([t for found in best.values() for t in found], [code for code, found in best.items() for _ in found])
+            best[row["lang"]].append(np.frombuffer(row["v"], "<f4"))
+    return fit_vectors([v for found in best.values() for v in found], [code for code, found in best.items() for _ in found])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

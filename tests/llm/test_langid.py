@@ -37,3 +37,29 @@ def test_few_labels(spark):
 def test_the_sample_is_bounded(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"), F.when(F.col("id") < 4990, "en").otherwise("de").alias("lang"))
     assert langid.fit(docs, F.lit(True), max_rows=40).languages == {"germanic": ["de", "en"]}
+
+
+def test_repeated_ids_and_many_labels_stay_bounded(spark, monkeypatch):
+    docs = spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("the cat and the dog").alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(300).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    fitted = []
+    monkeypatch.setattr(langid, "fit_vectors", lambda vectors, langs, make=langid.fit_vectors: fitted.append(langs) or make(vectors, langs))
+    model = langid.fit(docs.union(more), F.lit(True), max_rows=50, max_langs=3)
+    assert sorted(fitted[0]) == ["en", "l0", "l1"] and sorted(model.families) == ["germanic", "l0", "l1"]
+
+
+def test_vote_equals_a_second_implementation():
+    texts = ["the cat and the dog with that", "der hund und die katze mit nicht", "de hond en de kat met niet", "le chat et les chiens avec des", "el gato y los perros con una"] * 5
+    model = langid.fit_rows(texts, ["en", "de", "nl", "fr", "es"] * 5)
+    for text in [*texts[:5], "die and le", "kat gato", "x"]:
+        x = [*langid.vector(text).tolist(), 1.0]
+        dot = lambda w: sum(a * b for a, b in zip(w.tolist(), x, strict=True))  # noqa: E731, B023
+        margins = [dot(w) for w in model.family_weights]
+        names = model.languages[model.families[margins.index(max(margins))]]
+        wins, at = dict.fromkeys(names, 0.0), 0
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                wins[a if dot(model.pair_weights[model.families[margins.index(max(margins))]][at]) >= 0 else b] += 1
+                at += 1
+        most = max(wins.values())
+        assert model.predict(text)[0] in [n for n in names if wins[n] == most]
