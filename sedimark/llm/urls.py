@@ -5,12 +5,13 @@ whose path starts with the rule's. Among the rules that fit, the one with the lo
 ``host + path`` wins; among equal ones the longer host, and then block over allow. A
 URL that no rule fits gets the default verdict.
 
-The trie is sent to the executors whole, so it is used up to MAX_BROADCAST_RULES
-rules; beyond that the same matches come from an equi-join of the rules with the host
-suffixes and path prefixes that their lengths allow, which shuffles the rules too.
+The rules are broadcast, and each worker makes the trie of them once, up to MAX_BROADCAST_RULES
+rules of MAX_BROADCAST_BYTES together; beyond either the same matches come from an equi-join of the rules with the host
+suffixes and path prefixes that their lengths allow, which shuffles the rules too. Rules are a list or a table.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and gets
-the default verdict; repeated rows stay; an empty table gives an empty table; input
+the default verdict; URLs of any length are read whole; repeated rows and repeated rules change nothing; rules with a null field are left out;
+an empty table gives an empty table, and no rules the default verdict; input
 columns named like an output column are replaced.
 """
 
@@ -29,7 +30,7 @@ from sedimark.llm.common import with_columns
 Rule = tuple[str, str, str]
 
 #: Largest rule table that is sent to every executor: some 30 MB as a trie.
-MAX_BROADCAST_RULES = 100_000
+MAX_BROADCAST_RULES, MAX_BROADCAST_BYTES = 100_000, 8 << 20
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -90,16 +91,27 @@ def best(root: Node, host: str, path: str) -> Rule | None:
     return found
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule (null if none fits) and verdict."""
-    if len(rules) > MAX_BROADCAST_RULES:
-        return judge_urls_by_join(pages, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), url, default)
-    root = trie(rules)
+def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+    """pages with host, path, rule (null if none fits) and verdict; rules are (verdict, host, path)."""
+    spark = pages.sparkSession
+    if isinstance(rules, DataFrame):
+        table = rules.select("verdict", "host", "path").dropna()
+        size = F.octet_length("verdict") + F.octet_length("host") + F.octet_length("path")
+        n, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        if n > MAX_BROADCAST_RULES or total > MAX_BROADCAST_BYTES:
+            return judge_urls_by_join(pages, table, url, default)
+        rules = [tuple(r) for r in table.collect()]
+    elif len(rules) > MAX_BROADCAST_RULES or sum(len("".join(r)) for r in rules) > MAX_BROADCAST_BYTES:
+        return judge_urls_by_join(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), url, default)
+    sent = spark.sparkContext.broadcast(rules)
+    made: list[Node] = []
 
     def rows(urls: list[str | None]) -> Iterator[tuple]:
+        if not made:
+            made.append(trie(sent.value))
         for value in urls:
             host, path = parts(value)
-            rule = best(root, host, path) if host else None
+            rule = best(made[0], host, path) if host else None
             yield (host, path, None, default) if rule is None else (host, path, rule[1] + rule[2], rule[0])
 
     return with_columns(pages, rows, "host:string,path:string,rule:string,verdict:string", url)
@@ -125,10 +137,11 @@ def judge_urls_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", def
     keep = [c for c in pages.columns if c not in made]
     split = pages.select(*(F.col(f"`{c}`") for c in keep), host.alias("host"), path.alias("path"))
     urls = split.select("host", "path").distinct()
-    lengths = rules.select(F.length("path").alias("n")).distinct().agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    # As many numbers as rule paths have lengths.
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
     tries = (
-        urls.where("host <> ''").join(F.broadcast(lengths))
+        urls.where("host <> ''").withColumn("lengths", F.array(*map(F.lit, lengths)).cast("array<int>"))
         .withColumn("suffix", F.explode(suffixes))
         .withColumn("prefix", F.explode(F.expr("transform(filter(lengths, n -> n <= length(path)), n -> substring(path, 1, n))")))
     )

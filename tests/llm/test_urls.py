@@ -42,3 +42,15 @@ def test_empty_and_repeated(spark):
     pages = spark.createDataFrame([("http://a.com/",), ("http://a.com/",)], "url string")
     assert urls.judge_urls(pages, RULES).count() == 2 and urls.judge_urls(pages.limit(0), RULES).count() == 0
     assert [r.verdict for r in urls.judge_urls(pages, [], default="block").collect()] == ["block", "block"]
+
+
+def test_rules_of_a_table_and_deep_paths(spark, monkeypatch):
+    deep = "/" + "/".join("abcdefgh"[i % 8] for i in range(3000))
+    rules = [*RULES, ("block", "deep.org", deep), ("block", "deep.org", deep)]
+    pages = spark.createDataFrame([(0, f"http://x.deep.org{deep}/z"), (1, "http://deep.org/a/b"), *((i + 2, u) for i, u in enumerate(sample()[:40]))], "page_id bigint, url string")
+    table = spark.createDataFrame([*rules, (None, "a", "/")], "verdict string, host string, path string")
+    wanted = {r.page_id: brute(r.url, rules) for r in pages.collect()}
+    for most in (100_000, 3):
+        monkeypatch.setattr(urls, "MAX_BROADCAST_RULES", most)
+        for given in (rules, table):
+            assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, given).collect()} == wanted
