@@ -20,7 +20,7 @@ shard; its running sum places the shards in the whole sequence.
 
 Defined cases: a null or empty text has the end id alone; rows with a null doc_id come
 first; rows with equal ids are ordered by their texts, so repeated rows are as good as
-ordered; an empty table gives no shards and an empty result; only the id and text
+ordered; a text of any length is encoded whole, by its chunks; an empty table gives no shards and an empty result; only the id and text
 columns are read, so other columns cannot clash.
 """
 
@@ -151,7 +151,8 @@ class Tokenizer:
 
     The vocabulary's pre-tokens end at white space, so a text's ids are those of its
     chunks. Chunks of ASCII and Latin-1 letters are in normal form already: they are
-    lower-cased and split here and their pieces go to the library's model. Other chunks,
+    lower-cased and split here and their pieces go to the library's model. Other chunks, those that may hold
+    the name of a special token (which the library reads as that token),
     and texts with controls that Python alone takes for white space, go through the
     library's whole pipeline.
     """
@@ -168,7 +169,6 @@ class Tokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {b: alphabet.pre_tokenize_str(chr(b))[0][0] for b in range(0x80) if chr(b).strip()}
@@ -185,7 +185,7 @@ class Tokenizer:
         return self._ids([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))])
 
     def _chunk(self, chunk: str) -> bytes:
-        if not self.PLAIN.match(chunk):
+        if not self.PLAIN.match(chunk) or "<|" in chunk:
             return self._whole(chunk)
         return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(chunk.lower())))
 

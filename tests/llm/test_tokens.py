@@ -16,9 +16,7 @@ ALPHABET = "abc dÉé ñ'stre\n\t\x1c\x85\xa0\u0301ﬁΣİ<|endoftext|>12.,²µ
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def ids(library, text):
@@ -34,6 +32,16 @@ def test_chunks_give_the_library_s_ids(library):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(library, text)
 
     same()
+    special = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "é", "a", " ", "\n", "中", "'s"]
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.lists(st.sampled_from(special), max_size=8))
+    def same_with_names_of_special_tokens(parts):
+        text = "".join(parts)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(library, text)
+
+    same_with_names_of_special_tokens()
+    assert ids(library, "a <|endoftext|> b")[1] == 49407
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
