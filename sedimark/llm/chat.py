@@ -10,14 +10,16 @@ texts a backslash, ``###`` and ``</turn>`` are escaped, each to a backslash and
 so any text comes back as it was and none can open or close a turn. The loss mask covers
 the escaped text of each assistant turn.
 
-Turns are formatted where they are. To be written, a conversation's turns are sorted
-and joined into segments of some SEGMENT characters, so a conversation of any length
-takes bounded memory; its order makes it one task's, as does a digest of it.
+Turns are formatted where they are. To be written, the turns of TURNS numbers in a row are sorted
+and joined into segments of some SEGMENT characters, so a conversation of any length is dealt over
+tasks and takes bounded memory, but for its longest turn. A digest of it is one of a sequence, and so one task's.
 
 Defined cases: a null text or role is an empty one; a conversation without turns has no
 row; turns with equal numbers are ordered by role and text, and repeated rows stay;
 empty tables give an empty result; only the mapped fields are read, so other columns
-cannot clash. A record that no mapping fits gives no turns; unmapped() lists it.
+cannot clash. A record that no mapping fits, or that has something else than an object in its list of messages, gives no
+turns; unmapped() lists it. Of mappings that fit and need equally many paths the alphabetically last is taken.
+A missing, null or empty field of a turn is left out; 0 and false are text.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ SEGMENT = 1 << 16
 ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"), ("\n", "\\n"))
 PLAIN = {code: text for text, code in ROLE_ESCAPES}
-TURN = re.compile(r"### ([^:]*): ((?:[^<]|<(?!/turn>))*)</turn>\n")
+END = "</turn>\n"
+#: Turn numbers that one task formats in a row.
+TURNS = 256
 
 #: Layouts: paths that a record must have, and the turns that it has, as (role, path) or as a list of messages.
 MAPPINGS = {
@@ -76,6 +80,10 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
+def _text(value: object) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+
 class Registry:
     """Mappings by fingerprint; a new fingerprint is resolved once."""
 
@@ -98,12 +106,14 @@ class Registry:
         mapping = self.mappings[name]
         if "list" in mapping:
             field, role, text = mapping["list"]
-            found = [(m.get(role), m.get(text)) for m in record[field] if isinstance(m, dict)]
+            if not all(isinstance(m, dict) for m in record[field]):
+                return None
+            found = [(m.get(role), m.get(text)) for m in record[field]]
         elif "row" in mapping:
             found = [(record["role"], record["text"])]
         else:
-            found = [(role, "\n\n".join(str(record[f]) for f in fields if record.get(f))) for role, fields in mapping["turns"]]
-        return [(ROLES.get(r := str(role or ""), r), text if isinstance(text, str) else "" if text is None else json.dumps(text, ensure_ascii=False)) for role, text in found]
+            found = [(role, "\n\n".join(_text(record[f]) for f in fields if record.get(f) not in (None, ""))) for role, fields in mapping["turns"]]
+        return [(ROLES.get(r := str(role or ""), r), _text(text)) for role, text in found]
 
 
 def from_records(records: DataFrame, conv_id: str = "conv_id", record: str = "record", mappings: dict[str, dict] | None = None) -> DataFrame:
@@ -156,26 +166,28 @@ def unescaped(text: str) -> str:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """(conv_id, segment, text, loss): loss has the [start, end) of each masked stretch in the segment's text."""
+    """(conv_id, part, segment, text, loss): loss has the [start, end) of each masked stretch in the segment's text. Parts and their segments are in order."""
     head = F.concat(F.lit("### "), _escaped(F.col("role"), ROLE_ESCAPES), F.lit(": "))
     body = _escaped(F.col("text"), ESCAPES)
-    pieces = turns.select("conv_id", "turn", "role", "text", F.length(head).alias("start"), F.concat(head, body, F.lit("</turn>\n")).alias("piece"))
-    dealt = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "start", "piece")
+    part = F.coalesce(F.floor(F.col("turn") / TURNS).cast("bigint"), F.lit(-(1 << 62)))
+    pieces = turns.select("conv_id", part.alias("part"), "turn", "role", "text", F.length(head).alias("start"), F.concat(head, body, F.lit("</turn>\n")).alias("piece"))
+    dealt = pieces.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").select("conv_id", "part", "role", "start", "piece")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, segment, held, chars, loss = object(), 0, [], 0, []
+        now, segment, held, chars, loss = (None, None), 0, [], 0, []
 
         def closed() -> pa.RecordBatch:
-            return pa.record_batch({"conv_id": pa.array([now], pa.int64()), "segment": pa.array([segment], pa.int64()), "text": pa.array(["".join(held)], pa.string()), "loss": pa.array([loss], pa.list_(span))})
+            return pa.record_batch({"conv_id": pa.array(now[:1], pa.int64()), "part": pa.array(now[1:], pa.int64()), "segment": pa.array([segment], pa.int64()), "text": pa.array(["".join(held)], pa.string()), "loss": pa.array([loss], pa.list_(span))})
 
         for batch in batches:
-            for conv, role, start, piece in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "start", "piece")), strict=True):
-                if held and (conv != now or chars >= SEGMENT):
+            for conv, part, role, start, piece in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "role", "start", "piece")), strict=True):
+                own = (conv, part)
+                if held and (own != now or chars >= SEGMENT):
                     yield closed()
                     segment, held, chars, loss = segment + 1, [], 0, []
-                if conv != now:
-                    now, segment = conv, 0
+                if own != now:
+                    now, segment = own, 0
                 if role == "assistant":
                     loss.append({"start": chars + start, "end": chars + len(piece) - len("</turn>\n")})
                 held.append(piece)
@@ -183,12 +195,12 @@ def formatted(turns: DataFrame) -> DataFrame:
         if held:
             yield closed()
 
-    return dealt.mapInArrow(join, "conv_id bigint, segment bigint, text string, loss array<struct<start: bigint, end: bigint>>")
+    return dealt.mapInArrow(join, "conv_id bigint, part bigint, segment bigint, text string, loss array<struct<start: bigint, end: bigint>>")
 
 
 def digests(segments: DataFrame) -> DataFrame:
     """What the written segments hold, parsed and unescaped: numbers and digests of turns and masked text."""
-    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "part", "segment")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
@@ -198,15 +210,14 @@ def digests(segments: DataFrame) -> DataFrame:
                     yield _digest_row(now, state)
                     state = None
                 now, state = conv, state or [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                end = 0
-                for m in TURN.finditer(text):
-                    if m.start() != end:
-                        raise ValueError(f"conversation {conv}: text outside its turns")
-                    end = m.end()
+                at = 0
+                while at < len(text):
+                    head, end = text.find(": ", at), text.find(END, at)
+                    if not text.startswith("### ", at) or not at < head < end:
+                        raise ValueError(f"conversation {conv}: text outside its turns, or a turn that does not end")
                     state[0] += 1
-                    state[1].update(f"{unescaped(m[1])}\n{unescaped(m[2])}\n".encode())
-                if end != len(text):
-                    raise ValueError(f"conversation {conv}: a turn does not end")
+                    state[1].update(f"{unescaped(text[at + 4 : head])}\n{unescaped(text[head + 2 : end])}\n".encode())
+                    at = end + len(END)
                 for span in loss:
                     masked = unescaped(text[span["start"] : span["end"]])
                     state[2] += len(masked)

@@ -64,3 +64,32 @@ def test_what_is_written_comes_back(spark, monkeypatch):
         assert (found[conv].loss_chars, found[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert found[conv].formatted_chars == sum(len(s.text) for s in segments.where(f"conv_id = {conv}").collect())
     assert chat.digests(chat.formatted(chat.from_rows(table.limit(0)))).count() == 0
+
+
+def test_odd_records(spark):
+    records = chat.records_of(spark, [(1, {"messages": [{"role": "user", "content": "u"}, "odd"]}), (2, {"prompt": 0, "response": False}), (3, {"prompt": "", "response": None, "system": "s"})])
+    turns = {}
+    for r in sorted(chat.from_records(records).collect(), key=lambda r: (r.conv_id, r.turn)):
+        turns.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert turns == {2: [("user", "0"), ("assistant", "false")], 3: [("system", "s"), ("user", ""), ("assistant", "")]}
+    assert {r.conv_id for r in chat.unmapped(records).collect()} == {1}
+
+
+def test_a_long_turn_takes_bounded_time_and_memory(spark):
+    import resource
+
+    text = "a<b </turn> ### " * 1_300_000
+    table = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "x")], "conv_id bigint, turn bigint, role string, text string")
+    long = table.selectExpr("conv_id", "turn", "role", "case when turn = 1 then repeat('a<b </turn> ### ', 1300000) else text end as text")
+    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+    found = chat.digests(chat.formatted(chat.from_rows(long))).collect()
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in found] == [(2, len(text), hashlib.sha256(text.encode()).hexdigest())]
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss < max(before, 1_500_000)
+
+
+def test_a_long_conversation_is_dealt_over_tasks_in_order(spark):
+    table = spark.range(2000).selectExpr("1L as conv_id", "1000 - id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    segments = chat.formatted(chat.from_rows(table))
+    assert segments.select("part").distinct().count() == 8
+    own = sorted((r.turn, r.role, r.text) for r in table.collect())
+    assert [r.turns_sha256 for r in chat.digests(segments).collect()] == [hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()]
