@@ -6,16 +6,17 @@ The network reads windows of WINDOW words, a new one every STRIDE words to the e
 the text; attention pools the states of a window, and the text's score is the highest of
 its windows'.
 
-It is trained on the driver on a bounded sample: at most ``max_rows`` labelled rows, a
-third of them toxic where there are as many, chosen by a hash of doc_id; of each the first
-``max_chars`` characters. Labels say that a text is toxic, not where: after a first pass
-over all windows, each text is learned by its highest window.
+It is trained on the driver on a bounded sample: at most ``max_rows`` labelled ids, a
+third of them toxic where there are as many, in the order of a hash of doc_id, as far as their texts, which are
+read whole, have ``max_windows`` windows together (a text that goes beyond is left out, a later one may fit). Labels say that a text is toxic, not where: after a first pass
+over windows of all texts, each text is learned by its highest window of all it has.
 
 Defined cases: a null or empty text, or one without words, gets the network's score of an
 empty window; texts of any length are scored whole, a stretch at a time; repeated rows
 each get their score; without labels of both kinds the score is the share of toxic labels,
 0 without any; an empty table gives an empty table; input columns named like an output
-column are replaced; labels with a null id or label are left out.
+column are replaced; labels with a null id or label are left out; an id with several labels is toxic if one of them
+says so, and of several texts of an id the least is learned from; of equally high windows the first is taken.
 """
 
 from __future__ import annotations
@@ -25,21 +26,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import with_columns
+from sedimark.llm.common import forget, settled, with_columns
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD, CHAR = 16, 12, 20
 GRAMS, GRAM_ORDERS = 1 << 14, (3, 4, 5)
 VOCABULARY = 4096
 MAX_ROWS = 2000
-MAX_CHARS = 8_000
+MAX_WINDOWS = 300_000
 #: Words whose inputs a task keeps; windows scored at a time; words of texts gathered before scoring.
 KEPT, AT_ONCE, GATHERED = 120_000, 1024, 40_000
-#: Windows of a clean text that a round in the first half of training looks at; later rounds look at all.
-CLEAN_WINDOWS = 8
 
 WORDS = re.compile(r"\w+").findall
 Parameters = dict[str, np.ndarray]
@@ -167,7 +167,7 @@ def gates(p: Parameters, x: np.ndarray) -> np.ndarray:
 def window_rows(rows: np.ndarray) -> np.ndarray:
     """Windows over a text's rows, every STRIDE words to the end; an empty one for a text without words."""
     n = max(1, -(-(len(rows) - WINDOW) // STRIDE) + 1)
-    padded = np.zeros((n - 1) * STRIDE + WINDOW, np.int64)
+    padded = np.zeros((n - 1) * STRIDE + WINDOW, rows.dtype)
     padded[: len(rows)] = rows
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
@@ -271,7 +271,7 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10,
     places = Inputs(vocabulary).places(names)
     hashes, starts = grams(names)
     ends = np.append(starts[1:], len(hashes))
-    windows = [window_rows(np.fromiter((row[w] for w in words), np.int64, len(words))) for words in split]
+    windows = [window_rows(np.fromiter((row[w] for w in words), np.int32, len(words))) for words in split]
     random, width = np.random.default_rng(seed), WORD + CHAR
     p: Parameters = {
         "words": random.normal(0, 0.1, (VOCABULARY + 1, WORD)).astype(np.float32),
@@ -305,7 +305,8 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10,
     every = np.concatenate(windows)
     even = half[owner] / np.array([len(w) for w in windows])[owner]
     for _ in range(first):
-        chosen = random.choice(len(every), min(16_000, 4 * len(every)), p=even / even.sum())
+        # As many draws as there are windows, each text as often as any other.
+        chosen = random.choice(len(every), max(len(every), min(16_000, 4 * len(every))), p=even / even.sum())
         for part in np.array_split(chosen, _steps(len(chosen), 256)):
             learn(every[part], target[owner[part]], np.ones(len(part), np.float32))
     size = np.array([len(w) for w in windows])
@@ -313,35 +314,43 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10,
     for turn in range(rounds):
         adam.rate = 5e-3 * (1 - turn / rounds) + 3e-4
         x = gates(p, Inputs.vectors(p, places, hashes, starts))
-        # All windows of toxic texts; at first a few of each clean one, at random.
-        tried = [np.arange(a, a + n) if t or 2 * turn >= rounds else a + random.choice(n, min(n, CLEAN_WINDOWS), replace=False) for a, n, t in zip(begin.tolist(), size.tolist(), target, strict=True)]
-        every_tried = np.concatenate(tried)
-        logits = np.concatenate([forward(p, x, every[every_tried[a : a + AT_ONCE]]) for a in range(0, len(every_tried), AT_ONCE)])
-        until = np.cumsum([len(t) for t in tried])
-        highest = np.array([t[int(logits[b - len(t) : b].argmax())] for t, b in zip(tried, until.tolist(), strict=True)])
+        logits = np.concatenate([forward(p, x, every[a : a + AT_ONCE]) for a in range(0, len(every), AT_ONCE)])
+        highest = np.array([a + int(logits[a : a + n].argmax()) for a, n in zip(begin.tolist(), size.tolist(), strict=True)])
         more = random.choice(np.flatnonzero(target[owner] == 0), len(highest) // 2)
         for part in np.array_split(random.permutation(np.concatenate([highest, more])), _steps(len(highest), 64)):
             learn(every[part], target[owner[part]], half[owner[part]])
     return Network(vocabulary, p, prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Network:
+def _n_windows(texts: pa.Array) -> pa.Array:
+    return pa.array([max(1, -(-(len(WORDS((t or "").lower())) - WINDOW) // STRIDE) + 1) for t in texts.to_pylist()], pa.int64())
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_windows: int = MAX_WINDOWS) -> Network:
     """A network from the labels (of doc_id) where learn holds."""
     known = labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), (F.col(label) == 1).alias("toxic"))
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("toxic").agg(F.approx_count_distinct("i", 0.02)).collect()}
     share, places = {True: max_rows // 3, False: max_rows - max_rows // 3}, 1 << 30
     place = F.pmod(F.xxhash64("i"), F.lit(places))
     limit = {k: int(places * min(1.0, 1.2 * share[k] / n)) for k, n in counts.items()}
-    chosen = known.where(place < F.when(F.col("toxic"), limit.get(True, 0)).otherwise(limit.get(False, 0)))
-    # Some 1.2 * max_rows ids, whatever the table's size.
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("i")).select(place.alias("place"), "toxic", F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars).alias("text"))
-    found: dict[bool, list[str]] = {True: [], False: []}
-    for row in sorted(rows.collect(), key=lambda r: (r["place"], r["text"])):
-        if len(found[row["toxic"]]) < share[row["toxic"]]:
-            found[row["toxic"]].append(row["text"])
-    network = train(found[True] + found[False], [True] * len(found[True]) + [False] * len(found[False]))
+    thinned = known.where(place < F.when(F.col("toxic"), limit.get(True, 0)).otherwise(limit.get(False, 0)))
+    # Some 1.2 * max_rows ids, whatever the table's size and however often an id is repeated; the limit makes it a proof.
+    chosen = {r["i"]: r["toxic"] for r in thinned.groupBy("i").agg(F.max("toxic").alias("toxic")).orderBy(place, "i").limit(2 * max_rows).collect()}
+    texts = docs.where(F.col(doc_id).isin(list(chosen))).select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    one = settled(texts.groupBy("i").agg(F.min("text").alias("text")))
+    sizes = one.select("i", place.alias("place"), F.arrow_udf(_n_windows, "bigint")("text").alias("n")).collect()
+    taken: dict[bool, list] = {True: [], False: []}
+    room = {k: max_windows * share[k] // max_rows for k in share}
+    for row in sorted(sizes, key=lambda r: (r["place"], r["i"])):
+        toxic = chosen[row["i"]]
+        if len(taken[toxic]) < share[toxic] and row["n"] <= room[toxic]:
+            taken[toxic].append(row["i"])
+            room[toxic] -= row["n"]
+    found = dict(map(tuple, one.where(F.col("i").isin(taken[True] + taken[False])).collect()))
+    forget(one)
+    network = train([found[i] for k in (True, False) for i in taken[k]], [True] * len(taken[True]) + [False] * len(taken[False]))
     if network.p is None:
-        network.prior = counts.get(True, 0) / max(1, sum(counts.values()))
+        network.prior = known.agg(F.coalesce(F.avg(F.col("toxic").cast("double")), F.lit(0.0))).first()[0]
     return network
 
 
