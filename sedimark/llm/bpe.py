@@ -1,6 +1,6 @@
 """Byte-level BPE by a global distinct-word shuffle, and its inverse.
 
-Documents are dealt into blocks of some BLOCK_BYTES by a hash. Each block is split into
+Documents are dealt into blocks of some BLOCK_BYTES by a hash of the row. Each block is split into
 pre-tokens, and its distinct ones are dealt on, packed, by a hash of the word: one row
 for each (block, word bucket). A bucket encodes each distinct word of the whole corpus
 once and answers every block in the order of its question. The answers go back to the
@@ -12,7 +12,8 @@ rows. Numbers of blocks and buckets follow the bytes of text.
 
 Decoding looks each id up in the table of token bytes, whose size is the vocabulary's.
 
-Defined cases: a null or empty text has no ids; repeated rows stay; an empty table gives
+Defined cases: a null or empty text has no ids; rows with a null id are encoded like any other; repeated rows stay, spread over the
+blocks; a text of any length is one of its block, whole; an empty table gives
 an empty table; only the id and text columns are read, so other columns cannot clash.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,9 +36,20 @@ from sedimark.llm.common import table_bytes
 BLOCK_BYTES = 8 << 20
 BLOCKS_A_BUCKET = 4
 
-#: What splits text before the merges, with the white space of Unicode spelled out.
+#: White space of Unicode, which the engines' \\s differ on.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
+def spelled(pattern: str) -> str:
+    """A pattern of pre-tokens with its white space spelled out, inside and outside of brackets."""
+    inside = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\s", SPACE), pattern)
+    return inside.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+
+
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return spelled(public_tokenizers.PATTERN)
 
 
 @lru_cache(maxsize=2)
@@ -56,7 +69,8 @@ def ranks(path: str) -> dict[bytes, int]:
 def encoder(path: str):
     import tiktoken
 
-    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
+    # Words come split already, so each is one match.
+    return tiktoken.Encoding("bpe", pat_str="(?s:.+)", mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
@@ -121,15 +135,16 @@ def _questions(distinct: Iterable[str], buckets: int) -> dict[int, list[str]]:
     return asked
 
 
-def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", pattern: str = PATTERN) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", pattern: str | None = None) -> DataFrame:
     """(doc_id, ids) for each row of docs: the ids as little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
+    spark, pattern = docs.sparkSession, pattern or default_pattern()
     some = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     parallel = spark.sparkContext.defaultParallelism
     blocks = max(2 * parallel, -(-table_bytes(some, "text") // BLOCK_BYTES))
     buckets = max(parallel, blocks // BLOCKS_A_BUCKET)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    # The place of a row spreads rows that are repeated with one id and text.
+    block = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     dealt = some.select("doc_id", block.alias("block"), F.arrow_udf(_squeezed, "binary")("text").alias("text")).repartition(parts, "block")
 
     def ask(block: pa.Table) -> pa.Table:
@@ -152,7 +167,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             for word in unpack(words.as_py(), "u1"):
                 found = known.get(word)
                 if found is None:
-                    found = known[word] = one(word)
+                    found = known[word] = one(word.decode())
                 ids.append(found)
             joined = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
             answers.append(pack(joined, [len(x) for x in ids]))

@@ -18,12 +18,12 @@ def library():
 
 
 def test_pattern_splits_as_the_library_does(library):
-    one, split = bpe.encoder(PATH), bpe.splitter(bpe.PATTERN)
+    one, split = bpe.encoder(PATH), bpe.splitter(bpe.default_pattern())
 
     @settings(max_examples=500, deadline=None)
     @given(st.one_of(st.text(max_size=40), st.text(alphabet="a 1'st\n\t\x1c\x85\u2028é!中", max_size=40)))
     def same(text):
-        assert [i for w in split(text) for i in one(w.encode())] == library.encode_ordinary(text)
+        assert [i for w in split(text) for i in one(w)] == library.encode_ordinary(text)
 
     same()
 
@@ -49,3 +49,9 @@ def test_query_equals_the_library(spark, sf, library):
     for r in rows:
         ids = library.encode_ordinary(docs[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest())
+
+
+def test_null_ids_and_repeated_rows_are_spread(spark, library):
+    docs = spark.createDataFrame([(None, "a b")] * 3 + [(7, "c d e")] * 500, "doc_id bigint, text string").repartition(4)
+    rows = bpe.encode(docs, PATH).collect()
+    assert sorted((r.doc_id or 0, bytes(r.ids)) for r in rows) == sorted((i, np.array(library.encode_ordinary(t), "<u4").tobytes()) for i, t in [(0, "a b")] * 3 + [(7, "c d e")] * 500)
