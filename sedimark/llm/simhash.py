@@ -17,7 +17,7 @@ most 256 fingerprints: no bucket is capped, and none is compared whole in one ta
 beyond MAX_BUCKET. From a bucket come links to the smallest fingerprint of each of its
 groups, not all pairs.
 
-Defined cases: a null, empty or blank text has no words and fingerprint zero, linked
+Defined cases: texts of any length are read whole, a stretch of shingles at a time; a null, empty or blank text has no words and fingerprint zero, linked
 like any other; repeated rows stay and share a component; a document with a null id
 gets the component of its fingerprint but names none; an empty table gives an empty
 table; only the id and text columns are read, so other columns cannot clash.
@@ -26,6 +26,7 @@ table; only the id and text columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -192,11 +193,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(classes, "f").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but the smallest doc_id of each group; of rows repeated with one id and text, one stays.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stable: bool = False) -> DataFrame:
+    """docs without all but one row of each group: that of the smallest doc_id (a null id only where there is no other), the first of equal ones.
 
-    Rows with a null id stay as they are: nothing names them.
+    stable says that docs come from files, so that they are read alike twice; others are written first. Texts are shuffled once.
     """
-    kept = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(kept, doc_id, "left_semi").select(*(f"`{c}`" for c in docs.columns))
-    return named.dropDuplicates([doc_id, text]).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    row = f"_row_{uuid.uuid4().hex[:8]}"
+    numbered = (docs if stable else settled(docs, "zstd")).withColumn(row, F.monotonically_increasing_id())
+    groups = near_duplicates(numbered, row, text)
+    named = numbered.select(row, F.col(f"`{doc_id}`").alias("name")).join(groups.select(F.col("doc_id").alias(row), "component_id"), row)
+    first = named.groupBy("component_id").agg(F.min_by(row, F.struct(F.col("name").isNull(), "name", row)).alias(row))
+    return numbered.join(first.select(row), row, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -92,4 +92,6 @@ def test_one_of_each(spark):
     rows = [(3, "a b c d e f", "x"), (2, "A b c d e f", "y"), (5, "quite another text here", "z"), (5, "quite another text here", "z"), (None, "a b c d e f", "n")]
     out = S.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, component_id string"))
     assert out.columns == ["doc_id", "text", "component_id"]
-    assert sorted((r.doc_id or 0, r.component_id) for r in out.collect()) == [(0, "n"), (2, "y"), (5, "z")]
+    assert sorted((r.doc_id or 0, r.component_id) for r in out.collect()) == [(2, "y"), (5, "z")]
+    only = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (4, None), (6, "")], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in S.one_of_each(only).collect()) == [(0, "a b c"), (4, "")]
