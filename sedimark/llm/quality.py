@@ -27,7 +27,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm import words
@@ -73,23 +73,34 @@ def base(text: str | None) -> tuple[int, int, int, int, int]:
 RULES = "n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint"
 #: Measures of a text, and the side of the median on which they are bounded.
 MEASURES = {"log_perplexity": 1, "single": -1, "gain": -1}
+BOUNDS = {"log_perplexity": HIGH, "single": LOW, "gain": LESS}
+#: Groups of languages and sizes that are sent to every executor.
+BROADCAST_ROWS = 10_000
 
 
 def _rules(texts: list[str | None]) -> Iterator[tuple]:
     return map(base, texts)
 
 
-def _edges(measured: DataFrame, *keys: str) -> DataFrame:
-    """By group: its number of texts n, and of each measure the bound beyond which a text is rejected (in bins)."""
-    bounds = {"log_perplexity": HIGH, "single": LOW, "gain": LESS}
-    middle = measured.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.median(m).alias(f"middle_{m}") for m in MEASURES))
-    apart = measured.join(middle, list(keys)) if keys else measured.select(*(F.col(c) for c in measured.columns), *(F.lit(v).alias(c) for c, v in middle.first().asDict().items()))
+def _edges(counts: DataFrame, *keys: str) -> DataFrame:
+    """By group: its number of texts, and of each measure the bound beyond which a text is rejected, in bins.
+
+    Of (measure, bin, n) histograms: whatever a group's texts, its rows are its bins.
+    """
+    pick = lambda values: F.coalesce(*(F.when(F.col("measure") == m, F.lit(float(v))) for m, v in values.items()))
+    side, bound = pick(MEASURES), pick(BOUNDS)
+    own = counts.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    middle = own.groupBy(*keys, "measure").agg(F.percentile("bin", 0.5, F.col("n")).alias("middle"), F.sum("n").alias("texts"))
+    apart = own.join(middle, [*keys, "measure"]).withColumn("distance", side * (F.col("bin") - F.col("middle"))).where("distance >= 0")
+    spread = apart.groupBy(*keys, "measure", "middle", "texts").agg(F.greatest(F.percentile("distance", 0.5, F.col("n")), F.lit(LEAST_SPREAD / BIN)).alias("spread"))
+    edges = spread.select(*keys, "measure", "texts", (F.col("middle") + side * bound * F.col("spread")).alias("edge"))
+    return edges.groupBy(*keys).agg(F.max("texts").alias("n"), *(F.max(F.when(F.col("measure") == m, F.col("edge"))).alias(m) for m in MEASURES))
 
-    def spread(m: str) -> Column:
-        distance = MEASURES[m] * (F.col(m) - F.col(f"middle_{m}"))
-        return F.greatest(F.median(F.when(distance >= 0, distance)), F.lit(LEAST_SPREAD / BIN))
 
-    return apart.groupBy(*keys).agg(F.first("n").alias("n"), *((F.first(f"middle_{m}") + MEASURES[m] * bounds[m] * spread(m)).alias(m) for m in MEASURES))
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows; joins of a larger one are shuffled, with adaptive splits."""
+    kept = settled(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", stable: bool = False) -> DataFrame:
@@ -103,9 +114,11 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", stabl
     group = F.coalesce(F.concat(F.lit("="), F.col(f"`{lang}`").cast("string")), F.lit(""))
     judged = judged.withColumn("gain", F.col("single") - F.col("log_perplexity")).withColumn(tongue, group)
     binned = {m: F.floor(F.col(m) / BIN) + 0.5 for m in MEASURES}
-    measured = judged.where("log_perplexity is not null").select(F.col(tongue).alias("tongue"), F.floor(F.log2("n_tokens")).cast("int").alias("size"), *(c.alias(m) for m, c in binned.items()))
-    every = _edges(measured).first().asDict() if measured.limit(1).count() else {m: 0.0 for m in MEASURES}
-    by_size, by_lang = _edges(measured, "tongue", "size"), _edges(measured, "tongue")
+    measured = judged.where("log_perplexity is not null").select(F.col(tongue).alias("tongue"), F.floor(F.log2("n_tokens")).cast("int").alias("size"), F.explode(F.create_map(*(x for m in MEASURES for x in (F.lit(m), binned[m])))).alias("measure", "bin"))
+    counts = settled(measured.groupBy("tongue", "size", "measure", "bin").agg(F.count(F.lit(1)).alias("n")))
+    every = _edges(counts).first()
+    every = {m: 0.0 for m in MEASURES} if every is None or every["n"] is None else every.asDict()
+    by_size, by_lang = _small(_edges(counts, "tongue", "size")), _small(_edges(counts, "tongue"))
     renamed = lambda df, end: df.select(F.col("tongue").alias(f"{tongue}{end}"), *([F.col("size").alias("_size")] if end == "_s" else []), *(F.col(c).alias(f"{c}{end}") for c in ("n", *MEASURES)))
     sized = judged.withColumn(row, F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     joined = sized.join(renamed(by_size, "_s"), (F.col(tongue) == F.col(f"{tongue}_s")) & (F.col(row) == F.col("_size")), "left").join(renamed(by_lang, "_l"), F.col(tongue) == F.col(f"{tongue}_l"), "left")
