@@ -119,36 +119,49 @@ def _compress(chain: np.ndarray, words: np.ndarray, counter: np.ndarray, size: n
     return v[:8] ^ v[8:]
 
 
-def blake3_hex(data: bytes) -> str:
-    """BLAKE3 of data: its chunks of 1,024 bytes are hashed together, then their tree level by level."""
-    chunks = max(1, -(-len(data) // 1024))
-    padded = np.zeros(chunks * 1024, np.uint8)
-    padded[: len(data)] = np.frombuffer(data, np.uint8)
-    words = padded.view("<u4").astype(np.uint32).reshape(chunks, 16, 16)
-    size = np.full(chunks, 1024)
-    size[-1] = len(data) - 1024 * (chunks - 1)
-    chain = np.repeat(np.array(_IV, np.uint32)[:, None], chunks, axis=1)
+def blake3_hexes(blobs: list[bytes]) -> list[str]:
+    """BLAKE3 of blobs: the chunks of 1,024 bytes of all of them are hashed together, then their trees level by level."""
+    if not blobs:
+        return []
+    sizes = np.array([len(b) for b in blobs])
+    chunks = np.maximum(1, -(-sizes // 1024))
+    begin, owner = np.cumsum(chunks) - chunks, np.repeat(np.arange(len(blobs)), chunks)
+    place = np.arange(chunks.sum()) - begin[owner]
+    padded = np.zeros(int(chunks.sum()) * 1024, np.uint8)
+    for at, data in zip((begin * 1024).tolist(), blobs, strict=True):
+        padded[at : at + len(data)] = np.frombuffer(data, np.uint8)
+    words = padded.view("<u4").reshape(-1, 16, 16)
+    size = np.minimum(1024, np.maximum(0, sizes[owner] - 1024 * place))
+    chain = np.repeat(np.array(_IV, np.uint32)[:, None], len(owner), axis=1)
     last = np.maximum(1, -(-size // 64)) - 1
     for block in range(16):
         live = np.flatnonzero(last >= block)
         if not len(live):
             break
         ends = last[live] == block
-        flags = (_START if block == 0 else 0) + _END * ends + _ROOT * (ends & (chunks == 1))
-        chain[:, live] = _compress(chain[:, live], words[live, block].T.copy(), live.astype(np.int64), np.minimum(64, size[live] - 64 * block), flags)
-    while chain.shape[1] > 1:
-        # Subtrees to the left are whole, so pairing level by level builds the tree; an odd node waits.
-        n = chain.shape[1] // 2
-        pairs = np.concatenate([chain[:, 0 : 2 * n : 2], chain[:, 1 : 2 * n : 2]])
-        keys = np.repeat(np.array(_IV, np.uint32)[:, None], n, axis=1)
-        root = _ROOT if chain.shape[1] == 2 else 0
-        joined = _compress(keys, pairs, np.zeros(n, np.int64), np.full(n, 64), np.full(n, _PARENT | root))
-        chain = np.concatenate([joined, chain[:, 2 * n :]], axis=1)
-    return chain[:, 0].astype("<u4").tobytes().hex()
+        flags = (_START if block == 0 else 0) + _END * ends + _ROOT * (ends & (chunks[owner[live]] == 1))
+        chain[:, live] = _compress(chain[:, live], words[live, block].T.astype(np.uint32), place[live], np.clip(size[live] - 64 * block, 0, 64), flags)
+    counts = chunks
+    while (counts > 1).any():
+        # Subtrees to the left are whole, so pairing level by level builds the trees; an odd node waits.
+        begin, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(blobs)), counts)
+        place = np.arange(len(owner)) - begin[owner]
+        left = np.flatnonzero((place % 2 == 0) & (place + 1 < counts[owner]))
+        keys = np.repeat(np.array(_IV, np.uint32)[:, None], len(left), axis=1)
+        root = _ROOT * (counts[owner[left]] == 2)
+        chain[:, left] = _compress(keys, np.concatenate([chain[:, left], chain[:, left + 1]]), np.zeros(len(left), np.int64), np.full(len(left), 64), _PARENT | root)
+        chain, counts = chain[:, place % 2 == 0], (counts + 1) // 2
+    return [row.tobytes().hex() for row in np.ascontiguousarray(chain.T).astype("<u4")]
+
+
+def blake3_hex(data: bytes) -> str:
+    return blake3_hexes([data])[0]
 
 
 def _blake3(blobs: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else blake3_hex(b) for b in blobs.to_pylist()], pa.string())
+    found = blobs.to_pylist()
+    hexes = iter(blake3_hexes([b for b in found if b is not None]))
+    return pa.array([None if b is None else next(hexes) for b in found], pa.string())
 
 
 def blake3(content: Column) -> Column:

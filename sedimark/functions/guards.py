@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +52,7 @@ def _python_number(address: str) -> int:
 
 
 def in_cidr(number: Column, cidr: str) -> Column:
-    """Whether an IPv4 number is in a range; false for malformed ranges and for those of IPv6."""
+    """Whether an IPv4 number is in a range; false for malformed ranges and for those of IPv6, which same_ipv6() is for."""
     network, _, bits = cidr.partition("/")
     if network.count(".") != 3 or not bits.isdigit() or int(bits) > 32:
         return F.lit(False)
@@ -58,6 +60,18 @@ def in_cidr(number: Column, cidr: str) -> Column:
     return number.bitwiseAND(F.lit(mask)) == (_python_number(network) & mask)
 
 
+def same_ipv6(host: Column, cidr: str) -> Column:
+    """Whether a host is the very address of an IPv6 range, whatever its length; false for malformed ranges."""
+    network, _, bits = cidr.partition("/")
+    try:
+        address = ipaddress.IPv6Address(network)
+    except ValueError:
+        return F.lit(False)
+    if not bits.isdigit() or int(bits) > 255:
+        return F.lit(False)
+    return F.lower(F.btrim(host, F.lit("[]"))).isin(address.compressed, address.exploded)
+
+
 def is_private(number: Column) -> Column:
     found = F.lit(False)
     for network, bits in PRIVATE:
@@ -111,6 +125,22 @@ def path_rejection(path: Column, strip_at: bool = False) -> Column:
     return F.when(plain.isNull() | (plain == ""), "empty").when(F.contains(plain, F.lit("..")), "path_traversal").when(F.startswith(plain, F.lit("/")), "absolute_path")
 
 
+def file_rejection(path: str, below: str | None = None, limit: int = 100 << 20) -> str | None:
+    """Reason why a command must not read a file of this machine; null if it may.
+
+    One leading @ is dropped. Unlike path_rejection() this follows the path: what counts is where it leads.
+    """
+    plain = path.removeprefix("@")
+    if not os.path.exists(plain):
+        return "not_found"
+    real, top = os.path.realpath(plain), os.path.realpath(below or os.getcwd())
+    if os.path.commonpath([real, top]) != top:
+        return "outside"
+    if os.path.getsize(real) > limit:
+        return "too_large"
+    return None if os.path.isfile(real) else "not_regular"
+
+
 def oversized(files: DataFrame, most: int, length: str = "length") -> DataFrame:
     """Files beyond a size, without reading them."""
     return files.where(F.col(length) > most)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.functions.blobs import entropy, extract_strings, latin1, le_u32, text_ratio
+from sedimark.functions.blobs import entropy, extract_strings, latin1, text_ratio
 from sedimark.operators import signatures as G
 from sedimark.operators import sniff
 
@@ -124,14 +124,17 @@ def with_cortex_m(df: DataFrame, content_column: str = "content", into: str = "r
     """df with vectors, handlers, regions, RTOS and peripherals of Cortex-M images."""
     content = F.col(content_column)
     long = F.length(content) >= 256
-    word = lambda i: le_u32(content, i * 4)
+    digits = F.hex(F.substring(content, 1, 64))
+    number = lambda i: F.conv(F.concat(*(F.substring(digits, i * 8 + at, F.lit(2)) for at in (7, 5, 3, 1))), 16, 10).cast("bigint")
+    df = df.withColumn("_words", F.when(long, F.transform(F.sequence(F.lit(0), F.lit(15)), number)))
+    word = lambda i: F.get("_words", i)
     shown = lambda v: F.format_string("0x%08X", v)
     no_handlers = "array<struct<name:string,address:string,thumb_mode:boolean,vector_index:int>>"
-    stack, reset = le_u32(content, 0), le_u32(content, 4)
+    stack, reset = word(F.lit(0)), word(F.lit(1))
     target = reset.bitwiseAND(F.lit(0xFFFFFFFE))
     resets = long & (target > 0) & (target < 0x08100000)
     names = F.array(*map(F.lit, VECTORS))
-    entries = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(i.alias("index"), F.get(names, i).alias("name"), shown(word(i)).alias("address"), shown(word(i)).alias("raw_value")))
+    entries = F.transform("_words", lambda v, i: F.struct(i.alias("index"), F.get(names, i).alias("name"), shown(v).alias("address"), shown(v).alias("raw_value")))
     handler = lambda name, v, i: F.struct(name.alias("name"), shown(v.bitwiseAND(F.lit(0xFFFFFFFE))).alias("address"), (v.bitwiseAND(F.lit(1)) == 1).alias("thumb_mode"), i.alias("vector_index"))
     first = F.when(resets, F.array(handler(F.lit("Reset_Handler"), reset, F.lit(None).cast("int")))).otherwise(F.array().cast(no_handlers))
     live = F.filter(F.sequence(F.lit(1), F.lit(15)), lambda i: word(i).bitwiseAND(F.lit(0xFFFFFFFE)).between(0x08000001, 0x080FFFFF))
@@ -156,7 +159,7 @@ def with_cortex_m(df: DataFrame, content_column: str = "content", into: str = "r
         (F.size(rtos) > 0).alias("has_rtos"),
         F.exists(rtos, lambda r: F.contains(r, F.lit("HAL"))).alias("has_hal"),
     )
-    return staged.withColumn(into, report).drop("_strings", "_handlers", "_rtos")
+    return staged.withColumn(into, report).drop("_words", "_strings", "_handlers", "_rtos")
 
 
 def dicom_tags(content: Column, most: int = DICOM_TAGS) -> Column:

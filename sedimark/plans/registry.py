@@ -47,10 +47,11 @@ def sql_blobs(table: str = "documents") -> str:
     return f"b AS (SELECT {key}::VARCHAR || '.txt' AS file_name, {text} AS t FROM {table} WHERE {text} IS NOT NULL)"
 
 
-def sql_strings(table: str = "documents") -> str:
+def sql_strings(table: str = "documents", rows: str | None = None) -> str:
+    """CTEs b and s of a table's blobs, or of rows given as ``b AS (SELECT file_name, t ...)``."""
     runs = r"regexp_extract_all(t, '[\x20-\x7E\t]{3,}')"
     sound = r"len(x) <= 200 AND NOT regexp_matches(x, '^[ \t]+$') AND NOT regexp_matches(x, '^[!-/:-@\[-`{-~]+$')"
-    return f"""{sql_blobs(table)}, s AS (
+    return f"""{rows or sql_blobs(table)}, s AS (
     SELECT file_name, t, list_slice(list_sort(list_distinct(list_transform(list_filter({runs}, lambda x: {sound}), lambda x: trim(x, ' ' || chr(9))))), 1, 50) AS strings FROM b
 )"""
 
@@ -113,7 +114,7 @@ _add(
         f"{_HISTOGRAM}, w AS (SELECT file_name, n / sum(n) OVER (PARTITION BY file_name) AS p FROM c), e AS (SELECT file_name, -sum(p * log2(p)) AS e FROM w GROUP BY file_name) SELECT b.file_name, round(greatest(coalesce(e, 0.0), 0.0), 6) AS entropy FROM b LEFT JOIN e USING (file_name)",
     ),
 )
-_add("blake3_hashes", lambda spark, sf_dir: blobs(spark, sf_dir, "benchmark").select("file_name", B.blake3(CONTENT()).alias("blake3")))
+_add("blake3_hashes", lambda spark, sf_dir: blobs(spark, sf_dir).select("file_name", B.blake3(CONTENT()).alias("blake3")))
 
 # Sniffing.
 _LINES = "list_transform(string_split(t, chr(10))[1:5], lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(12) || chr(11)))"
@@ -215,7 +216,8 @@ _add("device_indicators", _blob_query(lambda: {"labels": _joined(G.byte_labels(C
 _add("bootloader_indicator", _blob_query(lambda: {"bootloader": G.bootloader(CONTENT())}, {"bootloader": "regexp_matches(lower(t), 'u-boot|grub|boot|loader|spl|mlo')"}))
 _add("manufacturers", _blob_query(lambda: {"labels": _joined(G.manufacturers(CONTENT()))}, {"labels": "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '(?i){v}') THEN '{k}' END" for k, v in G.MANUFACTURERS.items()) + "], lambda x: x IS NOT NULL), '|')"}))
 _add("version_hints", _strings_query(lambda: {"hints": _joined(G.version_hints(F.col("strings")))}, {"hints": "array_to_string(list_filter(strings, lambda s: len(s) BETWEEN 3 AND 19 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[.vV]')), '|')"}))
-_add("architecture_hints", lambda spark, sf_dir: blobs(spark, sf_dir).select("file_name", _joined(G.architecture_hints(CONTENT())).alias("labels")))
+_HINTS = "CASE WHEN strlen(t) < 4 THEN [] ELSE list_filter([" + ", ".join(f"CASE WHEN regexp_matches(hex(encode(t)), '^(..)*({p})') THEN '{n}' END" for n, p in (("ARM Thumb", "00BF|7047|0868"), ("x86", "5589E5|4889E5|EBFE"), ("MIPS", "27BD....|....BD27"), ("PowerPC", "9421....|....2194"))) + "], lambda x: x IS NOT NULL) END"
+_add("architecture_hints", _blob_query(lambda: {"labels": _joined(G.architecture_hints(CONTENT()))}, {"labels": f"array_to_string({_HINTS}, '|')"}))
 
 
 def _sql_set(table: G.Table) -> str:
@@ -257,10 +259,21 @@ _add("srec_hints", _hint_query(G.SREC, G.SREC_ARCHITECTURES))
 def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = blobs(spark, sf_dir).withColumn("strings", B.extract_strings(CONTENT()))
     r = W.with_raw_report(named, F.col("strings"))
-    return r.select("file_name", F.round("r.entropy", 6).alias("entropy"), "r.likely_encrypted", "r.likely_compressed", "r.static_linked", "r.firmware_confidence", "r.format_confidence", _joined("r.firmware_indicators").alias("indicators"))
+    return r.select("file_name", F.round("r.entropy", 6).alias("entropy"), "r.likely_encrypted", "r.likely_compressed", "r.static_linked", "r.architecture", "r.firmware_confidence", "r.format_confidence", _joined("r.firmware_indicators").alias("indicators"))
 
 
-_add("raw_reports", raw_reports)
+_RATIO = r"CASE WHEN strlen(t) = 0 THEN NULL ELSE len(regexp_replace(t, '[^\x21-\x7E \t\n\x0C\r]', '', 'g'))::DOUBLE / strlen(t) END"
+_FIRMWARE = "list_filter([CASE WHEN regexp_matches(lower(t), 'u-boot|grub|boot|loader|spl|mlo') THEN 'bootloader' END, " + ", ".join(f"CASE WHEN contains(t, '{v.decode()}') THEN '{k}' END" for k, v in G.DEVICES.items()) + "], lambda x: x IS NOT NULL)"
+_add(
+    "raw_reports",
+    (
+        raw_reports,
+        f"""{_HISTOGRAM}, w AS (SELECT file_name, n / sum(n) OVER (PARTITION BY file_name) AS p FROM c), e AS (SELECT file_name, -sum(p * log2(p)) AS e FROM w GROUP BY file_name),
+r AS (SELECT file_name, t, greatest(coalesce(e, 0.0), 0.0) AS bits, {_RATIO} AS ratio, {_FIRMWARE} AS found, {_HINTS} AS hints FROM b LEFT JOIN e USING (file_name))
+SELECT file_name, round(bits, 6) AS entropy, bits > 7.5 AS likely_encrypted, bits > 7.0 AND NOT (strlen(t) >= 4 AND starts_with(t, 'BZh')) AS likely_compressed, len(found) > 0 OR coalesce(ratio < 0.1, false) AS static_linked, CASE WHEN len(hints) > 0 THEN array_to_string(hints, ', ') ELSE 'unknown' END AS architecture,
+CASE WHEN len(found) > 0 THEN 'high' ELSE 'low' END AS firmware_confidence, CASE WHEN coalesce(ratio > 0.8, false) THEN 'high' WHEN len(found) > 0 THEN 'medium' ELSE 'low' END AS format_confidence, array_to_string(found, '|') AS indicators FROM r""",
+    ),
+)
 
 
 # Firmware lines, made from documents: each document gives one image of a few records.
@@ -328,13 +341,16 @@ def vector_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cortex-M images: a stack pointer, vectors that follow the document, and its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     i = F.col("doc_id")
-    little = lambda v: F.unhex(F.regexp_replace(F.lpad(F.hex(v), 8, "0"), "^(..)(..)(..)(..)$", "$4$3$2$1"))
-    vectors = [F.lit(0x20002000), F.lit(0x08000101), *(F.lit(0x08000001) + F.pmod(i, F.lit(1000)) * 16 + F.lit(2 * k) for k in range(2, 64))]
-    return docs.select(F.concat(i.cast("string"), F.lit(".bin")).alias("file_name"), F.concat(*(little(v.cast("bigint")) for v in vectors), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
+    little = lambda v: F.regexp_replace(F.lpad(F.hex(v), 8, "0"), "^(..)(..)(..)(..)$", "$4$3$2$1")
+    vectors = F.transform(F.sequence(F.lit(2), F.lit(63)), lambda k: little(F.lit(0x08000001) + F.pmod(i, F.lit(1000)) * 16 + 2 * k))
+    table = F.unhex(F.concat(F.lit("0020002001010008"), F.array_join(vectors, "")))
+    return docs.select(F.concat(i.cast("string"), F.lit(".bin")).alias("file_name"), F.concat(table, F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
 
 
 def cortex_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.with_cortex_m(vector_images(spark, sf_dir)).select("file_name", F.inline("r.interrupt_handlers"))
+    # Without "outer", Spark infers a filter and carries the making of the images into it.
+    found = W.with_cortex_m(vector_images(spark, sf_dir)).select("file_name", F.inline_outer("r.interrupt_handlers"))
+    return found.where("name is not null")
 
 
 _NAMES = ", ".join(f"'{n}'" for n in W.VECTORS)
@@ -348,7 +364,27 @@ UNION ALL SELECT i || '.bin', 'Reset_Handler', '0x08000100', true, 1 FROM (SELEC
 UNION ALL SELECT i || '.bin', ([{_NAMES}])[k + 1], printf('0x%08X', ((134217729 + (i % 1000) * 16 + 2 * k) // 2) * 2), true, k::INT FROM v""",
     ),
 )
-_add("cortexm_kind", lambda spark, sf_dir: W.with_cortex_m(vector_images(spark, sf_dir)).select("file_name", sniff.kind(CONTENT()).alias("kind"), F.to_json("r").alias("report")))
+
+
+def cortex_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = W.with_cortex_m(vector_images(spark, sf_dir))
+    size = lambda c: F.size(c).cast("bigint")
+    return made.select(
+        "file_name", sniff.kind(CONTENT()).alias("kind"), "r.stack_pointer", "r.reset_handler", size("r.vectors").alias("vectors"), F.get("r.vectors", F.lit(15))["address"].alias("last_vector"), F.col("r.total_interrupt_handlers").cast("bigint").alias("handlers"),
+        _joined("r.rtos_detected").alias("rtos"), "r.has_rtos", "r.has_hal", _joined(F.transform("r.memory_regions", lambda m: F.concat_ws(" ", m["type"], m["start_address"], m["size"]))).alias("regions"), size("r.peripheral_indicators").alias("peripherals"), size("r.disassembly").alias("disassembly"),
+    )
+
+
+_BINARIES = "b AS (SELECT doc_id::VARCHAR || '.bin' AS file_name, doc_id AS i, coalesce(text, '') AS t FROM documents)"
+_add(
+    "cortexm_kind",
+    (
+        cortex_reports,
+        f"""WITH {sql_strings(rows=_BINARIES)}, l AS (SELECT file_name, regexp_extract(file_name, '^[0-9]+')::BIGINT AS i, lower(array_to_string(strings, chr(10))) AS low FROM s), r AS (SELECT file_name, i, {_sql_set(G.RTOS)} AS rtos FROM l)
+SELECT file_name, 'cortex-m' AS kind, '0x20002000' AS stack_pointer, '0x08000100' AS reset_handler, 16::BIGINT AS vectors, printf('0x%08X', 134217729 + (i % 1000) * 16 + 30) AS last_vector, 16::BIGINT AS handlers, rtos, rtos <> '' AS has_rtos, contains(rtos, 'HAL') AS has_hal,
+'RAM 0x20000000 8KB|Flash 0x08000000 64KB-2MB|System 0xE0000000' AS regions, 0::BIGINT AS peripherals, 0::BIGINT AS disassembly FROM r""",
+    ),
+)
 
 
 def dicom_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,10 +394,20 @@ def dicom_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dicom_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = W.with_dicom(dicom_images(spark, sf_dir), into="d")
-    return d.select("file_name", F.col("d.dicom_tags_found").cast("bigint").alias("tags"), "d.patient_data_detected", "d.risk_assessment", "d.hipaa_relevant", F.transform("d.sample_tags", lambda t: t["tag"])[0].alias("first_tag"))
+    return d.select("file_name", F.col("d.dicom_tags_found").cast("bigint").alias("tags"), "d.patient_data_detected", "d.risk_assessment", "d.hipaa_relevant", F.get(F.transform("d.sample_tags", lambda t: t["tag"]), F.lit(0)).alias("first_tag"))
 
 
-_add("dicom_reports", dicom_reports)
+_DICOM = "b AS (SELECT doc_id::VARCHAR || '.dcm' AS file_name, 'DICM' || chr(16) || coalesce(text, '') AS t FROM documents)"
+_add(
+    "dicom_reports",
+    (
+        dicom_reports,
+        f"""WITH {sql_strings(rows=_DICOM)}, l AS (SELECT file_name, lower(array_to_string(strings, chr(10))) AS low, '10001000' || substr(hex(encode(t)), 11) AS x, greatest(0, ceil((strlen(t) - 9) / 2.0))::BIGINT AS n FROM s),
+p AS (SELECT *, {_sql_set(G.COMPLIANCE)} AS compliance, {_sql_set(G.SECURITY)} AS security, list_transform(range(least(22, n)), lambda i: x[4 * i + 3:4 * i + 4] || x[4 * i + 1:4 * i + 2] || ',' || x[4 * i + 7:4 * i + 8] || x[4 * i + 5:4 * i + 6]) AS tags FROM l),
+q AS (SELECT *, list_has_any(tags, ['0010,0010', '0010,0020']) AS patient, CASE WHEN compliance = '' THEN 0 ELSE len(string_split(compliance, '|')) END AS c, CASE WHEN security = '' THEN 0 ELSE len(string_split(security, '|')) END AS z FROM p)
+SELECT file_name, least(21, n) AS tags, patient AS patient_data_detected, CASE WHEN c >= 2 AND z >= 2 THEN 'Low' WHEN c >= 1 THEN 'Medium' WHEN patient THEN 'High' ELSE 'Medium' END AS risk_assessment, patient OR contains(security, 'Data Encryption') OR contains(security, 'Access Control') AS hipaa_relevant, '(' || tags[1] || ')' AS first_tag FROM q""",
+    ),
+)
 
 # Guards.
 _RULES = guards.UrlRules(hosts=(*guards.DEFAULT_HOSTS, "example.com"))
@@ -382,6 +428,35 @@ _add(
         "SELECT * FROM (VALUES " + ", ".join(f"('{u}', {repr(a) if a else 'NULL'})" for u, a in zip(_URLS, _ANSWERS, strict=True)) + ") AS v(url, rejection)",
     ),
 )
+_PORTS = ", ".join(map(str, guards.DANGEROUS_PORTS))
+
+
+def guarded_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in and out of a range, of both versions, and ports of this machine, by supplier."""
+    k = F.col("s_suppkey")
+    rules = guards.UrlRules(cidrs=("8.8.0.0/13", "bad", "2001:db8::/32"), allow_localhost=True)
+    address = F.concat(F.lit("http://8."), F.pmod(k, F.lit(32)).cast("string"), F.lit("."), F.pmod(k, F.lit(256)).cast("string"), F.lit(".1/x"))
+    ports = F.array(*map(F.lit, guards.DANGEROUS_PORTS))
+    port = F.when(k % 2 == 0, F.element_at(ports, (F.pmod(F.floor(k / 2), F.lit(len(guards.DANGEROUS_PORTS))) + 1).cast("int"))).otherwise((8100 + F.pmod(k, F.lit(50))).cast("int"))
+    sixth = F.concat(F.lit("[2001:DB8::"), F.when(k % 3 == 0, "").otherwise(F.lpad(F.hex(k), 4, "0")), F.lit("]"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return suppliers.select("s_suppkey", guards.url_rejection(address, rules).alias("address"), guards.url_rejection(F.concat(F.lit("http://localhost:"), port.cast("string"), F.lit("/")), rules).alias("port"), guards.same_ipv6(sixth, rules.cidrs[2]).alias("sixth"))
+
+
+_add(
+    "url_guard_addresses",
+    (
+        guarded_addresses,
+        f"""SELECT s_suppkey, CASE WHEN s_suppkey % 32 BETWEEN 8 AND 15 THEN NULL ELSE 'ip' END AS address, CASE WHEN (CASE WHEN s_suppkey % 2 = 0 THEN ([{_PORTS}])[(s_suppkey // 2) % {len(guards.DANGEROUS_PORTS)} + 1] ELSE 8100 + s_suppkey % 50 END) IN ({_PORTS}) THEN 'port' END AS port, s_suppkey % 3 = 0 AS sixth FROM supplier""",
+    ),
+)
+_add(
+    "path_guard_cli",
+    (
+        lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", guards.path_rejection(F.concat(F.lit("@"), F.regexp_replace("url", "^https?:/", "")), strip_at=True).alias("stripped"), guards.path_rejection(F.concat(F.lit("@"), F.regexp_replace("url", "^https?:/", ""))).alias("kept")),
+        "SELECT page_id, CASE WHEN contains(url, '..') THEN 'path_traversal' ELSE 'absolute_path' END AS stripped, CASE WHEN contains(url, '..') THEN 'path_traversal' END AS kept FROM pages",
+    ),
+)
 _add(
     "path_guard",
     (
@@ -435,8 +510,9 @@ _add(
 _add(
     "uploads_profile",
     (
-        lambda spark, sf_dir: S.field_profile(form_fields(spark, sf_dir)).select("request", "pos", "name", "filename", F.col("size").cast("bigint").alias("size"), "total_fields"),
-        f"WITH {_FORM} SELECT request, pos, name, filename, strlen(t) AS size, count(*) OVER (PARTITION BY request) AS total_fields FROM f",
+        lambda spark, sf_dir: S.field_profile(form_fields(spark, sf_dir)).select("request", "pos", "name", "filename", F.col("size").cast("bigint").alias("size"), "total_fields", F.regexp_replace("preview", "\\x{FFFD}*([.]{3} .truncated.)?$", "$1").alias("preview")),
+        f"""WITH {_FORM}, g AS (SELECT *, strlen(t) AS size, list_filter(range(len(t) + 1), lambda n: strlen(left(t, n)) <= 100) AS fit FROM f)
+SELECT request, pos, coalesce(name, 'unknown') AS name, filename, size, count(*) OVER (PARTITION BY request) AS total_fields, CASE WHEN size <= 100 THEN t ELSE left(t, fit[-1]) || '... (truncated)' END AS preview FROM g""",
     ),
 )
 _add("health", (lambda spark, sf_dir: S.health(spark), "SELECT 'healthy' AS status, 'sedimark' AS service, '1.0' AS version"))
@@ -455,7 +531,7 @@ _add(
         "SELECT * FROM (VALUES ('b', 'http://b', false), ('c', 'http://c', true), ('d', 'http://d', false)) AS v(name, base_url, is_default)",
     ),
 )
-_add("json_sink", lambda spark, sf_dir: S.as_json(strings(spark, sf_dir, "benchmark")))
+_add("json_sink", (lambda spark, sf_dir: S.as_json(strings(spark, sf_dir)), f"WITH {sql_strings()} SELECT to_json({{'file_name': file_name, 'strings': strings}})::VARCHAR AS json FROM s"))
 
 # Signing.
 _KEY = b"a key for tests"
@@ -469,7 +545,14 @@ def signed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("name", signing.hmac_sha256(F.encode("name", "UTF-8"), _KEY).alias("mac"), signing.token_verdict(F.col("token"), _KEY, 1_000_000 + 30 * 86_400 - 1).alias("before"), signing.token_verdict(F.col("token"), _KEY, 1_000_000 + 30 * 86_400).alias("after"), signing.token_verdict(F.col("token"), b"another", 1).alias("other_key"))
 
 
-_add("signing", signed_names)
+_PADS = ["".join(f"{b ^ pad:02X}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+_add(
+    "signing",
+    (
+        signed_names,
+        f"SELECT s_name AS name, rtrim(translate(base64(unhex(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(s_name)))))), '+/', '-_'), '=') AS mac, 'valid' AS before, 'expired' AS after, 'signature' AS other_key FROM supplier",
+    ),
+)
 _add(
     "deployments",
     (
@@ -499,7 +582,34 @@ SELECT file_name, sha256(t) AS sha256, strlen(t) AS size_bytes, {_KIND} AS kind,
 round((CASE WHEN len(sp) > 0 THEN 0.5 ELSE 0 END + CASE WHEN len(li) > 0 THEN 0.3 ELSE 0 END + CASE WHEN tx > 0 THEN 0.2 ELSE 0 END)::DOUBLE, 9) AS license_confidence, CASE len(ve) WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0 ELSE 0.8 END AS version_confidence FROM l""",
     ),
 )
-_add("analyze_documents", lambda spark, sf_dir: A.analyze(blobs(spark, sf_dir)))
+
+
+def analyzed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records of the documents, their lists joined."""
+    r = A.analyze(blobs(spark, sf_dir))
+    return r.select(
+        "file_name", "format", "architecture", _joined("languages").alias("languages"), "hash_sha256", "hash_blake3", "size_bytes", "static_linked", _joined("embedded_strings").alias("strings"), _joined("version_info.version_strings").alias("versions"), "version_info.file_version",
+        _joined("license_info.licenses").alias("licenses"), F.round("license_info.confidence", 9).alias("license_confidence"), F.get_json_object("metadata", "$.analysis_type").alias("analysis"), F.get_json_object("metadata", "$.detection_confidence.format").alias("format_confidence"), "parse_error",
+    )
+
+
+def sql_mime(table: str) -> str:
+    """Case arms of the magic table over the hexadecimal bytes x."""
+    return " ".join(f"WHEN {' OR '.join(f"substr(x, {2 * at + 1}, {2 * len(m)}) = '{m.hex().upper()}'" for m in magic)} THEN '{mime}'" for mime, at, magic in sniff.MIME)
+
+
+_HTML = r"regexp_matches(upper(ltrim(t)), '^<(!DOCTYPE HTML|HTML|HEAD|SCRIPT|IFRAME|H1|DIV|FONT|TABLE|A|STYLE|TITLE|B|BODY|BR|P|!--)[ >]')"
+_SMALL = r"CASE WHEN coalesce(ratio > 0.8, false) THEN CASE WHEN starts_with(t, '#!') THEN 'script' ELSE 'text/small' END WHEN len(found) > 0 THEN 'firmware-blob' ELSE 'micro-binary' END"
+_SPOKEN = "CASE WHEN coalesce(ratio > 0.8, false) THEN array_to_string(list_filter([CASE WHEN starts_with(t, '#!') THEN 'script' END, CASE WHEN contains(t, 'function') OR contains(t, 'def ') THEN 'script' END, CASE WHEN contains(t, '#include') OR contains(t, 'int main') THEN 'C/C++' END, CASE WHEN contains(t, 'pub fn') OR contains(t, 'fn main') THEN 'Rust' END], lambda x: x IS NOT NULL), '|') WHEN len(found) > 0 THEN 'Firmware' ELSE '' END"
+#: All but the second digest, which SQL has no function for.
+_ANALYZED = f"""WITH {sql_strings()}, k AS (SELECT *, {_KIND} AS kind, {_RATIO} AS ratio, {_FIRMWARE} AS found, {_HINTS} AS hints, hex(encode(t)) AS x, {_LICENSES} AS li, {_VERSIONS} AS ve, {_BEST} AS best, len({_TEXTS}) AS tx, flatten(list_transform(list_filter(strings, lambda s: len(s) >= 10), lambda s: regexp_extract_all(s, '{M.SPDX_PATTERN}', 1))) AS sp FROM s)
+SELECT file_name, CASE kind WHEN 'tiny' THEN {_SMALL} WHEN 'raw' THEN CASE {sql_mime('documents')} WHEN {_HTML} THEN 'text/html' ELSE 'application/octet-stream' END WHEN 'compressed' THEN 'compressed-firmware' WHEN 'pe' THEN 'application/wasm' ELSE kind END AS format,
+CASE WHEN kind IN ('tiny', 'raw') THEN CASE WHEN len(hints) > 0 THEN array_to_string(hints, ', ') ELSE 'unknown' END WHEN kind = 'pe' THEN 'wasm32' ELSE 'unknown' END AS architecture, CASE kind WHEN 'tiny' THEN {_SPOKEN} WHEN 'compressed' THEN 'Compressed Binary' WHEN 'pe' THEN 'WebAssembly' ELSE '' END AS languages,
+sha256(t) AS hash_sha256, strlen(t) AS size_bytes, CASE WHEN kind IN ('tiny', 'raw') THEN len(found) > 0 OR coalesce(ratio < 0.1, false) ELSE kind = 'pe' END AS static_linked, array_to_string(CASE WHEN kind = 'raw' THEN list_concat(strings, strings) ELSE strings END, '|') AS strings, array_to_string(ve, '|') AS versions, best AS file_version, array_to_string(li, '|') AS licenses,
+round((CASE WHEN len(sp) > 0 THEN 0.5 ELSE 0 END + CASE WHEN len(li) > 0 THEN 0.3 ELSE 0 END + CASE WHEN tx > 0 THEN 0.2 ELSE 0 END)::DOUBLE, 9) AS license_confidence, CASE WHEN kind IN ('tiny', 'raw') THEN 'raw_firmware_blob' WHEN kind = 'pe' THEN 'wasm' END AS analysis,
+CASE WHEN kind IN ('tiny', 'raw') THEN CASE WHEN coalesce(ratio > 0.8, false) THEN 'high' WHEN len(found) > 0 THEN 'medium' ELSE 'low' END END AS format_confidence FROM k"""
+_add("analyze_documents", (lambda spark, sf_dir: analyzed_documents(spark, sf_dir).drop("hash_blake3", "parse_error"), _ANALYZED))
+_add("analyze_digests", lambda spark, sf_dir: analyzed_documents(spark, sf_dir).select("file_name", "hash_sha256", "hash_blake3", "parse_error"))
 # Images are dealt by name first, as blobs of uneven sizes should be.
 _add("analyze_lines", lambda spark, sf_dir: A.analyze(hex_images(spark, sf_dir).union(srec_images(spark, sf_dir)).repartition("file_name")))
 _add("analyze_vectors", lambda spark, sf_dir: A.analyze(vector_images(spark, sf_dir).repartition("file_name")))

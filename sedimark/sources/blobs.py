@@ -48,11 +48,17 @@ def pair_uploads(fields: DataFrame) -> DataFrame:
 
 
 def field_profile(fields: DataFrame) -> DataFrame:
-    """Name, size and preview of each form field, with the number of its request's fields."""
-    text = F.decode(F.substring("content", 1, 100), "ISO-8859-1")
+    """Name, type, size and preview of each form field, with the number of its request's fields.
+
+    A preview is the first 100 bytes as UTF-8, with a replacement character for what is none. Fields without a
+    column content_type have none.
+    """
+    text = F.make_valid_utf8(F.substring("content", 1, 100).cast("string"))
     preview = F.when(F.length("content") <= 100, text).otherwise(F.concat(text, F.lit("... (truncated)")))
     total = fields.groupBy("request").agg(F.count(F.lit(1)).alias("total_fields"))
-    return fields.select("request", "pos", "name", "filename", F.length("content").alias("size"), preview.alias("preview")).join(total, "request")
+    kind = F.col("content_type") if "content_type" in fields.columns else F.lit(None).cast("string")
+    own = fields.select("request", "pos", F.coalesce("name", F.lit("unknown")).alias("name"), "filename", kind.alias("content_type"), F.length("content").alias("size"), preview.alias("preview"))
+    return own.join(total, "request")
 
 
 def health(spark: SparkSession, service: str = "sedimark", version: str = "1.0") -> DataFrame:

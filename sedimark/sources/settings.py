@@ -25,5 +25,5 @@ def providers(changes: DataFrame) -> DataFrame:
         F.max(F.when((F.col("action") == "default") | ((F.col("action") == "add") & F.col("is_default")), F.col("pos"))).alias("default_at"),
     )
     there = last.where("last.action = 'add'").withColumn("default_at", F.when(F.col("default_at") >= F.col("set_at"), F.col("default_at")))
-    newest = changes.where("action = 'default' or (action = 'add' and is_default)").agg(F.max("pos").alias("newest"))
-    return there.join(F.broadcast(newest), F.lit(True)).select("name", "last.base_url", F.coalesce(F.col("default_at") == F.col("newest"), F.lit(False)).alias("is_default")).orderBy("name")
+    newest = changes.where("action = 'default' or (action = 'add' and is_default)").agg(F.max("pos")).first()[0]
+    return there.select("name", "last.base_url", F.coalesce(F.col("default_at") == F.lit(newest), F.lit(False)).alias("is_default")).orderBy("name")

@@ -81,3 +81,17 @@ def test_byte_signatures(spark):
     df = spark.createDataFrame(rows, "content binary, labels array<string>")
     for row in df.select("labels", G.architecture_hints(F.col("content")).alias("found")).collect():
         assert row.found == (row.labels or [])
+
+
+def test_blake3_of_many_blobs_at_once():
+    sizes = [0, 1, 64, 65, 1024, 1025, 3000, 2048, 9 * 1024 + 1, 31 * 1024]
+    made = [bytes((i * n + 7) % 251 for i in range(n)) for n in sizes]
+    assert B.blake3_hexes(made) == [B.blake3_hex(b) for b in made] and B.blake3_hexes([]) == []
+
+
+def test_mime_by_offset(spark):
+    cases = {"application/x-tar": bytes(257) + b"ustar\0", "image/webp": b"RIFF1234WEBP", "video/mp4": b"\0\0\0\x18ftypmp42", "application/vnd.rar": b"Rar!\x1a\x07\0", "application/octet-stream": b"nothing known", "text/xml": b"<?xml version", "application/font-sfnt": b"OTTO\0"}
+    from sedimark.operators import sniff
+
+    rows = spark.createDataFrame([(k, bytes(v)) for k, v in cases.items()], "mime string, content binary")
+    assert all(r.mime == r.found for r in rows.select("mime", sniff.mime(F.lit("x.txt"), F.col("content")).alias("found")).collect())

@@ -95,3 +95,29 @@ def test_comparison(spark):
     ab, ba, aa = found["a", "b"], found["b", "a"], found["a", "a"]
     assert (ab.size_diff_bytes, ab.imports_added, ab.imports_removed, ab.symbols_removed) == (6, ["k"], ["i"], ["s"])
     assert ab.imports_added == ba.imports_removed and aa.imports_added == aa.imports_removed == []
+
+
+def test_files_of_one_name_keep_apart(spark, tmp_path):
+    from sedimark.sources import blobs as S
+
+    for folder, data in (("a", b"AAAA"), ("b", b"BBBBBB"), ("c", b"AAAA")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "fw.hex").write_bytes(b"\n".join([record(0, 0, data).encode(), record(0, 1, b"").encode()]) + b"\n" * 40)
+    records = A.analyze(S.from_files(spark, str(tmp_path)))
+    rows = {r.path.split("/")[-2]: r for r in records.collect()}
+    assert len(rows) == 3 and {r.file_name for r in rows.values()} == {"fw.hex"}
+    assert [json.loads(rows[k].metadata)["total_data_bytes"] for k in "abc"] == [4, 6, 4]
+    assert [len(json.loads(rows[k].metadata)["memory_segments"]) for k in "abc"] == [1, 1, 1]
+    paths = [rows[k].path for k in "abc"]
+    pairs = spark.createDataFrame([(paths[0], paths[1]), (paths[0], paths[2])], "file1_name string, file2_name string")
+    found = A.compare(pairs, records, key="path").collect()
+    assert sorted(r.file1_sha256 == r.file2_sha256 for r in found) == [False, True]
+
+
+def test_containers_that_cannot_be_followed(spark):
+    sample = blobs(spark, bad=b"\x7fELF" + bytes(60))
+    compat, plain = (A.analyze(sample, compat=c).collect()[0] for c in (True, False))
+    assert (compat.format, plain.format) == ("application/wasm", "elf") and compat.parse_error and plain.parse_error
+    from sedimark.functions import blobs as B
+
+    assert compat.hash_blake3 == B.blake3_hex(b"\x7fELF" + bytes(60))

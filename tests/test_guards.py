@@ -28,3 +28,13 @@ def test_tokens(spark):
     assert signing.mac(b"what do ya want for nothing?", b"Jefe") == signing.b64url(bytes.fromhex("5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843"))
     token = signing.mint({"sub": "x", "exp": 100}, b"k")
     assert [signing.verdict(token, b"k", 99), signing.verdict(token, b"k", 100), signing.verdict(token, b"other", 1), signing.verdict("a.b", b"k", 1), signing.verdict(None, b"k", 1)] == ["valid", "expired", "signature", "malformed", "malformed"]
+
+
+def test_files_of_this_machine(tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.bin").write_bytes(b"abc")
+    (tmp_path / "out.bin").write_bytes(b"abc")
+    (tmp_path / "in/link").symlink_to(tmp_path / "out.bin")
+    monkeypatch.chdir(tmp_path / "in")
+    tried = {"a.bin": None, "@a.bin": None, "../in/a.bin": None, "../out.bin": "outside", "link": "outside", "none": "not_found", ".": "not_regular"}
+    assert {p: guards.file_rejection(p) for p in tried} == tried and guards.file_rejection("a.bin", limit=2) == "too_large"

@@ -36,3 +36,10 @@ def test_stream_reads_each_content_once(spark, tmp_path):
     ingest.write(files, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 2 and sorted(r.kind for r in rows) == ["tiny", "tiny"]
+
+
+def test_profile_of_odd_fields(spark):
+    fields = spark.createDataFrame([(1, 0, None, "f", "text/plain", "é".encode() * 60), (1, 1, "b", None, None, b"a\xffb")], "request int, pos int, name string, filename string, content_type string, content binary")
+    rows = {r.pos: r for r in S.field_profile(fields).collect()}
+    assert (rows[0].name, rows[0].content_type, rows[0].preview) == ("unknown", "text/plain", "é" * 50 + "... (truncated)")
+    assert (rows[1].preview, rows[1].content_type, rows[1].total_fields) == ("a�b", None, 2)
