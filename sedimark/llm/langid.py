@@ -56,8 +56,8 @@ STRETCH = 1 << 20
 SLOPE = 4.0
 
 
-def vector(text: str | None) -> np.ndarray | None:
-    """Unit vector of the square roots of the n-gram counts; None for a text without letters."""
+def counted(text: str | None) -> np.ndarray | None:
+    """Counts of the hashed n-grams; None for a text without letters."""
     if not text or not any(map(str.isalpha, text)):
         return None
     raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
@@ -72,10 +72,20 @@ def vector(text: str | None) -> np.ndarray | None:
                     code = (code << 8) | part[i : i + starts]
                 code = (code + np.uint32(n)) * np.uint32(2654435761)
                 counts += np.bincount(code >> np.uint32(19), minlength=DIMENSIONS)
+    return counts
+
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    """Unit vector of the square roots of the counts."""
     x = np.sqrt(counts, dtype=np.float32)
     return x / np.linalg.norm(x)
 
 
+def vector(text: str | None) -> np.ndarray | None:
+    counts = counted(text)
+    return None if counts is None else unit(counts)
+
+
 def machine(x: np.ndarray, positive: np.ndarray, rounds: int = 30, cost: float = 10.0) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge loss) by dual coordinate ascent; the last is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -134,13 +144,12 @@ class Model:
 
 
 def fit_rows(texts: list[str], langs: list[str]) -> Model:
-    return fit_vectors([vector(t) for t in texts], langs)
+    rows = [(v, lang) for t, lang in zip(texts, langs, strict=True) if (v := vector(t)) is not None]
+    return fit_matrix(np.array([v for v, _ in rows], np.float32).reshape(len(rows), DIMENSIONS), [lang for _, lang in rows])
 
 
-def fit_vectors(vectors: list[np.ndarray | None], langs: list[str]) -> Model:
-    rows = [(v, lang) for v, lang in zip(vectors, langs, strict=True) if v is not None]
-    x = np.array([v for v, _ in rows], np.float32).reshape(len(rows), DIMENSIONS)
-    labels = np.array([lang for _, lang in rows], object)
+def fit_matrix(x: np.ndarray, langs: list[str]) -> Model:
+    labels = np.array(langs, object)
     languages: dict[str, list[str]] = defaultdict(list)
     for lang in sorted(set(labels)):
         languages[FAMILY.get(lang, lang)].append(lang)
@@ -162,9 +171,13 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def _vectors(texts: pa.Array) -> pa.Array:
-    found = (vector(t) for t in texts.to_pylist())
-    return pa.array([None if v is None else v.astype("<f4").tobytes() for v in found], pa.binary())
+def _packed(texts: pa.Array) -> pa.Array:
+    """Compressed counts, most of which are none: some KB a text."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    found = (counted(t) for t in texts.to_pylist())
+    return pa.array([None if v is None else squeeze(np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes()) for v in found], pa.binary())
 
 
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> Model:
@@ -183,12 +196,18 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     thinned = labelled.where(place < limit).select(place.alias("place"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     # One row for each id, however often it is repeated: the least text.
     single = thinned.groupBy("place", "lang").agg(F.min("text").alias("text"))
-    rows = single.select("place", "lang", F.arrow_udf(_vectors, "binary")("text").alias("v")).where("v is not null")
-    best: dict[str, list] = defaultdict(list)
+    rows = single.select("place", "lang", F.arrow_udf(_packed, "binary")("text").alias("v")).where("v is not null")
+    best: dict[str, list[bytes]] = defaultdict(list)
     for row in sorted(rows.collect(), key=lambda r: (r["lang"], r["place"])):
         if len(best[row["lang"]]) < share:
-            best[row["lang"]].append(np.frombuffer(row["v"], "<f4"))
-    return fit_vectors([v for found in best.values() for v in found], [code for code, found in best.items() for _ in found])
+            best[row["lang"]].append(bytes(row["v"]))
+    import zstandard
+
+    loosen = zstandard.ZstdDecompressor().decompress
+    x = np.empty((sum(map(len, best.values())), DIMENSIONS), np.float32)
+    for i, packed in enumerate(p for found in best.values() for p in found):
+        x[i] = unit(np.frombuffer(loosen(packed), "<u4"))
+    return fit_matrix(x, [code for code, found in best.items() for _ in found])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

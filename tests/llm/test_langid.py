@@ -43,7 +43,7 @@ def test_repeated_ids_and_many_labels_stay_bounded(spark, monkeypatch):
     docs = spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("the cat and the dog").alias("text"), F.lit("en").alias("lang"))
     more = spark.range(300).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
     fitted = []
-    monkeypatch.setattr(langid, "fit_vectors", lambda vectors, langs, make=langid.fit_vectors: fitted.append(langs) or make(vectors, langs))
+    monkeypatch.setattr(langid, "fit_matrix", lambda x, langs, make=langid.fit_matrix: fitted.append(langs) or make(x, langs))
     model = langid.fit(docs.union(more), F.lit(True), max_rows=50, max_langs=3)
     assert sorted(fitted[0]) == ["en", "l0", "l1"] and sorted(model.families) == ["germanic", "l0", "l1"]
 
