@@ -161,13 +161,15 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def answer(bucket: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
-        one, answers = encoder(vocabulary), []
+        one, whole, answers = encoder(vocabulary), ranks(vocabulary).get, []
         for words in bucket["words"]:
             ids = []
             for word in unpack(words.as_py(), "u1"):
                 found = known.get(word)
                 if found is None:
-                    found = known[word] = one(word.decode())
+                    # A word that is a token is that token.
+                    token = whole(word)
+                    found = known[word] = [token] if token is not None else one(word.decode())
                 ids.append(found)
             joined = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
             answers.append(pack(joined, [len(x) for x in ids]))
