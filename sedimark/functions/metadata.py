@@ -49,8 +49,18 @@ LICENSE_NAMES = {
 }
 
 
-def _all(strings: Column, pattern: str, group: int = 1) -> Column:
-    return F.flatten(F.transform(strings, lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(group))))
+# What a string must hold for any of the patterns to fit: one test in place of all of them on most strings.
+VERSION_GUARD = r"\d\.\d|version|VERSION"
+LICENSE_GUARD = r"(?i)mit|bsd|gpl|apache|mozilla|isc|unlicense|licensed under|license:"
+LICENSE_TEXT_GUARD = r"(?i)permission is|redistribution and|this program|licensed under"
+COMPANY_GUARD = r"(?i)company:|corporation:|©|copyright"
+PRODUCT_GUARD = r"(?i)product:|application:|program:"
+
+
+def _all(strings: Column, guard: str, *patterns: str) -> Column:
+    """First groups of all matches in the strings that the guard lets pass, string by string."""
+    found = lambda s: F.concat(*(F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in patterns))
+    return F.flatten(F.transform(F.filter(strings, lambda s: s.rlike(guard)), found))
 
 
 def is_valid_version(version: Column) -> Column:
@@ -63,8 +73,8 @@ def is_valid_version(version: Column) -> Column:
 
 def version_strings(strings: Column) -> Column:
     """Distinct valid versions, sorted."""
-    found = F.concat(*(_all(strings, p) for p in VERSION_PATTERNS))
-    return F.array_sort(F.array_distinct(F.filter(found, is_valid_version)))
+    found = F.array_distinct(_all(strings, VERSION_GUARD, *VERSION_PATTERNS))
+    return F.array_sort(F.filter(found, is_valid_version))
 
 
 def most_dotted(versions: Column) -> Column:
@@ -114,8 +124,8 @@ def with_version_info(df: DataFrame, strings: str, extra: Column | None = None,
         F.col("_versions").alias("version_strings"),
         F.col("_best").alias("file_version"),
         F.lit(None).cast("string").alias("product_version"),
-        first_of(F.col(strings), company_name).alias("company"),
-        first_of(F.col(strings), product_name).alias("product_name"),
+        first_of(F.filter(strings, lambda s: s.rlike(COMPANY_GUARD)), company_name).alias("company"),
+        first_of(F.filter(strings, lambda s: s.rlike(PRODUCT_GUARD)), product_name).alias("product_name"),
         version_confidence(F.col("_versions"), F.col("_best")).alias("confidence"),
     )
     return staged.withColumn(into, info).drop("_versions", "_best")
@@ -149,12 +159,12 @@ def license_confidence(licenses: Column, spdx: Column, texts: Column) -> Column:
 def license_texts(long: Column) -> Column:
     """Strings of over 100 bytes, once for each licence text that they hold."""
     of = lambda s: F.filter(F.array(*(F.when(s.rlike(p), s) for p in LICENSE_TEXT_PATTERNS)), lambda x: x.isNotNull())
-    return F.flatten(F.transform(F.filter(long, lambda s: F.octet_length(s) > 100), of))
+    return F.flatten(F.transform(F.filter(long, lambda s: (F.octet_length(s) > 100) & s.rlike(LICENSE_TEXT_GUARD)), of))
 
 
 def licenses(long: Column, texts: Column) -> Column:
     """Distinct licences that strings name or that licence texts are, sorted."""
-    named = F.transform(F.concat(*(_all(long, p) for p in LICENSE_PATTERNS)), normalize_license_name)
+    named = F.transform(F.array_distinct(_all(long, LICENSE_GUARD, *LICENSE_PATTERNS)), normalize_license_name)
     inferred = F.filter(F.transform(texts, infer_license_from_text), lambda x: x.isNotNull())
     return F.array_sort(F.array_distinct(F.filter(F.concat(named, inferred), lambda x: x != "")))
 
@@ -162,10 +172,10 @@ def licenses(long: Column, texts: Column) -> Column:
 def with_license_info(df: DataFrame, strings: str, into: str = "license_info") -> DataFrame:
     """df with licences, notices, identifiers and texts of the strings of ten bytes and more."""
     staged = df.withColumn("_long", F.filter(strings, lambda s: F.octet_length(s) >= 10)).withColumn("_texts", license_texts(F.col("_long")))
-    staged = staged.withColumns({"_licenses": licenses(F.col("_long"), F.col("_texts")), "_spdx": F.array_sort(F.array_distinct(_all(F.col("_long"), SPDX_PATTERN)))})
+    staged = staged.withColumns({"_licenses": licenses(F.col("_long"), F.col("_texts")), "_spdx": F.array_sort(F.array_distinct(_all(F.col("_long"), "SPDX-License-Identifier:", SPDX_PATTERN)))})
     info = F.struct(
         F.col("_licenses").alias("licenses"),
-        F.flatten(F.transform("_long", lambda s: F.transform(F.regexp_extract_all(s, F.lit(COPYRIGHT_PATTERN), F.lit(0)), lambda _: s))).alias("copyright_notices"),
+        F.flatten(F.transform(F.filter("_long", lambda s: s.rlike("(?i)copyright")), lambda s: F.transform(F.regexp_extract_all(s, F.lit(COPYRIGHT_PATTERN), F.lit(0)), lambda _: s))).alias("copyright_notices"),
         F.col("_spdx").alias("spdx_identifiers"),
         F.col("_texts").alias("license_texts"),
         license_confidence(F.col("_licenses"), F.col("_spdx"), F.col("_texts")).alias("confidence"),
