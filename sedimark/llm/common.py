@@ -1,9 +1,8 @@
-"""What the operators share: reading tables, shared folders, Arrow columns."""
+"""What the operators share: reading tables, files in shared folders, Arrow columns."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimark.session import settled, shared_dir
+
+__all__ = ["bound_batches", "forget", "get_file", "put_file", "settled", "shared_dir", "struct_column", "structs", "table", "table_bytes", "unlink", "with_columns"]
+
 #: Rows and bytes of one Arrow batch, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
@@ -26,28 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, which driver and executors share.
-
-    Where none is set, a session of one process gets a temporary one.
-    """
-    context = spark.sparkContext
-    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not top and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sedimark-"))
-        top = context.getCheckpointDir()
-    if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{top.rstrip('/')}/sedimark-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, codec: str = "lz4") -> DataFrame:
-    """The same rows, written to the shared folder and read again: lineage ends here."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unlink(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
