@@ -54,3 +54,23 @@ def test_query(spark, sf):
         own = brute(docs[r.doc_id])
         failed = own[0] < 20 or 100 * own[4] > 30 * own[0]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*own, failed) and not (failed and r.kept)
+
+
+def test_bands_equal_medians_of_all_texts(spark):
+    r = np.random.default_rng(7)
+    rows = [(g, m, float(np.floor(v / Q.BIN) + 0.5)) for g, n in (("a", 101), ("b", 40), ("c", 1)) for m in Q.MEASURES for v in r.gamma(3, 1.5, n)]
+    counts = spark.createDataFrame(rows, "tongue string, measure string, bin double").groupBy("tongue", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+    def edge(values, m):
+        middle = np.median(values)
+        apart = Q.MEASURES[m] * (values - middle)
+        return middle + Q.MEASURES[m] * Q.BOUNDS[m] * max(np.median(apart[apart >= 0]), Q.LEAST_SPREAD / Q.BIN)
+
+    of = lambda keep: {m: np.array([b for g, x, b in rows if x == m and keep(g)]) for m in Q.MEASURES}
+    found = {r.tongue: r for r in Q._edges(counts, "tongue").collect()}
+    assert {g: f.n for g, f in found.items()} == {"a": 101, "b": 40, "c": 1}
+    for g, f in found.items():
+        for m, values in of(lambda x, g=g: x == g).items():
+            assert abs(f[m] - edge(values, m)) < 1e-9
+    every = Q._edges(counts).first()
+    assert every.n == 142 and all(abs(every[m] - edge(values, m)) < 1e-9 for m, values in of(lambda x: True).items())
