@@ -13,7 +13,7 @@ over windows of all texts, each text is learned by its highest window of all it
 
 Defined cases: a null or empty text, or one without words, gets the network's score of an
 empty window; texts of any length are scored whole, a stretch at a time; repeated rows
-each get their score; without labels of both kinds the score is the share of toxic labels,
+each get their score; without labels of both kinds, or words in their texts, the score is the share of toxic labels,
 0 without any; an empty table gives an empty table; input columns named like an output
 column are replaced; labels with a null id or label are left out; an id with several labels is toxic if one of them
 says so, and of several texts of an id the least is learned from; of equally high windows the first is taken.
@@ -38,8 +38,8 @@ GRAMS, GRAM_ORDERS = 1 << 14, (3, 4, 5)
 VOCABULARY = 4096
 MAX_ROWS = 2000
 MAX_WINDOWS = 300_000
-#: Words whose inputs a task keeps; windows scored at a time; words of texts gathered before scoring.
-KEPT, AT_ONCE, GATHERED = 120_000, 1024, 40_000
+#: Words whose inputs a task keeps; windows scored at a time; words of texts gathered before scoring; words made into inputs at a time.
+KEPT, AT_ONCE, GATHERED, MADE = 120_000, 1024, 40_000, 8192
 
 WORDS = re.compile(r"\w+").findall
 Parameters = dict[str, np.ndarray]
@@ -211,8 +211,8 @@ class Scorer:
             self.rows, new = {}, list(set(words))
         if new:
             at, p = len(self.rows) + 1, self.network.p
-            for a in range(0, len(new), 8192):
-                part = new[a : a + 8192]
+            for a in range(0, len(new), MADE):
+                part = new[a : a + MADE]
                 self.inputs[:, at + a : at + a + len(part)] = gates(p, Inputs.vectors(p, self.make.places(part), *grams(part)))[:, 1:]
             self.rows.update(zip(new, range(at, at + len(new)), strict=True))
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -267,10 +267,14 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10,
     counts = Counter(w for words in split for w in set(words))
     vocabulary = {w: i for i, (w, _) in enumerate(sorted(((w, n) for w, n in counts.items() if n >= 3), key=lambda x: (-x[1], x[0]))[:VOCABULARY], 1)}
     names = sorted(counts)
+    if not names:
+        return Network({}, None, prior)
     row = {w: i for i, w in enumerate(names, 1)}
     places = Inputs(vocabulary).places(names)
-    hashes, starts = grams(names)
-    ends = np.append(starts[1:], len(hashes))
+    parts = [grams(names[a : a + MADE]) for a in range(0, len(names), MADE)]
+    sizes = [np.diff(np.append(s, len(h))) for h, s in parts]
+    hashes, ends = np.concatenate([h.astype(np.uint16) for h, _ in parts]), np.cumsum(np.concatenate(sizes))
+    starts = ends - np.concatenate(sizes)
     windows = [window_rows(np.fromiter((row[w] for w in words), np.int32, len(words))) for words in split]
     random, width = np.random.default_rng(seed), WORD + CHAR
     p: Parameters = {
@@ -313,7 +317,10 @@ def train(texts: list[str], toxic: list[bool], first: int = 1, rounds: int = 10,
     begin = np.cumsum(size) - size
     for turn in range(rounds):
         adam.rate = 5e-3 * (1 - turn / rounds) + 3e-4
-        x = gates(p, Inputs.vectors(p, places, hashes, starts))
+        x = np.zeros((2, len(names) + 1, 3 * HIDDEN), np.float32)
+        for a in range(0, len(names), MADE):
+            b = min(len(names), a + MADE)
+            x[:, a + 1 : b + 1] = gates(p, Inputs.vectors(p, places[a:b], hashes[starts[a] : ends[b - 1]], starts[a:b] - starts[a]))[:, 1:]
         logits = np.concatenate([forward(p, x, every[a : a + AT_ONCE]) for a in range(0, len(every), AT_ONCE)])
         highest = np.array([a + int(logits[a : a + n].argmax()) for a, n in zip(begin.tolist(), size.tolist(), strict=True)])
         more = random.choice(np.flatnonzero(target[owner] == 0), len(highest) // 2)

@@ -69,6 +69,7 @@ def test_one_kind_of_label_and_odd_tables(spark, network):
     only = T.fit(docs, labels, F.lit(True))
     assert only.p is None and {r.score for r in T.score_toxicity(docs, only).collect()} == {1.0}
     assert {r.score for r in T.score_toxicity(docs, T.fit(docs, labels.limit(0), F.lit(True))).collect()} == {0.0}
+    assert T.train(["", "!"], [True, False]).p is None
     assert T.score_toxicity(docs, network).count() == 4 and T.score_toxicity(docs.limit(0), network).count() == 0
 
 
