@@ -615,13 +615,18 @@ _add("analyze_lines", lambda spark, sf_dir: A.analyze(hex_images(spark, sf_dir).
 _add("analyze_vectors", lambda spark, sf_dir: A.analyze(vector_images(spark, sf_dir).repartition("file_name")))
 
 
-def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of one container of each kind, with headers alone."""
+def containers() -> dict[str, bytes]:
+    """One container of each kind, with headers alone."""
     elf = b"\x7fELF\x02\x01\x01" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 2, 62, 1, 0x400000, 0, 0, 0, 64, 56, 0, 64, 0, 0)
     pe = b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 0, 0, 0, 0, 112, 0) + struct.pack("<HBBIIIIIQ", 0x20B, 0, 0, 0, 0, 0, 0x1000, 0, 0x140000000) + bytes(80)
     macho = b"\xcf\xfa\xed\xfe" + struct.pack("<IIIIII", 0x01000007, 3, 2, 0, 0, 0) + bytes(24)
     wasm = b"\0asm\1\0\0\0" + b"\x02\x0b\x01\x03env\x03log\x00\x00" + b"\x03\x02\x01\x00" + b"\x07\x07\x01\x03run\x00\x01" + bytes(32)
-    rows = spark.createDataFrame([("elf", elf), ("pe", pe), ("macho", macho), ("wasm", wasm)], "kind string, content binary")
+    return {"elf": elf, "pe": pe, "macho": macho, "wasm": wasm}
+
+
+def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of containers."""
+    rows = spark.createDataFrame(list(containers().items()), "kind string, content binary")
     f = rows.withColumn("f", O.facts(CONTENT(), F.col("kind")))
     return f.select("kind", "f.architecture", "f.entry_point", "f.static_linked", _joined("f.imports").alias("imports"), _joined("f.exports").alias("exports"))
 
@@ -635,6 +640,38 @@ _add(
 )
 
 
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a blob of each kind, some of which are damaged."""
+    made = containers() | {
+        "arm": b"\x7fELF\x01\x01\x01" + bytes(9) + struct.pack("<HHIIIIIHHHHHH", 2, 40, 1, 0x8000, 52, 0, 0, 52, 32, 1, 40, 0, 0),
+        "bad": b"\x7fELF" + bytes(60), "fat": b"\xca\xfe\xba\xbe" + bytes(60), "ar": b"!<arch>\n" + b" " * 60,
+        "gzip": b"\x1f\x8b\x08\x00" + b"x" * 60, "lz4": b"\x04\x22\x4d\x18" + b"x" * 60, "xz": b"\xfd7zXZ\x00" + b"x" * 60, "zstd": b"\x28\xb5\x2f\xfd" + b"x" * 60, "comp": b"COMP" + b"x" * 60,
+        "dicom": bytes(128) + b"DICM" + bytes(40), "cortex": struct.pack("<II", 0x20002000, 0x08000101) + b"FreeRTOS\0" + bytes(300), "tar": bytes(257) + b"ustar" + bytes(40),
+        "text": b"hello world", "boot": b"\x00\x01GRUB\x02\x03\x80\x81\x82\x83", "zeros": bytes(10_000), "empty": b"",
+        "hex": b":0400000041424344F2\n:00000001FF\n" + b"\n" * 40, "srec": b"S0030000FC\nS107000041424344EE\nS9030000FC\n" + b"\n" * 40,
+    }
+    r = A.analyze(spark.createDataFrame(list(made.items()), "file_name string, content binary"))
+    return r.select("file_name", "format", "architecture", _joined("languages").alias("languages"), "static_linked", "entry_point", F.col("parse_error").isNotNull().alias("damaged"), F.size("embedded_strings").cast("bigint").alias("n_strings"))
+
+
+#: Wanted records, by hand: "ELF", "asm" and "7zXZ" are strings too, and zeros behind the WebAssembly module are sections without a name.
+_KINDS = [
+    ("elf", "elf", "x86_64", "", True, "0x00400000", False, 1), ("pe", "pe", "x86_64", "", True, "0x140001000", False, 0), ("macho", "macho", "x86_64", "", False, None, False, 0), ("wasm", "application/wasm", "wasm32", "WebAssembly", True, None, True, 4),
+    ("arm", "elf", "arm", "", True, "0x00008000", False, 1), ("bad", "application/wasm", "wasm32", "WebAssembly", True, None, True, 1), ("fat", "macho-fat", "multi", "", False, None, False, 0), ("ar", "archive", "unknown", "", False, None, False, 1),
+    *((k, "compressed-firmware", "unknown", "Compressed Binary", False, None, False, n) for k, n in (("gzip", 1), ("lz4", 1), ("xz", 2), ("zstd", 1), ("comp", 1))),
+    ("dicom", "dicom-file", "unknown", "", False, None, False, 2), ("cortex", "arm-cortex-m-firmware", "arm_cortex_m", "ARM Assembly|C/C++", True, "0x08000100", False, 2), ("tar", "application/x-tar", "unknown", "", True, None, False, 2),
+    ("text", "text/small", "unknown", "", False, None, False, 1), ("boot", "firmware-blob", "unknown", "Firmware", True, None, False, 1), ("zeros", "application/octet-stream", "unknown", "", True, None, False, 0), ("empty", "micro-binary", "unknown", "", False, None, False, 0),
+    ("hex", "intel-hex", "embedded", "Firmware", True, None, False, 3), ("srec", "motorola-srec", "embedded", "Firmware", True, "0x0000", False, 4),
+]
+
+
+def _literal(value: object) -> str:
+    return "NULL" if value is None else repr(value) if isinstance(value, str) else str(value).lower()
+
+
+_add("analyze_kinds", (kinds, "SELECT file_name, format, architecture, languages, static_linked, entry_point::VARCHAR AS entry_point, damaged, n_strings::BIGINT AS n_strings FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, k)) + ")" for k in _KINDS) + ") AS v(file_name, format, architecture, languages, static_linked, entry_point, damaged, n_strings)"))
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, (query, _) in FOUND.items()}
 
