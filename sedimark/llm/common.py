@@ -15,7 +15,7 @@ from sedimark.session import settled, shared_dir
 __all__ = ["bound_batches", "forget", "get_file", "put_file", "settled", "shared_dir", "struct_column", "structs", "table", "table_bytes", "unlink", "with_columns"]
 
 #: Rows and bytes of one Arrow batch, whichever is reached first.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> SparkSession:

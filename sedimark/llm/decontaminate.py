@@ -51,6 +51,8 @@ RUN = 13
 WEAK, SHORTEST = 2, 5
 #: Items that hold a window before it is common.
 COMMON = 16
+#: Texts that are read together.
+TOGETHER = 64
 #: Bits of the filter: 4 MB whatever the benchmark's size. Beyond some million windows it passes more, which the join removes.
 FILTER_BITS = 1 << 25
 
@@ -77,7 +79,7 @@ STEP = np.uint64(0x100000001B3)
 class Words:
     """Hash and kind of each distinct word, in arrays that hold LIMIT of them."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
@@ -225,7 +227,8 @@ def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bit
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             # An item's windows follow its own length, so items are read one by one; documents together.
-            parts = [(ids, texts)] if bits is not None else [([i], [t]) for i, t in zip(ids, texts, strict=True)]
+            step = TOGETHER if bits is not None else 1
+            parts = [(ids[a : a + step], texts[a : a + step]) for a in range(0, len(ids), step)]
             rows = [row for part in parts for row in _rows(*part, lengths, filtered, canonical)]
             if rows:
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
