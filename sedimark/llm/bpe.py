@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import table_bytes
+from sedimark.llm.common import table_bytes, trim
 
 BLOCK_BYTES = 8 << 20
 BLOCKS_A_BUCKET = 4
@@ -157,6 +157,8 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         for words in asked.values():
             encoded = [w.encode() for w in words]
             packed.append(pack(np.frombuffer(b"".join(encoded), np.uint8), [len(w) for w in encoded]))
+        del distinct
+        trim()
         return pa.table({"bucket": pa.array(list(asked), pa.int32()), "block": pa.array([block["block"][0].as_py()] * len(asked), pa.int32()), "words": pa.array(packed, pa.binary())})
 
     def answer(bucket: pa.Table) -> pa.Table:
@@ -173,6 +175,8 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                 ids.append(found)
             joined = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
             answers.append(pack(joined, [len(x) for x in ids]))
+        known.clear()
+        trim()
         return pa.table({"bucket": bucket["bucket"], "block": bucket["block"], "ids": pa.array(answers, pa.binary())})
 
     def assemble(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -184,7 +188,10 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         for bucket, packed in zip(answers["bucket"].to_pylist(), answers["ids"], strict=True):
             ids.update(zip(asked[bucket], unpack(packed.as_py(), "<u4"), strict=True))
         of = ids.__getitem__
-        return pa.table({"doc_id": block["doc_id"], "ids": pa.array([b"".join(map(of, words)) for words in placed], pa.binary())})
+        found = pa.table({"doc_id": block["doc_id"], "ids": pa.array([b"".join(map(of, words)) for words in placed], pa.binary())})
+        del placed, asked, ids, of, distinct
+        trim()
+        return found
 
     kind = some.schema["doc_id"].dataType.simpleString()
     asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, words binary")

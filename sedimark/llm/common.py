@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterable
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sedimark.session import settled, shared_dir
 
-__all__ = ["bound_batches", "forget", "get_file", "put_file", "settled", "shared_dir", "struct_column", "structs", "table", "table_bytes", "unlink", "with_columns"]
+__all__ = ["bound_batches", "forget", "get_file", "put_file", "settled", "shared_dir", "struct_column", "structs", "table", "table_bytes", "trim", "unlink", "with_columns"]
 
 #: Rows and bytes of one Arrow batch, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
@@ -66,10 +68,19 @@ def get_file(folder: str, name: str) -> bytes:
         return found.read()
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as workers stay while other stages and operators run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def struct_column(rows: Callable[[list], Iterable[tuple]], schema: str, column: Column) -> Column:
     """A struct column from a function of a list of values (texts, None for null), by Arrow batches."""
     def run(values: pa.Array) -> pa.Array:
-        return structs(list(rows(values.to_pylist())), schema)
+        found = structs(list(rows(values.to_pylist())), schema)
+        trim()
+        return found
 
     return F.arrow_udf(run, f"struct<{schema}>")(column)
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import settled
+from sedimark.llm.common import settled, trim
 
 WINDOW = 8
 LITERAL = 5
@@ -230,6 +230,8 @@ def _windows(df: DataFrame, name: str, text: str, lengths: list[int] | None, bit
             step = TOGETHER if bits is not None else 1
             parts = [(ids[a : a + step], texts[a : a + step]) for a in range(0, len(ids), step)]
             rows = [row for part in parts for row in _rows(*part, lengths, filtered, canonical)]
+            del ids, texts, parts
+            trim()
             if rows:
                 yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import forget, settled
+from sedimark.llm.common import forget, settled, trim
 from sedimark.llm.components import components
 
 RADIUS = 3
@@ -74,7 +74,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, fingerprint: 16 hexadecimal digits) for each row of docs."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t).hex() for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+        found = pa.array([fingerprint(t).hex() for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+        trim()
+        return found
 
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.arrow_udf(run, "string")(F.col(f"`{text}`")).alias("fingerprint"))
 
