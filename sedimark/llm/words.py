@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimark.llm.common import forget, get_file, put_file, settled, shared_dir, structs, table_bytes, unlink
+from sedimark.llm.common import forget, get_file, put_file, settled, shared_dir, structs, table_bytes, trim, unlink
 
 #: Words of the longest n-grams. With 3 the sorted arrays and answers take 2.4 times the documents' Parquet files on disk, with 2 some 0.9 times.
 ORDER = 2
@@ -261,7 +261,10 @@ def _questions(k: int, buckets: int, bits: int, order: int, folder: str):
                 continue
             ends = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = [(b, pack([np.diff(keys[i:j], prepend=np.uint64(0)), *(v[i:j] for v in values)])) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
-            yield pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+            asked = pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+            del own, keys, values, rows, block
+            trim()
+            yield asked
 
     return run
 
@@ -282,6 +285,8 @@ def _answers(group: pa.Table) -> pa.Table:
     for i, one, a, b in zip(order, asked, ends, ends[1:], strict=False):
         check = np.array([one[0].sum(dtype=np.uint64)], np.uint64)
         rows.append((blocks[i], check[0], pack([*(s[places[a:b]] for s in sums), owned[a:b]])))
+    del asked, keys, places, owned, first
+    trim()
     ones = [[int((sums[0] == i).sum()) for i in (1, 2, 3, 4)]] + [[0] * 4] * (len(rows) - 1)
     return pa.table({
         "block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * len(rows), pa.int32()), "sum": pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)),
@@ -297,6 +302,8 @@ def _save(k: int, folder: str):
         check = np.zeros(len(columns[0]), np.uint64)
         check[:1] = group["sum"].to_numpy().view(np.uint64).sum(dtype=np.uint64)
         put_file(folder, f"{k}-{group['block'][0].as_py()}", pack([check, *columns]))
+        del parts, columns, check
+        trim()
         return pa.table({f"n{i}": pa.array([pc.sum(group[f"n{i}"]).as_py()], pa.int64()) for i in (1, 2, 3, 4)})
 
     return run
@@ -411,7 +418,10 @@ def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterabl
             own_columns = structs(list(rows(part["_text"].to_pylist())), schema)
             means = [pa.array(-x / np.maximum(n, 1), pa.float64(), mask=n == 0) for x in (whole, single)]
             columns = [*(part[c] for c in keep), *own_columns.flatten(), pa.array(n), *means]
-            yield from pa.table(columns, names=[f.name for f in of]).combine_chunks().to_batches()
+            found = pa.table(columns, names=[f.name for f in of]).combine_chunks().to_batches()
+            del part, own, own_columns, columns, means, whole, single, n
+            trim()
+            yield from found
 
     texts = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang"))
     result = settled(texts.mapInArrow(run, of))
