@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import put_file, table_bytes
+from sedimark.llm.common import put_file, table_bytes, trim
 
 MAGIC = b"SEDIDS01"
 BLOCK = 1024
@@ -224,6 +224,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, doc
             put_file(folder, name, encode_shard(names, [len(x) // 4 for x in found], np.frombuffer(b"".join(found), "<u4")))
             row = pa.record_batch({"shard": [name], "docs": [len(names)], "ids": [held // 4]})
             names, found, held, seq = [], [], 0, seq + 1
+            trim()
             return row
 
         for batch in batches:
