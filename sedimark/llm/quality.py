@@ -22,9 +22,7 @@ named like an output column are replaced; ties (equal perplexities) are judged a
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,17 +34,17 @@ from sedimark.llm.common import settled
 HIGH, LOW, LESS = 6.0, 8.0, 5.0
 BIN, LEAST_SPREAD, ENOUGH = 0.02, 0.1, 30
 
-LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-MARKS = "#*$%&|<>"
+#: What lies between words, and the marks that are counted. UTF-8 has no other bytes like these, and bytes.split() and bytes.strip() know the same six.
+BLANKS, MARKS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
+WINDOW = 8
 
 
-def repeated_words(words: list[str], size: int = 8) -> int:
+def repeated_words(words: list, size: int = WINDOW) -> int:
     """Words in windows of ``size`` words that occur twice or more."""
     n = len(words) - size + 1
     if n < 2:
         return 0
-    number: dict[str, int] = {}
+    number: dict = {}
     ids = np.fromiter([number.setdefault(w, len(number)) for w in words], np.uint64, len(words))
     # Names of windows of 1, 2, 4, 8 words, each from two of half the length: equal names, equal windows.
     names, length = ids, 1
@@ -62,12 +60,41 @@ def repeated_words(words: list[str], size: int = 8) -> int:
     return int((np.cumsum(edges) > 0).sum())
 
 
+def suspects(hashes: list[np.ndarray], size: int = WINDOW) -> list[int]:
+    """Texts, given as hashes of their words, that may have a window twice: all that have, and hardly any others."""
+    longer = [i for i, one in enumerate(hashes) if len(one) > size]
+    if not longer:
+        return []
+    joined = np.concatenate([hashes[i] for i in longer])
+    n = len(joined) - size + 1
+    windows = np.zeros(n, np.uint64)
+    for at, weight in enumerate(words.weights()[:size]):
+        windows += joined[at : at + n] * weight
+    text = np.repeat(np.arange(len(longer), dtype=np.uint64), [len(hashes[i]) for i in longer])
+    within = text[:n] == text[size - 1 :]
+    low = np.uint64(len(longer).bit_length())
+    keys = np.sort((words.mixed(windows[within]) >> low << low) | text[:n][within])
+    twice = keys[1:][keys[1:] == keys[:-1]] & ((np.uint64(1) << low) - np.uint64(1))
+    return [longer[i] for i in np.unique(twice).tolist()]
+
+
+def _rules(texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+    """Of each text n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    found, hashes = [], []
+    for text in texts:
+        text = text or ""
+        raw = text.encode("utf-8", "surrogatepass")
+        own = raw.split()
+        lines = list(filter(bytes.strip, raw.split(b"\n")))
+        blanks = len(raw) - len(raw.translate(None, BLANKS))
+        found.append((len(own), len(text) - blanks, len(raw) - len(raw.translate(None, MARKS)), len(lines) - len(set(lines))))
+        hashes.append(np.fromiter(map(hash, own), np.int64, len(own)).view(np.uint64))
+    repeated = {i: repeated_words((texts[i] or "").encode("utf-8", "surrogatepass").split()) for i in suspects(hashes)}
+    return [(*counts, repeated.get(i, 0)) for i, counts in enumerate(found)]
+
+
 def base(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    text = text or ""
-    words = WORD.findall(text)
-    lines = [line for line in text.split("\n") if LINE_WORD.search(line)]
-    return len(words), sum(map(len, words)), sum(map(text.count, MARKS)), len(lines) - len(set(lines)), repeated_words(words)
+    return _rules([text])[0]
 
 
 RULES = "n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint"
@@ -78,10 +105,6 @@ BOUNDS = {"log_perplexity": HIGH, "single": LOW, "gain": LESS}
 BROADCAST_ROWS = 10_000
 
 
-def _rules(texts: list[str | None]) -> Iterator[tuple]:
-    return map(base, texts)
-
-
 def _edges(counts: DataFrame, *keys: str) -> DataFrame:
     """By group: its number of texts, and of each measure the bound beyond which a text is rejected, in bins.
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,26 @@ def seed(lang: str | None) -> int:
     return xxhash.xxh64_intdigest("" if lang is None else f"={lang}")
 
 
+def ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of at most so many bits in ascending order, and the places where they were; equal ones in the order of their places."""
+    low = len(keys).bit_length()
+    if bits + low > 64:
+        places = np.argsort(keys, kind="stable")
+        return keys[places], places
+    # A key and its place in one number: numbers are sorted several times faster than places by their numbers.
+    both = np.sort(keys << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
+    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
+class Level(NamedTuple):
+    """The distinct n-grams of an order, the first place of each, and the number of each place's (-1 where an n-gram of the highest order does not end); the places by n-gram."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    ids: np.ndarray
+    ranked: np.ndarray
+
+
 class Block:
     """N-grams of the texts of a block, at each place of (before, before, *words, behind) from the last ``before`` on.
 
@@ -135,7 +156,7 @@ class Block:
     """
 
     def __init__(self, texts: list[str | None], langs: list[str | None], bits: int, order: int = ORDER):
-        self.order = order
+        self.order, self.bits = order, bits
         found, owner = words(texts)
         n = np.bincount(owner, minlength=len(texts))
         size = np.where(n > 0, n + order, 0)
@@ -159,13 +180,15 @@ class Block:
             gram = mixed((longer + np.uint64(k)) ^ path)
             self.grams.append(gram[used] >> np.uint64(64 - bits))
 
-    def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct n-grams of k words, a place of each, and the number of each place's (-1 where an n-gram of the highest order does not end)."""
-        at = np.flatnonzero(self.scored) if k == self.order else np.arange(len(self.doc))
-        keys, first, of = np.unique(self.grams[k][at], return_index=True, return_inverse=True)
+    def level(self, k: int) -> Level:
+        keys, places = ranked(self.grams[k][self.scored] if k == self.order else self.grams[k], self.bits)
+        if k == self.order:
+            places = np.flatnonzero(self.scored)[places]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
         ids = np.full(len(self.doc), -1)
-        ids[at] = of
-        return keys, at[first], ids
+        ids[places] = np.cumsum(new) - 1
+        return Level(keys[new], places[new], ids, places)
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -223,21 +246,26 @@ def _kind(values: np.ndarray) -> np.ndarray:
     return np.minimum(values, 3)
 
 
-def counted(block: Block, k: int, folder: str, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def counted(block: Block, k: int, folder: str, number: int) -> tuple[Level, list[np.ndarray]]:
     """The distinct n-grams of k words, and by n-gram what the block counts.
 
     Of the highest order that is how often it occurs. Of a lower order: how many of the owned n-grams of k + 1
     words end in it, and of those that begin with it the total and how many of them count once, twice, and more.
     """
-    keys, _, ids = block.level(k)
+    own = block.level(k)
     if k == block.order:
-        return keys, [np.bincount(ids[ids >= 0], minlength=len(keys))]
-    above, first, _ = block.level(k + 1)
-    found = answers(folder, k + 1, number, above)
+        return own, [np.bincount(own.ids[own.ranked], minlength=len(own.keys))]
+    above = block.level(k + 1)
+    found = answers(folder, k + 1, number, above.keys)
     owned = (found[-1] > 0) & (found[0] > 0)  # what stands before texts is no n-gram, only begins some
-    at, value = first[owned], found[0][owned].astype(np.int64)
-    begins, kind = ids[at - 1], _kind(value)
-    return keys, [np.bincount(ids[at], minlength=len(keys)), np.bincount(begins, value, len(keys)).astype(np.int64), *(np.bincount(begins[kind == j], minlength=len(keys)) for j in (1, 2, 3))]
+    at = above.first[owned]
+    return own, [np.bincount(own.ids[at], minlength=len(own.keys)), *_begun(own.ids[at - 1], found[0][owned], len(own.keys))]
+
+
+def _begun(begins: np.ndarray, value: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of what n-grams begin with: the total of their values, and how many of them are one, two, and more."""
+    kinds = np.bincount(begins * 4 + _kind(value).astype(np.int64), minlength=4 * n).reshape(n, 4)
+    return [np.bincount(begins, value, n).astype(np.int64), *kinds.T[1:]]
 
 
 def answers(folder: str, k: int, number: int, keys: np.ndarray) -> list[np.ndarray]:
@@ -255,14 +283,16 @@ def _questions(k: int, buckets: int, bits: int, order: int, folder: str):
             own = _read(block, "text", "lang", bits, order)
             if not len(own.doc):
                 continue
-            keys, values = counted(own, k, folder, number)
-            if k == 0:
-                yield pa.record_batch([pa.array([number] * len(keys), pa.int64()), pa.array(keys.astype(np.int64)), *(pa.array(v.astype(np.int64)) for v in values[1:])], names=["block", "key", "total", "n1", "n2", "n3"])
-                continue
+            level, values = counted(own, k, folder, number)
+            keys = level.keys
+            if k == 1:
+                languages = own.level(0)
+                put_file(folder, f"languages-{number}", pack([languages.ids[level.first], _headed(languages.keys, len(keys))]))
+                del languages
             ends = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = [(b, pack([np.diff(keys[i:j], prepend=np.uint64(0)), *(v[i:j] for v in values)])) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
             asked = pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
-            del own, keys, values, rows, block
+            del own, level, keys, values, rows, block
             trim()
             yield asked
 
@@ -294,17 +324,34 @@ def _answers(group: pa.Table) -> pa.Table:
     })
 
 
+def _headed(values: np.ndarray, n: int) -> np.ndarray:
+    """A column of n numbers that begins with values."""
+    return np.concatenate([values, np.zeros(n - len(values), np.uint64)])
+
+
+SAVED = "block bigint, key bigint, total bigint, t1 bigint, t2 bigint, t3 bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
+
+
 def _save(k: int, folder: str):
+    """Saves a block's answers. Returns how many n-grams are seen once to four times and, of single words, a row for each language of the block: what the words that the block owns add up to."""
+
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["bucket"].to_numpy()).tolist()
+        order, block = np.argsort(group["bucket"].to_numpy()).tolist(), group["block"][0].as_py()
         parts = [unpack(group["data"][i].as_py()) for i in order]
         columns = [np.concatenate([p[c] for p in parts]) for c in range(len(parts[0]))]
-        check = np.zeros(len(columns[0]), np.uint64)
-        check[:1] = group["sum"].to_numpy().view(np.uint64).sum(dtype=np.uint64)
-        put_file(folder, f"{k}-{group['block'][0].as_py()}", pack([check, *columns]))
+        check = _headed(group["sum"].to_numpy().view(np.uint64).sum(dtype=np.uint64, keepdims=True), len(columns[0]))
+        put_file(folder, f"{k}-{block}", pack([check, *columns]))
+        keys, sums = np.zeros(1, np.uint64), [np.zeros(1, np.int64)] * 4
+        if k == 1:
+            of, keys = unpack(get_file(folder, f"languages-{block}"))
+            keys = keys[: int(of.max()) + 1]
+            owned = (columns[-1] > 0) & (columns[0] > 0)
+            sums = _begun(of[owned].astype(np.int64), columns[0][owned], len(keys))
         del parts, columns, check
         trim()
-        return pa.table({f"n{i}": pa.array([pc.sum(group[f"n{i}"]).as_py()], pa.int64()) for i in (1, 2, 3, 4)})
+        ones = {f"n{i}": pa.array([pc.sum(group[f"n{i}"]).as_py()] + [0] * (len(keys) - 1), pa.int64()) for i in (1, 2, 3, 4)}
+        found = {c: pa.array(v, pa.int64()) for c, v in zip(("key", "total", "t1", "t2", "t3"), (keys.view(np.int64), *sums), strict=True)}
+        return pa.table({"block": pa.array([block] * len(keys), pa.int64()), **found, **ones})
 
     return run
 
@@ -315,11 +362,10 @@ def _save_roots(folder: str):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
         keys = group["key"].to_numpy().view(np.uint64)
-        check = np.zeros(len(keys), np.uint64)
-        check[0] = keys.sum(dtype=np.uint64)
-        columns = [group[c].to_numpy().astype(np.uint64) for c in ("total", "n1", "n2", "n3")]
+        check = _headed(keys.sum(dtype=np.uint64, keepdims=True), len(keys))
+        columns = [group[c].to_numpy().astype(np.uint64) for c in ("total", "t1", "t2", "t3")]
         put_file(folder, f"0-{group['block'][0].as_py()}", pack([check, np.zeros(len(keys), np.uint64), *columns, np.zeros(len(keys), np.uint64)]))
-        return pa.table({"n1": pa.array([0], pa.int64())})
+        return pa.table({"saved": pa.array([1], pa.int64())})
 
     return run
 
@@ -330,22 +376,26 @@ def discounts(n: list[int]) -> list[float]:
     return [0.0, *(min(i - 0.05, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3))]
 
 
-def logs(block: Block, found: list[list[np.ndarray]], cuts: list[list[float]], levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def logs(block: Block, answered: Callable[[int, np.ndarray], list[np.ndarray]], cuts: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By text: words and the end; the sums of the logs of their probabilities by all orders and by single words.
 
-    found has the answers of each order, levels its n-grams; cuts has the discounts by order.
+    answered gives the answers of an order for its n-grams; cuts has the discounts by order.
     """
     # By order, the distinct (text, n-gram): a place of each, and the number of each place's.
-    places, numbers, n_gram = [], [], []
-    for k, (keys, _, ids) in enumerate(levels):
-        at = np.flatnonzero(ids >= 0)
-        _, first, of, n = np.unique(block.doc[at] * len(keys) + ids[at], return_index=True, return_inverse=True, return_counts=True)
-        number = np.full(len(ids), -1)
-        number[at] = of
-        places.append(at[first])
+    places, numbers, n_gram, found = [], [], [], []
+    for k in range(block.order + 1):
+        level = block.level(k)
+        found.append(answered(k, level.keys))
+        doc, ids = block.doc[level.ranked], level.ids[level.ranked]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (ids[1:] != ids[:-1])
+        number = np.full(len(level.ids), -1)
+        number[level.ranked] = np.cumsum(new) - 1
+        places.append(level.ranked[new])
         numbers.append(number)
-        n_gram.append(ids[at[first]])
-        own = n
+        n_gram.append(ids[new])
+        own = np.diff(np.flatnonzero(new), append=len(new))
+        del level, doc, ids, new, number
     order = block.order
     steps: list[tuple] = [()] * (order + 1)
     for k in range(order, 0, -1):
@@ -361,7 +411,8 @@ def logs(block: Block, found: list[list[np.ndarray]], cuts: list[list[float]], l
         _, total, *kinds, _ = (c[n_gram[k - 1]].astype(np.int64) for c in found[k - 1])
         total = total - np.bincount(begins, own, m)
         before, after = _kind(value), _kind(rest)
-        kinds = [n - np.bincount(begins[before == j], minlength=m) + np.bincount(begins[after == j], minlength=m) for j, n in enumerate(kinds, 1)]
+        moved = before != after
+        kinds = [n - np.bincount(begins[moved & (before == j)], minlength=m) + np.bincount(begins[moved & (after == j)], minlength=m) for j, n in enumerate(kinds, 1)]
         steps[k] = live, begins, ends, rest, after, total, kinds
         own = np.bincount(ends[(rest == 0) & (value > 0)], minlength=m)
     p = np.full(len(places[0]), RARE)
@@ -394,14 +445,14 @@ def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterabl
     for k in range(order, 0, -1):
         asked = some.mapInArrow(_questions(k, buckets, bits, order, folder), "bucket int, block bigint, data binary")
         answered = asked.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, sum bigint, data binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint")
-        saved = answered.groupBy("block").applyInArrow(_save(k, folder), "n1 bigint, n2 bigint, n3 bigint, n4 bigint")
+        saved = answered.groupBy("block").applyInArrow(_save(k, folder), SAVED)
+        saved = settled(saved) if k == 1 else saved
         cuts.insert(0, discounts([n or 0 for n in saved.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4))).first()]))
     cuts.insert(0, [])
-    asked = settled(some.mapInArrow(_questions(0, 1, bits, order, folder), "block bigint, key bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"))
     # A language has a row for each block: summed in the JVM before and after the shuffle, and joined, with adaptive splits.
-    roots = asked.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3")))
-    asked.select("block", "key").join(roots, "key").groupBy("block").applyInArrow(_save_roots(folder), "n1 bigint").agg(F.sum("n1")).first()
-    forget(asked)
+    roots = saved.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("total", "t1", "t2", "t3")))
+    saved.select("block", "key").join(roots.hint("merge"), "key").groupBy("block").applyInArrow(_save_roots(folder), "saved bigint").agg(F.sum("saved")).first()
+    forget(saved)
 
     made = [f.split(":")[0] for f in schema.split(",")]
     replaced = {c.lower() for c in (*made, "n_tokens", "log_perplexity", "single", "_text", "_lang")} | ({text.lower()} if text != lang else set())
@@ -410,12 +461,11 @@ def scored(docs: DataFrame, text: str, lang: str, rows: Callable[[list], Iterabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in _blocks(batches, "_text"):
+            own_columns = structs(list(rows(part["_text"].to_pylist())), schema)
             own = _read(part, "_text", "_lang", bits, order)
             n, whole, single = np.zeros(own.texts, np.int64), np.zeros(own.texts), np.zeros(own.texts)
             if len(own.doc):
-                levels = [own.level(k) for k in range(order + 1)]
-                n, whole, single = logs(own, [answers(folder, k, number, levels[k][0]) for k in range(order + 1)], cuts, levels)
-            own_columns = structs(list(rows(part["_text"].to_pylist())), schema)
+                n, whole, single = logs(own, lambda k, keys, number=number: answers(folder, k, number, keys), cuts)
             means = [pa.array(-x / np.maximum(n, 1), pa.float64(), mask=n == 0) for x in (whole, single)]
             columns = [*(part[c] for c in keep), *own_columns.flatten(), pa.array(n), *means]
             found = pa.table(columns, names=[f.name for f in of]).combine_chunks().to_batches()

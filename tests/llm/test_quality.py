@@ -74,3 +74,18 @@ def test_bands_equal_medians_of_all_texts(spark):
             assert abs(f[m] - edge(values, m)) < 1e-9
     every = Q._edges(counts).first()
     assert every.n == 142 and all(abs(every[m] - edge(values, m)) < 1e-9 for m, values in of(lambda x: True).items())
+
+
+def test_counts_of_many_texts_equal_brute_force_and_windows_are_named_only_where_one_may_repeat(monkeypatch):
+    r = np.random.default_rng(11)
+    letters = ["a", "b", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " ", "　", "#", "é", "中", "😀", "\x00", "|"]
+    say = lambda n, known: " ".join(map(str, r.integers(0, known, n)))
+    same = say(8, 10**9)
+    texts = ["".join(r.choice(letters, 200)) for _ in range(60)] + [say(int(n), known) for n in (0, 1, 7, 8, 9, 60) for known in (1, 2, 10**9)]
+    texts += [None, "", same, same, f"x {same}", f"{same} y {same}", say(5000, 10**9)]
+    named, plain = [], Q.repeated_words
+    monkeypatch.setattr(Q, "repeated_words", lambda words, size=8: named.append(words) or plain(words, size))
+    found = list(Q._rules(texts))
+    expected = [brute(t) for t in texts]
+    assert found == expected
+    assert len(named) == sum(e[4] > 0 for e in expected)

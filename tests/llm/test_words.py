@@ -113,3 +113,22 @@ def test_word_salad_and_junk_in_other_scripts_are_rejected(spark):
     rows += [(100, " ".join(r.permutation(say())), "x"), (101, " ".join(cyrillic(r, 5) for _ in range(120)), "x")]
     kept = {d.doc_id: d.kept for d in Q.judge_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert all(kept[i] for i in range(60)) and not kept[100] and not kept[101]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_texts_are_read_once_for_each_order_and_once_to_be_scored(spark, monkeypatch, order):
+    asked, plain = [], W._questions
+    monkeypatch.setattr(W, "_questions", lambda k, *rest: asked.append(k) or plain(k, *rest))
+    docs = spark.createDataFrame(ROWS, "row bigint, text string, lang string")
+    assert W.scored(Q.settled(docs), "text", "lang", Q._rules, Q.RULES, order).count() == len(ROWS)
+    assert asked == list(range(order, 0, -1))
+
+
+@pytest.mark.parametrize("bits", [3, 40, 60])
+def test_keys_are_ranked_with_equal_ones_by_place(bits):
+    r = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        keys = r.integers(0, 1 << bits, n, dtype=np.uint64)
+        keys[n // 2 :] = keys[: n - n // 2]
+        found, places = W.ranked(keys, bits)
+        assert np.array_equal(places, np.argsort(keys, kind="stable")) and np.array_equal(found, np.sort(keys))
