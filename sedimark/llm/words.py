@@ -87,14 +87,18 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begins = kind == SINGLE
     begins[1:] |= (kind[1:] == WORD) & (kind[:-1] != WORD)
     begins[:1] |= kind[:1] == WORD
-    starts, kept = np.flatnonzero(begins), np.flatnonzero(kind)
+    starts = np.flatnonzero(begins)
     if not len(starts):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    first = np.flatnonzero(begins[kept])
-    place = kept - np.repeat(starts, np.diff(first, append=len(kept)))
-    value = (points[kept].astype(np.uint64) + np.uint64(1)) * weights()[place & 1023]
+    # A word and what stands between it and the next, which adds nothing.
+    place = np.arange(len(points))
+    place[starts[0] :] -= np.repeat(starts, np.diff(starts, append=len(points)))
+    place &= 1023
+    value = weights()[place]
+    value *= points + np.uint64(1)
+    value[kind == SPACE] = 0
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return mixed(np.add.reduceat(value, first)), np.searchsorted(ends, starts, "right")
+    return mixed(np.add.reduceat(value, starts)), np.searchsorted(ends, starts, "right")
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ def ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Level(NamedTuple):
-    """The distinct n-grams of an order, the first place of each, and the number of each place's (-1 where an n-gram of the highest order does not end); the places by n-gram."""
+    """The distinct n-grams of an order, the first place of each, and the number of each place's (-1 where an n-gram of the highest order does not end); the places in an order that has those of a text and n-gram side by side."""
 
     keys: np.ndarray
     first: np.ndarray
@@ -181,6 +185,10 @@ class Block:
             self.grams.append(gram[used] >> np.uint64(64 - bits))
 
     def level(self, k: int) -> Level:
+        if k == 0:  # a text has one language
+            heads = np.flatnonzero(np.diff(self.doc, prepend=-1))
+            keys, first, of = np.unique(self.grams[0][heads], return_index=True, return_inverse=True)
+            return Level(keys, heads[first], np.repeat(of, np.diff(heads, append=len(self.doc))), np.arange(len(self.doc)))
         keys, places = ranked(self.grams[k][self.scored] if k == self.order else self.grams[k], self.bits)
         if k == self.order:
             places = np.flatnonzero(self.scored)[places]
@@ -402,13 +410,13 @@ def logs(block: Block, answered: Callable[[int, np.ndarray], list[np.ndarray]],
         # own: what the text alone has brought to each of its n-grams.
         live = np.flatnonzero(block.scored[places[k]])
         at = places[k][live]
-        value = found[k][0][n_gram[k][live]].astype(np.int64)
+        value = found[k][0][n_gram[k][live]].view(np.int64)
         own = own[live]
         rest = value - own
         begins, ends, m = numbers[k - 1][at - 1], numbers[k - 1][at], len(places[k - 1])
         if k == 1:
             begins = ends
-        _, total, *kinds, _ = (c[n_gram[k - 1]].astype(np.int64) for c in found[k - 1])
+        _, total, *kinds, _ = (c[n_gram[k - 1]].view(np.int64) for c in found[k - 1])
         total = total - np.bincount(begins, own, m)
         before, after = _kind(value), _kind(rest)
         moved = before != after
