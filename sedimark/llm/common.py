@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sedimark.session import settled, shared_dir
 
-__all__ = ["bound_batches", "forget", "get_file", "put_file", "settled", "shared_dir", "struct_column", "structs", "table", "table_bytes", "trim", "unlink", "with_columns"]
+__all__ = ["bound_batches", "forget", "get_file", "open_file", "put_file", "settled", "shared_dir", "struct_column", "structs", "table", "table_bytes", "trim", "unlink", "with_columns"]
 
 #: Rows and bytes of one Arrow batch, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
@@ -68,6 +68,14 @@ def get_file(folder: str, name: str) -> bytes:
         return found.read()
 
 
+def open_file(folder: str, name: str) -> pa.NativeFile:
+    """A file of a shared folder, to be read from any place."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(_uri(folder))
+    return system.open_input_file(f"{path}/{name}")
+
+
 def trim() -> None:
     """Give freed memory back to the system, as workers stay while other stages and operators run."""
     pa.default_memory_pool().release_unused()

@@ -18,6 +18,9 @@ Executors write shards under a name of their own and then rename them, so a repe
 task leaves the same files. A manifest, a Parquet table beside them, has the ids of each
 shard; its running sum places the shards in the whole sequence.
 
+Ids are packed as texts are encoded, and workers read a shard some documents at a time, so
+that neither they nor the JVM hold a shard's ids at once; only a document's are held whole.
+
 Defined cases: a null or empty text has the end id alone; rows with a null doc_id come
 first; rows with equal ids are ordered by their texts, so repeated rows are as good as
 ordered; a text of any length is encoded whole, by its chunks; an empty table gives no shards and an empty result; only the id and text
@@ -26,25 +29,32 @@ columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import io
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import put_file, table_bytes, trim
+from sedimark.llm.common import open_file, put_file, table_bytes, trim
 
 MAGIC = b"SEDIDS01"
 BLOCK = 1024
 PERCENTILE = 0.9
-#: A shard is closed when it has so many ids.
-SHARD_IDS = 8 << 20
+#: A shard is closed when it has so many ids or documents.
+SHARD_IDS, SHARD_DOCS = 8 << 20, 1 << 20
+#: Ids packed at once by a writer; ids and documents read at once, one document at least.
+PACK_IDS, READ_IDS, READ_DOCS = 256 * BLOCK, 256 * BLOCK, 2048
 #: Bytes of text sorted by one task.
 PART_BYTES = 32 << 20
-#: Entries of one generation of a cache; two are kept.
-CACHE = 400_000
+#: Entries of one generation of a cache, of which two are kept, and the longest key that is kept.
+CACHE, LONGEST = 300_000, 64
+#: Longer texts are split into chunks some of these characters at a time.
+SLICE = 1 << 20
 
 HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("out", "<u2"), ("n", "<u2")])
 
@@ -103,46 +113,89 @@ def decode_block(data: memoryview) -> np.ndarray:
     return ids + head["least"]
 
 
-def encode_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    blocks = encode_blocks(ids)
-    counts = np.array([len(doc_ids), len(ids), len(blocks)], "<u8")
-    start = len(MAGIC) + 24 + 17 * len(doc_ids) + 8 * (len(blocks) + 1)
-    index = start + np.concatenate(([0], np.cumsum([len(b) for b in blocks], dtype=np.int64)))
-    names = np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1")
-    return b"".join([MAGIC, counts.tobytes(), names[0].tobytes(), names[1].tobytes(), np.array(lengths, "<u8").tobytes(), index.astype("<u8").tobytes(), *blocks])
+class Shard:
+    """A shard in the making, of which few ids are held unpacked."""
+
+    def __init__(self):
+        self.names, self.missing, self.lengths = array("q"), array("B"), array("q")
+        self.ids, self.blocks, self.rest, self.waiting = 0, [], [], 0
+
+    def add(self, name: int | None, ids: bytes) -> None:
+        """A document and its ids, little-endian unsigned 32-bit integers."""
+        n = len(ids) // 4
+        self.names.append(name or 0)
+        self.missing.append(name is None)
+        self.lengths.append(n)
+        self.rest.append(ids)
+        self.ids, self.waiting = self.ids + n, self.waiting + n
+        if self.waiting >= PACK_IDS:
+            self._pack(self.waiting // BLOCK * BLOCK)
+
+    def _pack(self, n: int) -> None:
+        ids = np.frombuffer(b"".join(self.rest), "<u4")
+        self.blocks += encode_blocks(ids[:n])
+        self.rest, self.waiting = [ids[n:].tobytes()], len(ids) - n
+
+    def data(self) -> bytes:
+        self._pack(self.waiting)
+        counts = np.array([len(self.names), self.ids, len(self.blocks)], "<u8")
+        start = len(MAGIC) + 24 + 17 * len(self.names) + 8 * (len(self.blocks) + 1)
+        index = start + np.concatenate(([0], np.cumsum([len(b) for b in self.blocks], dtype=np.int64)))
+        names, missing, lengths = np.array(self.names, "<i8"), np.array(self.missing, "u1"), np.array(self.lengths, "<u8")
+        return b"".join([MAGIC, counts.tobytes(), names.tobytes(), missing.tobytes(), lengths.tobytes(), index.astype("<u8").tobytes(), *self.blocks])
+
+
+def shard_parts(file: BinaryIO) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]]:
+    """Some documents of a shard at a time: their ids, where each starts in the shard, the numbers of its token ids, and these."""
+    if file.read(len(MAGIC)) != MAGIC:
+        raise ValueError("not a shard of token ids")
+    docs, n, blocks = map(int, np.frombuffer(file.read(24), "<u8", 3))
+    names, missing, lengths = (np.frombuffer(file.read(docs * np.dtype(kind).itemsize), kind, docs) for kind in ("<i8", "u1", "<u8"))
+    index = np.frombuffer(file.read(8 * (blocks + 1)), "<u8", blocks + 1).tolist()
+    ends = np.cumsum(lengths.astype(np.int64))
+    if blocks != -(-n // BLOCK) or n != (ends[-1] if docs else 0):
+        raise ValueError("a shard of token ids is damaged")
+    a = at = 0
+    while a < docs:
+        b = max(a + 1, min(a + READ_DOCS, int(np.searchsorted(ends, at + READ_IDS, "right"))))
+        end = int(ends[b - 1])
+        first = at // BLOCK
+        last = -(-end // BLOCK) if end > at else first
+        file.seek(index[first])
+        view = memoryview(file.read(index[last] - index[first]))
+        cuts = [x - index[first] for x in index[first : last + 1]]
+        ids = np.concatenate([np.empty(0, np.uint32), *(decode_block(view[x:y]) for x, y in zip(cuts, cuts[1:], strict=False))])
+        if len(ids) != min(last * BLOCK, n) - first * BLOCK:
+            raise ValueError("a shard of token ids is damaged")
+        some = [None if m else d for d, m in zip(names[a:b].tolist(), missing[a:b].tolist(), strict=True)]
+        counts = np.diff(ends[a:b], prepend=at)
+        yield some, ends[a:b] - counts, counts, ids[at - first * BLOCK :][: end - at]
+        a, at = b, end
 
 
 def decode_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, the numbers of their ids, and all ids."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a shard of token ids")
-    docs, n, blocks = map(int, np.frombuffer(data, "<u8", 3, len(MAGIC)))
-    at = len(MAGIC) + 24
-    names, missing = np.frombuffer(data, "<i8", docs, at).tolist(), np.frombuffer(data, "u1", docs, at + 8 * docs).tolist()
-    lengths = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64)
-    index = np.frombuffer(data, "<u8", blocks + 1, at + 17 * docs).tolist()
-    view = memoryview(data)
-    ids = np.concatenate([np.empty(0, np.uint32), *(decode_block(view[a:b]) for a, b in zip(index, index[1:], strict=False))])
-    if len(ids) != n or lengths.sum() != n:
-        raise ValueError("a shard of token ids is damaged")
-    return [None if m else d for d, m in zip(names, missing, strict=True)], lengths, ids
+    parts = list(shard_parts(io.BytesIO(data)))
+    lengths = np.concatenate([np.empty(0, np.int64), *(p[2] for p in parts)])
+    return [name for p in parts for name in p[0]], lengths, np.concatenate([np.empty(0, np.uint32), *(p[3] for p in parts)])
 
 
-class Cache:
-    """A mapping of bounded size: of two generations, the older goes when the younger is full."""
+class Cache(dict):
+    """Made values by key, of bounded size: of two generations, the older goes when the younger is full. Long keys are made each time."""
 
     def __init__(self, make: Callable[[str], bytes], size: int = CACHE):
-        self.make, self.size, self.young, self.old = make, size, {}, {}
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
 
-    def __getitem__(self, key: str) -> bytes:
-        found = self.young.get(key)
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
         if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = self.make(key)
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
-            self.young[key] = found
+            found = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -151,7 +204,7 @@ class Tokenizer:
 
     The vocabulary's pre-tokens end at white space, so a text's ids are those of its
     chunks. Chunks of ASCII and Latin-1 letters are in normal form already: they are
-    lower-cased and split here and their pieces go to the library's model. Other chunks, those that may hold
+    lower-cased and split here and their pieces, chunks themselves, go to the library's model. Other chunks, those that may hold
     the name of a special token (which the library reads as that token),
     and texts with controls that Python alone takes for white space, go through the
     library's whole pipeline.
@@ -160,6 +213,7 @@ class Tokenizer:
     PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
     ODD = re.compile(r"[\x1c-\x1f]")
+    BLANK = re.compile(r"\s")
 
     def __init__(self, path: str):
         import os
@@ -173,26 +227,39 @@ class Tokenizer:
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {b: alphabet.pre_tokenize_str(chr(b))[0][0] for b in range(0x80) if chr(b).strip()}
         self.bytes |= {b"\xc3"[0]: alphabet.pre_tokenize_str("é")[0][0][0]} | {0x80 + i: alphabet.pre_tokenize_str(chr(0xC0 + i))[0][0][1] for i in range(64)}
-        self.pieces, self.chunks = Cache(self._piece), Cache(self._chunk)
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        self.packed = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values()))]
+        self.chunks = Cache(self._chunk)
 
     def _whole(self, text: str) -> bytes:
-        return self._ids(self.library.encode(text, add_special_tokens=False).ids)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return self._ids([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))])
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._piece(chunk) if chunk.islower() else self.chunks[chunk.lower()]
         if not self.PLAIN.match(chunk) or "<|" in chunk:
             return self._whole(chunk)
-        return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(chunk.lower())))
+        pieces = self.PIECES.findall(chunk.lower())
+        return self._piece(chunk) if pieces[0] == chunk else b"".join(map(self.chunks.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         if self.ODD.search(text):
             return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        if len(text) <= SLICE:
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join(b"".join(map(self.chunks.__getitem__, part.split())) for part in self._slices(text))
+
+    def _slices(self, text: str) -> Iterator[str]:
+        """A long text in parts that end at white space."""
+        at = 0
+        while at < len(text):
+            blank = self.BLANK.search(text, at + SLICE)
+            end = blank.start() if blank else len(text)
+            yield text[at:end]
+            at = end
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -215,26 +282,23 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, doc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), tokenizer(vocabulary).encode
-        names, found, held, seq = [], [], 0, 0
+        part, encode, shard, seq = TaskContext.get().partitionId(), tokenizer(vocabulary).encode, Shard(), 0
 
         def closed() -> pa.RecordBatch:
-            nonlocal names, found, held, seq
+            nonlocal shard, seq
             name = f"shard-{part:07d}-{seq:05d}.ids"
-            put_file(folder, name, encode_shard(names, [len(x) // 4 for x in found], np.frombuffer(b"".join(found), "<u4")))
-            row = pa.record_batch({"shard": [name], "docs": [len(names)], "ids": [held // 4]})
-            names, found, held, seq = [], [], 0, seq + 1
+            put_file(folder, name, shard.data())
+            row = pa.record_batch({"shard": [name], "docs": [len(shard.names)], "ids": [shard.ids]})
+            shard, seq = Shard(), seq + 1
             trim()
             return row
 
         for batch in batches:
             for name, value in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                names.append(name)
-                found.append(encode(value or "") + end)
-                held += len(found[-1])
-                if held >= 4 * SHARD_IDS:
+                shard.add(name, encode(value or "") + end)
+                if shard.ids >= SHARD_IDS or len(shard.names) >= SHARD_DOCS:
                     yield closed()
-        if names:
+        if shard.names:
             yield closed()
 
     placed.select("doc_id", "text").mapInArrow(write, "shard string, docs bigint, ids bigint").write.parquet(f"{folder}/manifest")
@@ -248,16 +312,13 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-                names, lengths, ids = decode_shard(data.as_py())
-                ends = np.cumsum(lengths)
-                starts, raw = ends - lengths, ids.astype("<u4").tobytes()
-                for at in range(0, len(names), 2048):
-                    cut = slice(at, at + 2048)
-                    parts = [raw[4 * a : 4 * b] for a, b in zip(starts[cut].tolist(), ends[cut].tolist(), strict=True)]
-                    yield pa.record_batch({"shard": pa.array([shard] * len(parts), pa.string()), "doc_id": pa.array(names[cut], pa.int64()), "at": starts[cut], "n_tokens": lengths[cut], "ids": pa.array(parts, pa.binary())})
-
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "shard-*.ids").load(folder)
-    read_back = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("shard"), "content").mapInArrow(read, "shard string, doc_id bigint, at bigint, n_tokens bigint, ids binary")
-    return read_back.join(starts, "shard").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
+            for shard in batch.column("shard").to_pylist():
+                with open_file(folder, shard) as file:
+                    for names, at, counts, ids in shard_parts(file):
+                        offsets = np.append(at, at[-1] + counts[-1]) - at[0]
+                        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(4 * offsets), pa.py_buffer(ids.astype("<u4"))])
+                        yield pa.record_batch({"shard": pa.array([shard] * len(names), pa.string()), "doc_id": pa.array(names, pa.int64()), "at": at, "n_tokens": counts, "ids": parts.cast(pa.binary())})
+                trim()
+
+    read_back = manifest.select("shard").mapInArrow(read, "shard string, doc_id bigint, at bigint, n_tokens bigint, ids binary")
+    return read_back.join(F.broadcast(starts), "shard").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")

@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -79,6 +80,75 @@ def test_shards_hold_all_documents_in_order(spark, library, monkeypatch):
     assert not any(by_id.values())
 
 
+class Watched(io.BytesIO):
+    """A file that tells the most bytes that were read at once."""
+
+    most = 0
+
+    def read(self, n=-1):
+        found = super().read(n)
+        self.most = max(self.most, len(found))
+        return found
+
+
+def test_a_shard_is_packed_and_read_in_parts(monkeypatch):
+    monkeypatch.setattr(K, "PACK_IDS", 3 * K.BLOCK)
+    monkeypatch.setattr(K, "READ_IDS", 4 * K.BLOCK)
+    monkeypatch.setattr(K, "READ_DOCS", 7)
+    r = np.random.default_rng(0)
+    counts = [0, 0, 5, 9000, *r.integers(0, 900, 300).tolist(), 0, 1, 0, 1024, 1024, 0]
+    wanted = [r.integers(0, 50_000, n).astype("<u4") for n in counts]
+    names = [None if i % 50 == 0 else 1000 - i for i in range(len(counts))]
+    shard = K.Shard()
+    for name, ids in zip(names, wanted, strict=True):
+        shard.add(name, ids.tobytes())
+        assert shard.waiting < K.PACK_IDS
+    file = Watched(shard.data())
+    parts = list(K.shard_parts(file))
+    assert max(len(p[0]) for p in parts) <= 7 and sum(len(p[3]) > K.READ_IDS for p in parts) == 1
+    assert file.most < 9 * K.BLOCK * 3
+    found = [(name, p[3][a - p[1][0] :][:n].tolist(), int(a)) for p in parts for name, a, n in zip(p[0], p[1].tolist(), p[2].tolist(), strict=True)]
+    starts = (np.cumsum(counts) - counts).tolist()
+    assert found == [(name, ids.tolist(), at) for name, ids, at in zip(names, wanted, starts, strict=True)]
+    again, lengths, ids = K.decode_shard(shard.data())
+    assert (again, lengths.tolist(), ids.tolist()) == (names, counts, np.concatenate(wanted).tolist())
+    assert K.decode_shard(K.Shard().data())[0] == []
+    for cut in (20, 100, len(shard.data()) - 1):
+        with pytest.raises(ValueError):
+            K.decode_shard(shard.data()[:cut])
+
+
+def test_caches_stay_small(library):
+    own = K.Tokenizer(PATH)
+    own.chunks = K.Cache(own._chunk, 50)
+    words = [f"{w}{mark}" for w in ("Word", "été", "ÉTÉ", "don't", "x" * 300, "A1b2" * 100, "中" * 200) for mark in ("", ",", "!'s", "<|", *map(str, range(40)))]
+    text = " ".join(words * 2)
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(library, text)
+    kept = [*own.chunks, *own.chunks.old]
+    assert 50 < len(kept) <= 100 and max(map(len, kept)) <= K.LONGEST
+
+
+def test_long_texts_are_split_in_parts(library, monkeypatch):
+    monkeypatch.setattr(K, "SLICE", 20)
+    own = K.Tokenizer(PATH)
+    for text in ("", "a" * 19, "x" * 50, "  one, two\n" * 30, "É" * 21 + "\u2003b\xa0" * 40, " " * 60, "don't " * 3 + "<|endoftext|>" * 9 + " end"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(library, text)
+        parts = list(own._slices(text))
+        assert "".join(parts) == text and all(len(p) <= 20 + max(map(len, text.split()), default=0) for p in parts)
+
+
+def test_workers_read_shards_and_no_ids_are_joined_by_shuffling(spark):
+    folder = shared_dir(spark)
+    K.write_tokens(spark.createDataFrame([(i, "some words " * i) for i in range(50)], "doc_id bigint, text string"), folder, PATH, end_id=1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = K.read_tokens(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "binaryFile" not in plan and "SortMergeJoin" not in plan
+
+
 def test_empty_table(spark):
     folder = shared_dir(spark)
     K.write_tokens(spark.createDataFrame([], "doc_id bigint, text string"), folder, PATH, end_id=1)
